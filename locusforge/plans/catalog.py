@@ -24,6 +24,9 @@ from locusforge.operators import predicates as P
 from locusforge.operators import tables as TB
 from locusforge.plans import oracle as O
 from locusforge.plans.build import Dataset
+from locusforge.session import scratch_path
+from locusforge.sources import evidence as R
+from locusforge.sources import sinks as K_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -252,6 +255,52 @@ def _batch_auto(spark, sf):
     return B.locus_summary(B.batch_locus_rows(ds.processed, loci, method="auto", bin_size=BIN_SIZE))
 
 
+def _roundtrip_tsv(spark, sf):
+    path = K_.write_transformed(_ds(spark, sf).raw, scratch_path(spark, "transformed-tsv"), fmt="tsv")
+    return R.read_transformed(spark, path, fmt="tsv")
+
+
+def _roundtrip_parquet(spark, sf):
+    path = K_.write_processed(_ds(spark, sf).processed, scratch_path(spark, "processed"))
+    return spark.read.parquet(path)
+
+
+def _layout_locus(child: str) -> Query:
+    def run(spark, sf):
+        ds = _ds(spark, sf)
+        path = K_.write_by_chromosome(ds.processed, scratch_path(spark, "by-chrom"))
+        layout = K_.read_by_chromosome(spark, path)
+        out = L.locus(layout, ds.genes, L.Locus(CHROM, START, END))[child]
+        return out.withColumn("exons", exons_text(F.col("exons"))) if child == "genes" else out
+    return run
+
+
+def _layout_membership(spark, sf):
+    path = K_.write_by_chromosome(_ds(spark, sf).processed, scratch_path(spark, "by-chrom"))
+    return K_.read_by_chromosome(spark, path).select("idx", "chrom", S.LEAD_CHROM, S.LEAD_POS)
+
+
+def _gene_lookup_json(spark, sf):
+    path = K_.write_gene_lookup(_ds(spark, sf).genes, scratch_path(spark, "genes-json"))
+    return K_.read_gene_lookup(spark, path).withColumn("exons", exons_text(F.col("exons")))
+
+
+def _sample_rows(spark, sf):
+    return R.sample_rows(_ds(spark, sf).evidence, 500).select("idx", "gene_id", "gwas_snp", "score")
+
+
+def _row_index(spark, sf):
+    path = K_.write_transformed(_ds(spark, sf).raw, scratch_path(spark, "transformed-idx"))
+    df = R.read_transformed(spark, path, add_index=False).drop("idx")
+    return R.with_row_index(df).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_distinct"),
+                                    F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx"))
+
+
+def _ot_vep_join(spark, sf):
+    ev = _ds(spark, sf).evidence.select("idx", "vep_terms")
+    return R.ot_vep_by_join(ev, R.terms_table(spark))
+
+
 QUERIES: dict[str, Query] = {
     # T3-T8, A14
     "filter_source": _filter_query(T.gwas_source_ok, ["gwas_source"]),
@@ -324,6 +373,16 @@ QUERIES: dict[str, Query] = {
     "batch_locus_small": _batch_small,
     "batch_locus_binned": _batch_binned,
     "batch_locus_auto": _batch_auto,
+    # R1-R5, K1-K4 round trips
+    "roundtrip_tsv": _roundtrip_tsv,
+    "roundtrip_processed": _roundtrip_parquet,
+    "roundtrip_partitioned": _layout_membership,
+    "layout_locus_genes": _layout_locus("genes"),
+    "layout_locus_gene_variants": _layout_locus("geneVariants"),
+    "gene_lookup_json": _gene_lookup_json,
+    "sample_rows": _sample_rows,
+    "row_index": _row_index,
+    "ot_vep_join": _ot_vep_join,
 }
 
 
@@ -434,6 +493,19 @@ def _oracle() -> dict[str, str]:
         "batch_locus_small": O.batch_locus_sql(O.loci_per_chromosome_sql(START, END), ["gene_dim"]),
         "batch_locus_binned": O.batch_locus_sql(O.loci_around_genes_sql(GENE_FLANK), ["gene_dim"]),
         "batch_locus_auto": O.batch_locus_sql(O.loci_around_genes_sql(GENE_FLANK), ["gene_dim"]),
+        "roundtrip_tsv": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
+        "roundtrip_processed": O.with_ctes(["processed"], [], "SELECT * FROM processed"),
+        "roundtrip_partitioned": O.with_ctes(["member"], [], f"SELECT idx, chrom, {S.LEAD_CHROM}, "
+                                             f"{S.LEAD_POS} FROM member"),
+        "layout_locus_genes": O.locus_child_sql("genes", *loc),
+        "layout_locus_gene_variants": O.locus_child_sql("geneVariants", *loc),
+        "gene_lookup_json": O.with_ctes(["genes"], [], "SELECT * FROM genes"),
+        "sample_rows": O.with_ctes(["evidence"], [], "SELECT idx, gene_id, gwas_snp, score FROM evidence "
+                                   "ORDER BY idx LIMIT 500"),
+        "row_index": O.with_ctes(["raw"], [], "SELECT count(*) AS n, count(*) AS n_distinct, "
+                                 "CAST(0 AS BIGINT) AS min_idx, count(*) - 1 AS max_idx FROM raw"),
+        "ot_vep_join": O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep "
+                                   "FROM evidence"),
     }
 
 

@@ -222,7 +222,8 @@ PAIR_SELECTIONS = {
 def evidence_schema(tissues: list[str] | None = None) -> T.StructType:
     """Typed schema of evidence input: the kept columns plus tissue columns."""
     fields = [T.StructField(n, t, True) for n, t in EVIDENCE_TYPES.items()]
-    fields += [T.StructField(n, T.DoubleType(), True) for n in (tissues or GTEX_TISSUES)]
+    fields += [T.StructField(n, T.DoubleType(), True)
+               for n in (GTEX_TISSUES if tissues is None else tissues)]
     return T.StructType(fields)
 
 
