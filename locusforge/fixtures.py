@@ -117,13 +117,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Spark side
 # ---------------------------------------------------------------------------
+# Spark builds the 44 tissue columns from one array expression (same values
+# as the per-column SQL): 44 separate CASE expressions would make one
+# generated method too large for the JIT to compile.
+TISSUE_ARRAY_SQL = (f"CASE WHEN l_suppkey%13=0 THEN NULL ELSE transform(sequence(0, {N_TISSUES - 1}), "
+                    "i -> ((l_partkey*31+l_linenumber*17+l_suppkey+i*101)%20)/2e1) END")
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     od = table(spark, sf_dir, "orders")
     pt = table(spark, sf_dir, "part")
     joined = (li.join(od, li.l_orderkey == od.o_orderkey)
                 .join(pt, li.l_partkey == pt.p_partkey))
-    return joined.selectExpr(*_select(EVIDENCE_COLUMNS))
+    base = [c for c in EVIDENCE_COLUMNS if c[0] not in FIXTURE_TISSUES]
+    wide = joined.selectExpr(*_select(base), f"{TISSUE_ARRAY_SQL} AS _tissues")
+    return wide.select(*[c for c, _ in base],
+                       *[F.col("_tissues")[i].alias(n) for i, n in enumerate(FIXTURE_TISSUES)])
 
 
 def gene_dim(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,26 +29,34 @@ def missing_as_null(x: ColumnOrName) -> Column:
 # ---------------------------------------------------------------------------
 # Best known variant-effect term score
 # ---------------------------------------------------------------------------
-def term_map(terms: Iterable[tuple[str, float]] | None = None) -> Column:
-    """Literal ``map<string,double>`` of term -> value (default: the fixed table)."""
-    pairs = list(terms) if terms is not None else [(t, v) for _, t, v in S.ECO_SCORES]
-    flat: list[Column] = []
-    for term, value in pairs:
-        flat += [F.lit(term), F.lit(float(value))]
-    return F.create_map(*flat)
+TermPairs = Iterable[tuple[str, float]]
 
 
-def best_term_score(vep_terms: ColumnOrName, terms: Column | None = None) -> Column:
+def default_terms() -> list[tuple[str, float]]:
+    return [(t, v) for _, t, v in S.ECO_SCORES]
+
+
+def best_term_score(vep_terms: ColumnOrName, terms: TermPairs | None = None) -> Column:
     """Largest value of the comma-separated terms found in ``terms``; 0 if none.
 
     Terms are split on ',' with no trimming, so ' stop_gained' is unknown.
+    Terms are grouped by value and tested from the highest value down with
+    ``arrays_overlap``: a handful of codegen-friendly checks per row instead
+    of a per-element lambda.
     """
-    m = terms if terms is not None else term_map()
-    vals = F.transform(F.split(_c(vep_terms), ","), lambda t: F.try_element_at(m, t))
-    return F.coalesce(F.array_max(vals), F.lit(0.0))
-
-
-def ot_vep(vep_terms: ColumnOrName, terms: Column | None = None,
+    levels: dict[float, list[str]] = {}
+    for term, value in (terms if terms is not None else default_terms()):
+        if term is not None and value is not None:
+            levels.setdefault(float(value), []).append(term)
+    parts = F.split(_c(vep_terms), ",")
+    out = None
+    for value in sorted(levels, reverse=True):
+        hit = F.arrays_overlap(parts, F.array(*[F.lit(t) for t in levels[value]]))
+        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
+    return F.lit(0.0) if out is None else out.otherwise(F.lit(0.0))
+
+
+def ot_vep(vep_terms: ColumnOrName, terms: TermPairs | None = None,
            minimum: float = S.MINIMUM_VEP_VALUE) -> Column:
     """Best term score when it reaches ``minimum`` (inclusive), else 0."""
     best = best_term_score(vep_terms, terms)
@@ -81,7 +89,14 @@ def linear_map(x: ColumnOrName, x0: float, x1: float, y0: float, y1: float) -> C
 
 def _gt(c: ColumnOrName, thr: float) -> Column:
     # NULL-safe "greater than": missing compares false.
-    return F.coalesce(missing_as_null(c) > F.lit(thr), F.lit(False))
+    return F.coalesce(greater_than(c, thr), F.lit(False))
+
+
+def greater_than(c: ColumnOrName, thr: float) -> Column:
+    """``c > thr`` with NaN false. NaN sorts above +inf in Spark, so the upper
+    bound excludes it while both comparisons stay pushable to Parquet."""
+    x = _c(c)
+    return (x > F.lit(thr)) & (x <= F.lit(float("inf")))
 
 
 def funcgen_score(gtex: ColumnOrName, pchic: ColumnOrName, fantom5: ColumnOrName,
@@ -98,7 +113,7 @@ def funcgen_score(gtex: ColumnOrName, pchic: ColumnOrName, fantom5: ColumnOrName
 
 def g2v_score(vep_terms: ColumnOrName, gtex: ColumnOrName, pchic: ColumnOrName,
               fantom5: ColumnOrName, dhs: ColumnOrName, nearest: ColumnOrName,
-              terms: Column | None = None) -> Column:
+              terms: TermPairs | None = None) -> Column:
     """Four phases: strong VEP term, functional genomics, nearest gene, none."""
     vep = best_term_score(vep_terms, terms)
     fg = funcgen_score(gtex, pchic, fantom5, dhs)
@@ -111,7 +126,7 @@ def g2v_score(vep_terms: ColumnOrName, gtex: ColumnOrName, pchic: ColumnOrName,
 
 def g2v_reason(vep_terms: ColumnOrName, gtex: ColumnOrName, pchic: ColumnOrName,
                fantom5: ColumnOrName, dhs: ColumnOrName, nearest: ColumnOrName,
-               terms: Column | None = None) -> Column:
+               terms: TermPairs | None = None) -> Column:
     """'1:VEP', '2:<sources joined by ;>', '3:Nearest' or ''."""
     vep = best_term_score(vep_terms, terms)
     sources = F.concat_ws(
@@ -127,7 +142,7 @@ def g2v_reason(vep_terms: ColumnOrName, gtex: ColumnOrName, pchic: ColumnOrName,
             .otherwise(F.lit("")))
 
 
-def with_g2v_score(df: DataFrame, terms: Column | None = None, drop_zero: bool = False) -> DataFrame:
+def with_g2v_score(df: DataFrame, terms: TermPairs | None = None, drop_zero: bool = False) -> DataFrame:
     """Add ``ot_g2v_score`` and ``ot_g2v_score_reason``; optionally drop score 0."""
     args = ("vep_terms", "GTEx", "PCHiC", "Fantom5", "DHS", "Nearest")
     out = (df.withColumn("ot_g2v_score", g2v_score(*args, terms=terms))

@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
-from locusforge.functions.scores import missing_as_null
+from locusforge.functions.scores import greater_than
 
 
 def _gt(name: str, thr: float) -> Column:
-    return missing_as_null(name) > F.lit(thr)
+    return greater_than(name, thr)
 
 
 def gwas_source_ok(sources: Sequence[str] = S.VALID_GWAS_SOURCES) -> Column:  # T3
@@ -42,11 +42,6 @@ def evidence_gate(min_gtex: float = S.MINIMUM_GTEX_VALUE) -> Column:  # T8
             | _gt("Fantom5", 0.0) | _gt("DHS", 0.0) | _gt("Nearest", 0.0))
 
 
-def _true(c: Column) -> Column:
-    # A NULL predicate drops the row, exactly like false.
-    return F.coalesce(c, F.lit(False))
-
-
 STAGES: list[tuple[str, callable]] = [
     ("after_gwas_source", gwas_source_ok),
     ("after_chromosomes", chromosomes_ok),
@@ -77,18 +72,25 @@ def filter_evidence(df: DataFrame) -> DataFrame:
 
 
 def transform_predicate() -> Column:
-    """Conjunction of T3-T8 (the rows the transform keeps)."""
-    out = F.lit(True)
+    """Conjunction of T3-T8 (the rows the transform keeps).
+
+    A NULL predicate drops a row exactly like false, so no NULL handling is
+    added: plain comparisons stay pushable into the Parquet scan.
+    """
+    out = None
     for _, stage in STAGES:
-        out = out & _true(stage())
+        out = stage() if out is None else out & stage()
     return out
 
 
 def filter_funnel(df: DataFrame) -> DataFrame:
-    """One row: input count and the count after each cumulative stage."""
+    """One row: input count and the count after each cumulative stage.
+
+    ``count_if`` counts only true, so a NULL stage result counts as dropped.
+    """
     aggs = [F.count(F.lit(1)).alias("input_rows")]
-    cond = F.lit(True)
+    cond = None
     for name, stage in STAGES:
-        cond = cond & _true(stage())
+        cond = stage() if cond is None else cond & stage()
         aggs.append(F.count_if(cond).alias(name))
     return df.agg(*aggs)

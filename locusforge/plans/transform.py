@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
@@ -13,7 +13,7 @@ from locusforge.operators.filters import transform_predicate
 
 
 def derive_scores(df: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
-                  terms: Column | None = None) -> DataFrame:
+                  terms: scores.TermPairs | None = None) -> DataFrame:
     """Add ot_vep, gtex_max_tissue, gtex_max_value."""
     return df.select(
         "*",
@@ -24,7 +24,7 @@ def derive_scores(df: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
 
 
 def transform(evidence: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
-              terms: Column | None = None, key: str | None = S.KEY) -> DataFrame:
+              terms: scores.TermPairs | None = None, key: str | None = S.KEY) -> DataFrame:
     """Filter T3-T8, derive C2-C4, project the 30 output columns.
 
     ``key`` (when present in the input) is kept as the first column: it is the

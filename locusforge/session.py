@@ -19,6 +19,9 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Fall back from whole-stage codegen when a generated method exceeds the
+    # JIT's own size limit (it would otherwise run interpreted).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Row-count bound below which a dimension side is broadcast. A million narrow

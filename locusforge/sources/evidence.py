@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge import schemas as S
-from locusforge.functions.scores import term_map
 from locusforge.session import BROADCAST_MAX_ROWS, fits_in_rows
 
 
@@ -83,17 +82,17 @@ def terms_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.ECO_SCORES, "url string, term string, value double")
 
 
-def terms_as_map(terms: DataFrame, max_terms: int = 100_000) -> Column:
-    """A term table as a literal map column, after a size check.
+def terms_as_pairs(terms: DataFrame, max_terms: int = 10_000) -> list[tuple[str, float]]:
+    """A term table as (term, value) literals for ``ot_vep``, after a size check.
 
     Term vocabularies are small and bounded; the check refuses anything
-    larger rather than pulling an unbounded table to the driver.
+    larger rather than pulling an unbounded table to the driver (use
+    ``ot_vep_by_join`` then).
     """
     if not fits_in_rows(terms, max_terms):
         raise ValueError(f"term table has more than {max_terms} rows; use ot_vep_by_join")
-    pairs = [(r["term"], r["value"]) for r in terms.where("term IS NOT NULL AND value IS NOT NULL")
-             .select("term", "value").collect()]
-    return term_map(pairs)
+    return [(r["term"], r["value"]) for r in terms.where("term IS NOT NULL AND value IS NOT NULL")
+            .select("term", "value").collect()]
 
 
 def ot_vep_by_join(df: DataFrame, terms: DataFrame, key: str = S.KEY,
