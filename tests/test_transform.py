@@ -1,0 +1,72 @@
+from pyspark.sql import functions as F
+
+from locusforge import schemas as S
+from locusforge.operators.filters import evidence_gate, filter_funnel, transform_predicate
+from locusforge.plans.transform import transform
+from locusforge.sources.evidence import typed_evidence
+
+
+def _evidence(spark, rows):
+    """All-string evidence rows (as read from text) -> typed evidence."""
+    cols = sorted({k for r in rows for k in r})
+    df = spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows],
+                               ", ".join(f"`{c}` string" for c in cols))
+    return typed_evidence(df, tissues=["GTEx_a", "GTEx_b"])
+
+
+BASE = dict(gwas_source="GWAS Catalog", GRCh38_chrom="7", GRCh38_gene_chrom="7", GRCh38_pos="100",
+            GRCh38_gene_pos="200", GTEx="0", VEP="0", PCHiC="0", Fantom5="0", DHS="0", Nearest="1")
+
+
+def test_funnel_matches_measured_counts(ds):
+    r = filter_funnel(ds.evidence).first().asDict()
+    assert list(r.values()) == [6000, 4800, 4618, 4217, 3561, 2920]
+
+
+def test_funnel_non_increasing(ds):
+    vals = list(filter_funnel(ds.evidence).first().asDict().values())
+    assert all(a >= b for a, b in zip(vals, vals[1:]))
+
+
+def test_edge_rows(spark):
+    rows = [
+        dict(BASE, gwas_pvalue="1"),                                     # kept
+        dict(BASE, GRCh38_pos="1000200"),                                # distance exactly 1e6: kept
+        dict(BASE, GRCh38_pos="1000201"),                                # too far
+        dict(BASE, Nearest="0", GTEx="0.999975"),                        # GTEx strict: dropped
+        dict(BASE, Nearest="0", GTEx="0.99998"),                         # kept by GTEx
+        dict(BASE, Nearest="NaN"),                                       # NaN is missing: dropped
+        dict(BASE, Nearest="None", VEP="1"),                             # None token, kept by VEP
+        dict(BASE, GRCh38_chrom="0", GRCh38_gene_chrom="0"),             # '0' passes the transform
+        dict(BASE, GRCh38_chrom="MT", GRCh38_gene_chrom="MT"),           # MT does not
+        dict(BASE, GRCh38_gene_chrom="8"),                               # different chromosomes
+        dict(BASE, gwas_source="GRASP"),
+        dict(BASE, gwas_source="NA"),
+    ]
+    ev = _evidence(spark, rows)
+    kept = [r[0] for r in ev.select(transform_predicate().alias("k")).collect()]
+    assert [bool(k) for k in kept] == [True, True, False, False, True, False, True, True, False,
+                                       False, False, False]
+
+
+def test_nan_is_missing_in_gate(spark):
+    df = spark.createDataFrame([(float("nan"), 0.0, 0.0, 0.0, 0.0, 0.0)],
+                               "GTEx double, VEP double, PCHiC double, Fantom5 double, DHS double, "
+                               "Nearest double")
+    assert df.where(evidence_gate()).count() == 0
+
+
+def test_transform_output_schema_and_empty_input(spark):
+    ev = _evidence(spark, [dict(BASE, idx="3", vep_terms="stop_gained", GTEx_a="0.2", GTEx_b="0.4")])
+    ev = ev.withColumn("idx", F.lit(3).cast("bigint"))
+    out = transform(ev, tissues=["GTEx_a", "GTEx_b"])
+    assert out.columns == ["idx", *S.TRANSFORMED_COLUMNS]
+    r = out.first()
+    assert (r.ot_vep, r.gtex_max_tissue, r.gtex_max_value) == (0.95, "GTEx_b", 0.4)
+    empty = transform(ev.limit(0), tissues=["GTEx_a", "GTEx_b"])
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+def test_transform_counts_at_scale(ds):
+    assert ds.raw.count() == 2920
+    assert ds.processed.count() == 3075
