@@ -293,3 +293,58 @@ BASE_CTES = {
     "variation_feature": (f"SELECT {_sel(VARIATION_FEATURE_COLUMNS)} FROM part, (VALUES (0),(1)) "
                           f"bb(b), (VALUES (0),(1)) aa(alt) WHERE {LEAD_VARIANT_WHERE}"),
 }
+
+
+# ---------------------------------------------------------------------------
+# Nested annotation records (inputs of the record flatteners): one gene
+# record per Ensembl-shaped gene with its transcripts, exons and translation;
+# one variant record per variation with its mappings.
+# ---------------------------------------------------------------------------
+def gene_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusforge.functions.nested import GENE_RECORD_DDL
+    s, d = spark, sf_dir
+    exons = (ens_exon_transcript(s, d).join(ens_exon(s, d), "exon_id")
+             .groupBy("transcript_id")
+             .agg(F.sort_array(F.collect_list(F.struct(
+                 F.col("seq_region_start").alias("start"), F.col("seq_region_end").alias("end"),
+                 F.concat(F.lit("ENSE"), F.col("exon_id").cast("string")).alias("id")))).alias("_ex")))
+    gid = (F.col("transcript_id") / 10).cast("bigint")
+    tx = (ens_transcript(s, d).join(exons, "transcript_id", "left")
+          .select(gid.alias("gene_id"), F.struct(
+              F.concat(F.lit("ENST"), F.col("transcript_id").cast("string")).alias("id"),
+              F.col("seq_region_start").alias("start"), F.col("seq_region_end").alias("end"),
+              F.col("seq_region_strand").alias("strand"),
+              F.when((F.col("transcript_id") % 10 == 0) | (gid % 41 == 0), 1).otherwise(0).alias("is_canonical"),
+              F.transform(F.coalesce("_ex", F.array()), lambda e: F.struct(e["id"], e["start"], e["end"]))
+              .alias("Exon"),
+              F.when(gid % 43 != 0, F.struct((F.col("seq_region_start") + 10).alias("start"),
+                                               (F.col("seq_region_end") - 10).alias("end"))).alias("Translation"),
+          ).alias("t"))
+          .groupBy("gene_id").agg(F.sort_array(F.collect_list("t")).alias("Transcript")))
+    regions = ens_seq_region(s, d).select("seq_region_id", F.col("name").alias("seq_region_name"))
+    g = ens_gene(s, d).join(regions, "seq_region_id").join(tx, "gene_id", "left")
+    rec = F.struct(
+        F.col("stable_id").alias("id"),
+        F.concat(F.lit("SYM"), F.col("gene_id").cast("string")).alias("display_name"),
+        "description", F.col("seq_region_start").alias("start"), F.col("seq_region_end").alias("end"),
+        F.when(F.col("gene_id") % 2 == 0, 1).otherwise(-1).alias("strand"), "seq_region_name",
+        F.lit("protein_coding").alias("biotype"), "Transcript")
+    return g.select(rec.cast(GENE_RECORD_DDL).alias("gene"))
+
+
+def variant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusforge.functions.nested import VARIANT_RECORD_DDL
+    s, d = spark, sf_dir
+    regions = ens_seq_region(s, d).select("seq_region_id", F.col("name").alias("seq_region_name"))
+    maps = (variation_feature(s, d).join(regions, "seq_region_id")
+            .groupBy("variation_id")
+            .agg(F.sort_array(F.collect_list(F.struct(F.col("seq_region_start").alias("start"),
+                                                      "seq_region_name"))).alias("mappings")))
+    v = variation(s, d).join(maps, "variation_id", "left")
+    vid = F.col("variation_id")
+    rec = F.struct(
+        "name", ((vid % 50) / 1e2).alias("MAF"),
+        F.lit("ACGT").substr((vid % 4 + 1).cast("int"), F.lit(1)).alias("ancestral_allele"),
+        F.lit("ACGT").substr(((vid + 1) % 4 + 1).cast("int"), F.lit(1)).alias("minor_allele"),
+        F.coalesce("mappings", F.array()).alias("mappings"))
+    return v.select(rec.cast(VARIANT_RECORD_DDL).alias("variant"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from locusforge import fixtures as FX
 from locusforge import schemas as S
-from locusforge.functions import scores
+from locusforge.functions import nested, scores
 from locusforge.operators import annotation as A
 from locusforge.operators import batch_locus as B
 from locusforge.operators import filters as T
@@ -301,6 +301,36 @@ def _ot_vep_join(spark, sf):
     return R.ot_vep_by_join(ev, R.terms_table(spark))
 
 
+def _nested_gene(spark, sf):
+    flat = nested.flatten_gene_record(FX.gene_records(spark, sf))
+    text = F.array_join(F.transform("ct_exons", lambda e: F.concat(
+        e["id"], F.lit(":"), e["start"].cast("string"), F.lit("-"), e["end"].cast("string"))), ";")
+    return flat.withColumn("ct_exons", text)
+
+
+def _nested_variant(spark, sf):
+    return nested.flatten_variant_record(FX.variant_records(spark, sf))
+
+
+def _stream_transform(spark, sf):
+    from locusforge.streaming.transform_stream import start_transform_stream
+    src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "stream-sink")
+    _ds(spark, sf).evidence.write.parquet(src)
+    start_transform_stream(spark, src, sink, tissues=FX.FIXTURE_TISSUES,
+                           available_now=True).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def _stream_funnel(spark, sf):
+    from locusforge.streaming.transform_stream import start_funnel_stream
+    src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "funnel-sink")
+    _ds(spark, sf).evidence.write.parquet(src)
+    start_funnel_stream(spark, src, sink, tissues=FX.FIXTURE_TISSUES).awaitTermination()
+    out = spark.read.parquet(sink)
+    last = out.agg(F.max("epoch").alias("_e"))
+    return out.join(last, out["epoch"] == last["_e"]).drop("epoch", "_e")
+
+
 QUERIES: dict[str, Query] = {
     # T3-T8, A14
     "filter_source": _filter_query(T.gwas_source_ok, ["gwas_source"]),
@@ -373,6 +403,12 @@ QUERIES: dict[str, Query] = {
     "batch_locus_small": _batch_small,
     "batch_locus_binned": _batch_binned,
     "batch_locus_auto": _batch_auto,
+    # Structured Streaming forms of Q7 and A14
+    "stream_transform": _stream_transform,
+    "stream_funnel": _stream_funnel,
+    # C11, C12, P12
+    "nested_gene": _nested_gene,
+    "nested_variant": _nested_variant,
     # R1-R5, K1-K4 round trips
     "roundtrip_tsv": _roundtrip_tsv,
     "roundtrip_processed": _roundtrip_parquet,
@@ -406,13 +442,13 @@ def _oracle() -> dict[str, str]:
         "filter_same_chrom": ev(O.T6, "GRCh38_chrom, GRCh38_gene_chrom"),
         "filter_distance": ev(O.T7, "GRCh38_pos, GRCh38_gene_pos"),
         "filter_evidence": ev(O.T8, "GTEx, VEP, PCHiC, Fantom5, DHS, Nearest"),
-        "filter_funnel": O.with_ctes(["evidence"], [], (
+        "filter_funnel": (funnel_sql := O.with_ctes(["evidence"], [], (
             "SELECT count(*) AS input_rows, "
             f"count(*) FILTER (WHERE {O.T3}) AS after_gwas_source, "
             f"count(*) FILTER (WHERE {O.T3} AND {O.T45}) AS after_chromosomes, "
             f"count(*) FILTER (WHERE {O.T3} AND {O.T45} AND {O.T6}) AS after_same_chromosome, "
             f"count(*) FILTER (WHERE {O.T3} AND {O.T45} AND {O.T6} AND {O.T7}) AS after_distance, "
-            f"count(*) FILTER (WHERE {O.T_ALL}) AS after_evidence_gate FROM evidence")),
+            f"count(*) FILTER (WHERE {O.T_ALL}) AS after_evidence_gate FROM evidence"))),
         "transform_full": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "ot_vep": O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep FROM evidence"),
         "gtex_max": O.with_ctes(["evidence"], [], f"SELECT idx, {O.GTISSUE} AS gtex_max_tissue, "
@@ -493,6 +529,10 @@ def _oracle() -> dict[str, str]:
         "batch_locus_small": O.batch_locus_sql(O.loci_per_chromosome_sql(START, END), ["gene_dim"]),
         "batch_locus_binned": O.batch_locus_sql(O.loci_around_genes_sql(GENE_FLANK), ["gene_dim"]),
         "batch_locus_auto": O.batch_locus_sql(O.loci_around_genes_sql(GENE_FLANK), ["gene_dim"]),
+        "stream_transform": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
+        "stream_funnel": funnel_sql,
+        "nested_gene": NESTED_GENE_SQL,
+        "nested_variant": NESTED_VARIANT_SQL,
         "roundtrip_tsv": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "roundtrip_processed": O.with_ctes(["processed"], [], "SELECT * FROM processed"),
         "roundtrip_partitioned": O.with_ctes(["member"], [], f"SELECT idx, chrom, {S.LEAD_CHROM}, "
@@ -521,6 +561,44 @@ CANONICAL_EXONS_SQL = (
     "AND et.transcript_id = t.transcript_id AND e.exon_id = et.exon_id")
 
 
+NESTED_GENE_SQL = O.with_ctes(
+    ["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon", "ens_exon_transcript"], [
+        ("ex", "SELECT et.transcript_id, 'ENSE' || CAST(e.exon_id AS VARCHAR) AS id, "
+               "e.seq_region_start AS s, e.seq_region_end AS en FROM ens_exon_transcript et "
+               "JOIN ens_exon e ON et.exon_id = e.exon_id"),
+        ("tx", "SELECT t.*, t.transcript_id // 10 AS gid, CASE WHEN t.transcript_id % 10 = 0 OR "
+               "(t.transcript_id // 10) % 41 = 0 THEN 1 ELSE 0 END AS is_canonical FROM ens_transcript t"),
+        ("canon", "SELECT gid, count(*) AS n, min(transcript_id) AS tid FROM tx WHERE is_canonical = 1 "
+                  "GROUP BY gid"),
+        ("ct", "SELECT tx.* FROM tx JOIN canon ON tx.transcript_id = canon.tid WHERE canon.n = 1"),
+        ("ext", "SELECT transcript_id, string_agg(id || ':' || CAST(s AS VARCHAR) || '-' || "
+                "CAST(en AS VARCHAR), ';' ORDER BY s, en, id) AS exons FROM ex GROUP BY transcript_id"),
+    ],
+    "SELECT g.stable_id AS id, 'SYM' || CAST(g.gene_id AS VARCHAR) AS name, g.description, "
+    'g.seq_region_start AS "start", g.seq_region_end AS "end", g.gene_id % 2 = 0 AS "forwardStrand", '
+    "'protein_coding' AS biotype, r.name AS chromosome, 'ENST' || CAST(ct.transcript_id AS VARCHAR) AS ct_id, "
+    "ct.seq_region_start AS ct_start, ct.seq_region_end AS ct_end, "
+    'ct.seq_region_strand = 1 AS "ct_forwardStrand", CASE WHEN ct.seq_region_strand = 1 THEN '
+    "ct.seq_region_start ELSE ct.seq_region_end END AS ct_tss, CASE WHEN ct.transcript_id IS NULL THEN NULL "
+    "ELSE coalesce(ext.exons, '') END AS ct_exons, "
+    'CASE WHEN ct.gid % 43 <> 0 THEN ct.seq_region_start + 10 END AS "ct_translationStart", '
+    'CASE WHEN ct.gid % 43 <> 0 THEN ct.seq_region_end - 10 END AS "ct_translationEnd" '
+    "FROM ens_gene g JOIN ens_seq_region r ON g.seq_region_id = r.seq_region_id "
+    "LEFT JOIN ct ON ct.gid = g.gene_id LEFT JOIN ext ON ext.transcript_id = ct.transcript_id")
+
+NESTED_VARIANT_SQL = O.with_ctes(
+    ["ens_seq_region", "variation", "variation_feature"], [
+        ("m", "SELECT vf.variation_id, vf.seq_region_start AS s, r.name AS nm, row_number() OVER ("
+              "PARTITION BY vf.variation_id ORDER BY vf.seq_region_start, r.name) AS rn "
+              "FROM variation_feature vf JOIN ens_seq_region r ON vf.seq_region_id = r.seq_region_id"),
+    ],
+    "SELECT v.name AS id, (v.variation_id % 50) / 1e2 AS maf, "
+    "substring('ACGT', CAST(v.variation_id % 4 + 1 AS INTEGER), 1) AS \"ancestralAllele\", "
+    "substring('ACGT', CAST((v.variation_id + 1) % 4 + 1 AS INTEGER), 1) AS \"minorAllele\", "
+    "m.s AS position, m.nm AS chromosome FROM variation v LEFT JOIN m ON m.variation_id = v.variation_id "
+    "AND m.rn = 1")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
