@@ -25,8 +25,7 @@ from locusforge.operators import lookup as K  # noqa: E402
 from locusforge.operators import predicates as P  # noqa: E402
 from locusforge.operators import tables as TB  # noqa: E402
 from locusforge.operators.filters import filter_funnel  # noqa: E402
-from locusforge.operators.processed import build_processed  # noqa: E402
-from locusforge.plans.build import Dataset  # noqa: E402
+from locusforge.plans.build import Dataset, write_tables  # noqa: E402
 from locusforge.plans.transform import transform  # noqa: E402
 from locusforge.session import get_spark, scratch_path  # noqa: E402
 from locusforge.sources import sinks  # noqa: E402
@@ -76,13 +75,9 @@ def main() -> None:
     timed("transform_write", lambda: sinks.write_transformed(
         transform(evidence, tissues=FX.FIXTURE_TISSUES), raw_path))
     raw = spark.read.parquet(raw_path)
-    processed = timed("build_processed", lambda: build_processed(raw, ds.gene_dim, ds.lead_variant))
-    layout_path = scratch_path(spark, "by-chrom")
-    timed("write_layout", lambda: sinks.write_by_chromosome(processed, layout_path))
-    proc_path = scratch_path(spark, "processed")
-    timed("write_processed", lambda: sinks.write_processed(processed, proc_path))
-    genes_path = scratch_path(spark, "genes")
-    timed("gene_lookup", lambda: ds.genes.write.parquet(genes_path))
+    out_dir = scratch_path(spark, "tables")
+    paths = timed("build_tables", lambda: write_tables(raw, ds.genes, ds.lead_variant, out_dir))
+    layout_path, proc_path, genes_path = paths["by_chrom"], paths["processed"], paths["genes"]
 
     layout = sinks.read_by_chromosome(spark, layout_path)
     proc = spark.read.parquet(proc_path)

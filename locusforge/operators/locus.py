@@ -24,6 +24,7 @@ from locusforge import schemas as S
 from locusforge.functions.scores import composite_id, neg_log10
 from locusforge.operators import predicates as P
 from locusforge.operators.processed import chromosome_table
+from locusforge.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 
 def representative(df: DataFrame, keys: Sequence[str], payload: dict[str, Column],
@@ -181,6 +182,9 @@ def locus(source: DataFrame, genes: DataFrame, request: Locus, cache: bool = Fal
     unfiltered = window_rows(source, request.chrom, request.start, request.end)
     if cache:
         unfiltered = unfiltered.cache()
+    # The gene annotation is bounded by the genome (tens of thousands of
+    # genes): checked once, then broadcast to both joins that need it.
+    genes = broadcast_if_small(genes, BROADCAST_MAX_ROWS)
     edge_pred = request.filters.predicate()
     filtered = unfiltered.where(edge_pred) if edge_pred is not None else unfiltered
     flag = request.flag

@@ -66,3 +66,24 @@ class Dataset:
         s, d = self.spark, self.sf_dir
         return A.build_lead_variants(self.raw, FX.variation(s, d), FX.variation_feature(s, d),
                                      FX.ens_seq_region(s, d))
+
+
+def write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, out_dir: str,
+                 num_partitions: int | None = None) -> dict[str, str]:
+    """Build and store the served tables (K2, K3, K4).
+
+    ``processed`` is written once; the chromosome layout is derived from the
+    written table, so the joins are not recomputed and a lost executor only
+    re-runs the stage that read the stored files.
+    """
+    import os
+
+    from locusforge.sources import sinks
+
+    spark = raw.sparkSession
+    paths = {name: os.path.join(out_dir, name) for name in ("processed", "by_chrom", "genes")}
+    sinks.write_processed(build_processed(raw, genes, leads), paths["processed"], num_partitions)
+    stored = spark.read.parquet(paths["processed"])
+    sinks.write_by_chromosome(stored, paths["by_chrom"], num_partitions)
+    genes.write.mode("overwrite").parquet(paths["genes"])
+    return paths

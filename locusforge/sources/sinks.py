@@ -48,7 +48,9 @@ def write_by_chromosome(processed: DataFrame, path: str, num_partitions: int | N
     chromosome), exactly the overlapping per-chromosome tables.
     """
     rows = chromosome_membership(processed)
-    keys = ["chrom", "GRCh38_pos"]
+    # idx breaks ties, so even one position holding a third of all rows is
+    # spread over several range partitions.
+    keys = ["chrom", "GRCh38_pos", S.KEY]
     rows = (rows.repartitionByRange(num_partitions, *keys) if num_partitions
             else rows.repartitionByRange(*keys))
     rows.sortWithinPartitions(*keys).write.mode(mode).partitionBy("chrom").parquet(path)
