@@ -82,8 +82,11 @@ def write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, out_dir: st
 
     spark = raw.sparkSession
     paths = {name: os.path.join(out_dir, name) for name in ("processed", "by_chrom", "genes")}
-    sinks.write_processed(build_processed(raw, genes, leads), paths["processed"], num_partitions)
+    # The gene lookup is stored first: its size check and the join then read
+    # a small stored table instead of recomputing the exon roll-up.
+    genes.write.mode("overwrite").parquet(paths["genes"])
+    stored_genes = spark.read.parquet(paths["genes"])
+    sinks.write_processed(build_processed(raw, stored_genes, leads), paths["processed"], num_partitions)
     stored = spark.read.parquet(paths["processed"])
     sinks.write_by_chromosome(stored, paths["by_chrom"], num_partitions)
-    genes.write.mode("overwrite").parquet(paths["genes"])
     return paths

@@ -24,6 +24,7 @@ from locusforge.operators import predicates as P
 from locusforge.operators import tables as TB
 from locusforge.plans import oracle as O
 from locusforge.plans.build import Dataset
+from locusforge.plans.transform import transform as T_transform
 from locusforge.session import scratch_path
 from locusforge.sources import evidence as R
 from locusforge.sources import sinks as K_
@@ -331,6 +332,31 @@ def _stream_funnel(spark, sf):
     return out.join(last, out["epoch"] == last["_e"]).drop("epoch", "_e")
 
 
+def _r1_tsv_transform(spark, sf):
+    """R1 end to end: evidence as TSV text (44 tissue columns) -> typed read -> transform."""
+    path = scratch_path(spark, "evidence-tsv")
+    (_ds(spark, sf).evidence.write.option("sep", "\t").option("header", True)
+     .option("compression", "gzip").csv(path))
+    ev = R.read_evidence(spark, path, tissues=FX.FIXTURE_TISSUES, key_column="idx")
+    return T_transform(ev, tissues=FX.FIXTURE_TISSUES)
+
+
+def _batch_locus_genes(spark, sf):
+    ds = _ds(spark, sf)
+    loci = B.loci_around_genes(ds.gene_dim, GENE_FLANK)
+    pairs = B.batch_locus_rows(ds.membership, loci, method="binned", bin_size=BIN_SIZE)
+    out = L.gene_vertices(pairs, ds.genes, keys=["locus_id"])
+    return out.withColumn("exons", exons_text(F.col("exons")))
+
+
+def _keyset_page(spark, sf):
+    rows = L.window_rows(_ds(spark, sf).processed, CHROM, START, END)
+    first = TB.keyset_page(rows, None, PAGE_OFFSET).collect()   # one small page on the driver
+    last = first[-1]
+    return TB.keyset_page(rows, (last["index"], last["_lead_chrom"], last["_lead_pos"]),
+                          PAGE_LIMIT).drop("_lead_chrom", "_lead_pos")
+
+
 QUERIES: dict[str, Query] = {
     # T3-T8, A14
     "filter_source": _filter_query(T.gwas_source_ok, ["gwas_source"]),
@@ -403,6 +429,8 @@ QUERIES: dict[str, Query] = {
     "batch_locus_small": _batch_small,
     "batch_locus_binned": _batch_binned,
     "batch_locus_auto": _batch_auto,
+    "batch_locus_genes": _batch_locus_genes,
+    "keyset_page": _keyset_page,
     # Structured Streaming forms of Q7 and A14
     "stream_transform": _stream_transform,
     "stream_funnel": _stream_funnel,
@@ -411,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "nested_variant": _nested_variant,
     # R1-R5, K1-K4 round trips
     "roundtrip_tsv": _roundtrip_tsv,
+    "r1_tsv_transform": _r1_tsv_transform,
     "roundtrip_processed": _roundtrip_parquet,
     "roundtrip_partitioned": _layout_membership,
     "layout_locus_genes": _layout_locus("genes"),
@@ -534,6 +563,9 @@ def _oracle() -> dict[str, str]:
         "nested_gene": NESTED_GENE_SQL,
         "nested_variant": NESTED_VARIANT_SQL,
         "roundtrip_tsv": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
+        "r1_tsv_transform": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
+        "batch_locus_genes": O.batch_locus_genes_sql(O.loci_around_genes_sql(GENE_FLANK)),
+        "keyset_page": O.keyset_page_sql(CHROM, START, END, PAGE_OFFSET, PAGE_LIMIT),
         "roundtrip_processed": O.with_ctes(["processed"], [], "SELECT * FROM processed"),
         "roundtrip_partitioned": O.with_ctes(["member"], [], f"SELECT idx, chrom, {S.LEAD_CHROM}, "
                                              f"{S.LEAD_POS} FROM member"),

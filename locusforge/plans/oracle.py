@@ -326,3 +326,25 @@ def loci_per_chromosome_sql(start: int, end: int) -> str:
 def loci_around_genes_sql(flank: int) -> str:
     return (f"SELECT gene_id AS locus_id, chr AS chrom, gene_start - {int(flank)} AS \"start\", "
             f"gene_end + {int(flank)} AS \"end\" FROM gene_dim WHERE chr IN {in_list(S.BUILD_CHROMOSOMES)}")
+
+
+def batch_locus_genes_sql(loci_sql: str) -> str:
+    pairs = ("SELECT l.locus_id, m.* FROM member m JOIN loci l ON m.chrom = l.chrom "
+             f"WHERE {RESOLVED} AND " + in_window(0, 0, 'l."start"', 'l."end"'))
+    rep = rep_sql("pairs", ["locus_id", "gene_id"], [("symbol", "gene_symbol"),
+                                                     ("chromosome", "GRCh38_gene_chrom")], None)
+    body = ('SELECT r.locus_id, r.gene_id AS id, r.symbol, g.description, r.chromosome, g.tss, '
+            'g.gene_start AS "start", g.gene_end AS "end", g.fwdstrand AS "forwardStrand", '
+            'g.exons, r.selected FROM r LEFT JOIN genes g ON r.gene_id = g.gene_id')
+    return with_ctes(["member", "genes"], [("loci", loci_sql), ("pairs", pairs), ("r", rep)], body)
+
+
+def keyset_page_sql(chrom: str, start: int, end: int, first_page: int, limit: int) -> str:
+    """Rows after the last row of a first page of ``first_page`` rows, in row order."""
+    extra = [("t", window_sql(chrom, start, end)),
+             ("k", f"SELECT idx AS ki, {S.LEAD_CHROM} AS kc, {S.LEAD_POS} AS kp FROM t "
+                   f"ORDER BY {ORDER} LIMIT 1 OFFSET {int(first_page) - 1}")]
+    after = (f"(t.idx > k.ki OR (t.idx = k.ki AND (t.{S.LEAD_CHROM} > k.kc OR "
+             f"(t.{S.LEAD_CHROM} = k.kc AND t.{S.LEAD_POS} > k.kp))))")
+    return with_ctes(["processed"], extra,
+                     f"SELECT {FULL_ROW_SQL} FROM t, k WHERE {after} ORDER BY {ORDER} LIMIT {int(limit)}")
