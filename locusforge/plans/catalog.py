@@ -349,6 +349,21 @@ def _batch_locus_genes(spark, sf):
     return out.withColumn("exons", exons_text(F.col("exons")))
 
 
+def _annotation_parquet(spark, sf):
+    """Annotation tables stored as Parquet, read back by name, gene build on top."""
+    from locusforge.sources.annotation import GENE_TABLES, read_parquet_tables
+    makers = {"exon_transcript": FX.ens_exon_transcript, "exon": FX.ens_exon, "gene": FX.ens_gene,
+              "transcript": FX.ens_transcript, "seq_region": FX.ens_seq_region}
+    base = scratch_path(spark, "annotation")
+    paths = {}
+    for name in GENE_TABLES:
+        paths[name] = f"{base}/{name}"
+        makers[name](spark, sf).write.parquet(paths[name])
+    t = read_parquet_tables(spark, paths)
+    genes = A.build_genes(t["exon_transcript"], t["exon"], t["gene"], t["transcript"], t["seq_region"])
+    return genes.withColumn("exons", exons_text(F.col("exons")))
+
+
 def _keyset_page(spark, sf):
     rows = L.window_rows(_ds(spark, sf).processed, CHROM, START, END)
     first = TB.keyset_page(rows, None, PAGE_OFFSET).collect()   # one small page on the driver
@@ -372,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "g2v_score": _g2v,
     # Q8, Q9, A1-A3, J3-J5, J7
     "gene_dim": _gene_dim,
+    "annotation_parquet": _annotation_parquet,
     "genes_per_chrom": _genes_per_chrom,
     "canonical_exons": _canonical_exons,
     "lead_variants": _lead_variants,
@@ -484,6 +500,7 @@ def _oracle() -> dict[str, str]:
                                 f"{O.GMAX} AS gtex_max_value FROM evidence"),
         "g2v_score": _g2v_sql(),
         "gene_dim": gene_dim_sql,
+        "annotation_parquet": gene_dim_sql,
         "genes_per_chrom": gene_dim_sql.replace(
             "SELECT gene_id, description, tss, chr, gene_start, gene_end, fwdstrand, "
             "string_agg(CAST(exon_start AS VARCHAR) || '-' || CAST(exon_end AS VARCHAR), "
