@@ -57,11 +57,17 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
+        try:
+            path = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext on this client (e.g. Spark Connect)
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="locusforge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        try:
+            spark.sparkContext.setCheckpointDir(path)
+        except Exception:
+            pass
     return path
 
 
