@@ -149,6 +149,11 @@ def _g2v(spark, sf):
                                                                  "ot_g2v_score_reason")
 
 
+def _g2v_nonzero(spark, sf):
+    return scores.with_g2v_score(_ds(spark, sf).evidence, drop_zero=True).select(
+        "idx", "ot_g2v_score", "ot_g2v_score_reason")
+
+
 def _gene_dim(spark, sf):
     return _ds(spark, sf).built_genes().withColumn("exons", exons_text(F.col("exons")))
 
@@ -385,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "ot_vep": _ot_vep,
     "gtex_max": _gtex_max,
     "g2v_score": _g2v,
+    "g2v_score_nonzero": _g2v_nonzero,
     # Q8, Q9, A1-A3, J3-J5, J7
     "gene_dim": _gene_dim,
     "annotation_parquet": _annotation_parquet,
@@ -499,6 +505,7 @@ def _oracle() -> dict[str, str]:
         "gtex_max": O.with_ctes(["evidence"], [], f"SELECT idx, {O.GTISSUE} AS gtex_max_tissue, "
                                 f"{O.GMAX} AS gtex_max_value FROM evidence"),
         "g2v_score": _g2v_sql(),
+        "g2v_score_nonzero": f"SELECT * FROM ({_g2v_sql()}) s WHERE ot_g2v_score > 0",
         "gene_dim": gene_dim_sql,
         "annotation_parquet": gene_dim_sql,
         "genes_per_chrom": gene_dim_sql.replace(

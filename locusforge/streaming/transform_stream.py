@@ -21,7 +21,7 @@ from locusforge import schemas as S
 from locusforge.operators.filters import STAGES
 from locusforge.plans.transform import transform
 from locusforge.session import scratch_path
-from locusforge.sources.evidence import typed_evidence
+from locusforge.sources.evidence import read_delimited, typed_evidence
 
 
 def read_evidence_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
@@ -35,8 +35,9 @@ def read_evidence_stream(spark: SparkSession, source_dir: str, fmt: str = "parqu
             schema = T.StructType([T.StructField(S.KEY, T.LongType()), *schema.fields])
         return reader.schema(schema).parquet(source_dir)
     if fmt == "tsv":
-        names = ([S.KEY] if with_key else []) + S.evidence_schema(list(tissues)).fieldNames()
-        text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        # CSV schemas apply by position: take the column names (all strings)
+        # from the header of the files already present, then pick by name.
+        text_schema = read_delimited(spark, source_dir).schema
         raw = reader.schema(text_schema).option("sep", "\t").option("header", True).csv(source_dir)
         return typed_evidence(raw, tissues, key_column=S.KEY if with_key else None)
     raise ValueError(fmt)

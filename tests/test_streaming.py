@@ -28,3 +28,17 @@ def test_streaming_funnel(spark, ds):
     last.pop("epoch")
     assert last == filter_funnel(ds.evidence).first().asDict()
     assert os.path.isdir(sink)
+
+
+def test_streaming_tsv_source(spark, ds):
+    src = scratch_path(spark, "stream-tsv")
+    # header order differs from the schema order: columns are matched by name
+    cols = list(reversed(ds.evidence.columns))
+    (ds.evidence.select(*cols).repartition(2).write.option("sep", "\t").option("header", True)
+     .csv(src))
+    sink = scratch_path(spark, "stream-tsv-sink")
+    q = start_transform_stream(spark, src, sink, fmt="tsv", tissues=FX.FIXTURE_TISSUES,
+                               available_now=True)
+    q.awaitTermination(300)
+    got = spark.read.parquet(sink)
+    assert got.exceptAll(ds.raw).count() == 0 and ds.raw.exceptAll(got).count() == 0
