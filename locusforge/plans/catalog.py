@@ -101,10 +101,6 @@ def _window_pred_sql(cond: str | None) -> str:
                        f"SELECT {WINDOW_COLS_SQL} FROM u" + (f" WHERE {cond}" if cond else ""))
 
 
-def _g2v_args():
-    return ("vep_terms", "GTEx", "PCHiC", "Fantom5", "DHS", "Nearest")
-
-
 def _g2v_sql() -> str:
     best = O.BEST_TERM
     m1 = (S.OT_G2V_PHASE_1_MAX - S.OT_G2V_PHASE_1_MIN) / (1.0 - S.MINIMUM_VEP_VALUE)
@@ -478,15 +474,6 @@ def _oracle() -> dict[str, str]:
     edge = _edge_kw()
     loc = (CHROM, START, END)
     order_desc_p = "gwas_pvalue DESC NULLS LAST, "
-    gene_dim_sql = O.with_ctes(["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon",
-                                "ens_exon_transcript"], [("ce", CANONICAL_EXONS_SQL)],
-                               "SELECT gene_id, description, tss, chr, gene_start, gene_end, fwdstrand, "
-                               "string_agg(CAST(exon_start AS VARCHAR) || '-' || CAST(exon_end AS VARCHAR), "
-                               "';' ORDER BY exon_start, exon_end) AS exons FROM ce WHERE "
-                               "gene_id IS NOT NULL AND description IS NOT NULL AND tss IS NOT NULL AND "
-                               "chr IS NOT NULL AND gene_start IS NOT NULL AND gene_end IS NOT NULL AND "
-                               "fwdstrand IS NOT NULL GROUP BY gene_id, description, tss, chr, "
-                               "gene_start, gene_end, fwdstrand")
     return {
         "filter_source": ev(O.T3, "gwas_source"),
         "filter_chrom": ev(O.T45, "GRCh38_chrom, GRCh38_gene_chrom"),
@@ -506,16 +493,9 @@ def _oracle() -> dict[str, str]:
                                 f"{O.GMAX} AS gtex_max_value FROM evidence"),
         "g2v_score": _g2v_sql(),
         "g2v_score_nonzero": f"SELECT * FROM ({_g2v_sql()}) s WHERE ot_g2v_score > 0",
-        "gene_dim": gene_dim_sql,
-        "annotation_parquet": gene_dim_sql,
-        "genes_per_chrom": gene_dim_sql.replace(
-            "SELECT gene_id, description, tss, chr, gene_start, gene_end, fwdstrand, "
-            "string_agg(CAST(exon_start AS VARCHAR) || '-' || CAST(exon_end AS VARCHAR), "
-            "';' ORDER BY exon_start, exon_end) AS exons FROM ce",
-            "SELECT chr, count(*) AS n_genes FROM (SELECT DISTINCT gene_id, description, tss, chr, "
-            "gene_start, gene_end, fwdstrand FROM ce").replace(
-            "GROUP BY gene_id, description, tss, chr, gene_start, gene_end, fwdstrand",
-            ") z GROUP BY chr"),
+        "gene_dim": GENE_DIM_SQL,
+        "annotation_parquet": GENE_DIM_SQL,
+        "genes_per_chrom": GENES_PER_CHROM_SQL,
         "canonical_exons": O.with_ctes(["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon",
                                         "ens_exon_transcript"], [("ce", CANONICAL_EXONS_SQL)],
                                        "SELECT * FROM ce"),
@@ -617,6 +597,18 @@ CANONICAL_EXONS_SQL = (
     "AND et.transcript_id = t.transcript_id AND e.exon_id = et.exon_id")
 
 
+ENS_TABLES = ["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon", "ens_exon_transcript"]
+GENE_KEYS_SQL = "gene_id, description, tss, chr, gene_start, gene_end, fwdstrand"
+GENE_ROWS_SQL = "SELECT * FROM ce WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in GENE_KEYS_SQL.split(", "))
+GENE_DIM_SQL = O.with_ctes(
+    ENS_TABLES, [("ce", CANONICAL_EXONS_SQL), ("gr", GENE_ROWS_SQL)],
+    f"SELECT {GENE_KEYS_SQL}, string_agg(CAST(exon_start AS VARCHAR) || '-' || CAST(exon_end AS VARCHAR), "
+    f"';' ORDER BY exon_start, exon_end) AS exons FROM gr GROUP BY {GENE_KEYS_SQL}")
+GENES_PER_CHROM_SQL = O.with_ctes(
+    ENS_TABLES, [("ce", CANONICAL_EXONS_SQL), ("gr", GENE_ROWS_SQL)],
+    f"SELECT chr, count(*) AS n_genes FROM (SELECT DISTINCT {GENE_KEYS_SQL} FROM gr) z GROUP BY chr")
+
+
 NESTED_GENE_SQL = O.with_ctes(
     ["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon", "ens_exon_transcript"], [
         ("ex", "SELECT et.transcript_id, 'ENSE' || CAST(e.exon_id AS VARCHAR) AS id, "
