@@ -81,12 +81,17 @@ def write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, out_dir: st
     from locusforge.sources import sinks
 
     spark = raw.sparkSession
-    paths = {name: os.path.join(out_dir, name) for name in ("processed", "by_chrom", "genes")}
-    # The gene lookup is stored first: its size check and the join then read
-    # a small stored table instead of recomputing the exon roll-up.
+    paths = {name: os.path.join(out_dir, name)
+             for name in ("processed", "by_chrom", "genes", "lead_variants")}
+    # Both dimensions are stored first: their size checks and the joins then
+    # read small stored tables instead of recomputing the exon roll-up or the
+    # lead-variant build (a semi join against the whole variation table).
     genes.write.mode("overwrite").parquet(paths["genes"])
+    leads.write.mode("overwrite").parquet(paths["lead_variants"])
     stored_genes = spark.read.parquet(paths["genes"])
-    sinks.write_processed(build_processed(raw, stored_genes, leads), paths["processed"], num_partitions)
+    stored_leads = spark.read.parquet(paths["lead_variants"])
+    sinks.write_processed(build_processed(raw, stored_genes, stored_leads), paths["processed"],
+                          num_partitions)
     stored = spark.read.parquet(paths["processed"])
     sinks.write_by_chromosome(stored, paths["by_chrom"], num_partitions)
     return paths
