@@ -33,7 +33,7 @@ TermPairs = Iterable[tuple[str, float]]
 
 
 def default_terms() -> list[tuple[str, float]]:
-    return [(t, v) for _, t, v in S.ECO_SCORES]
+    return list(S.ECO_SCORES)
 
 
 def best_term_score(vep_terms: ColumnOrName, terms: TermPairs | None = None) -> Column:

@@ -25,7 +25,7 @@ def in_list(values) -> str:
 
 
 TIS = FX.FIXTURE_TISSUES
-ECO_CASE = "CASE t " + " ".join(f"WHEN {lit(term)} THEN {dbl(v)}" for _, term, v in S.ECO_SCORES) + " END"
+ECO_CASE = "CASE t " + " ".join(f"WHEN {lit(term)} THEN {dbl(v)}" for term, v in S.ECO_SCORES) + " END"
 BEST_TERM = f"coalesce(list_max(list_transform(string_split(vep_terms, ','), lambda t: {ECO_CASE})), {dbl(0)})"
 OT_VEP = f"CASE WHEN {BEST_TERM} >= {dbl(S.MINIMUM_VEP_VALUE)} THEN {BEST_TERM} ELSE {dbl(0)} END"
 GMAX = f"greatest({', '.join(TIS)})"

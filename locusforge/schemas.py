@@ -84,52 +84,52 @@ GTEX_TISSUES = [
 ]
 
 # ---------------------------------------------------------------------------
-# Variant-effect term scores (url, term, value), 43 rows.
+# Variant-effect term scores (term, value), 43 rows.
 # ---------------------------------------------------------------------------
 ECO_SCORES = [
-    ("http://identifiers.org/eco/cttv_mapping_pipeline", "cttv_mapping_pipeline", 1.0),
-    ("http://purl.obolibrary.org/obo/ECO_0000205", "curator_inference", 1.0),
-    ("http://purl.obolibrary.org/obo/SO_0002165", "trinucleotide_repeat_expansion", 1.0),
-    ("http://purl.obolibrary.org/obo/SO_0001060", "sequence_variant", 0.5),
-    ("http://purl.obolibrary.org/obo/SO_0001566", "regulatory_region_variant", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001567", "stop_retained_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001574", "splice_acceptor_variant", 0.95),
-    ("http://purl.obolibrary.org/obo/SO_0001575", "splice_donor_variant", 0.95),
-    ("http://purl.obolibrary.org/obo/SO_0001578", "stop_lost", 0.9),
-    ("http://purl.obolibrary.org/obo/SO_0001580", "coding_sequence_variant", 0.95),
-    ("http://purl.obolibrary.org/obo/SO_0001582", "initiator_codon_variant", 0.7),
-    ("http://purl.obolibrary.org/obo/SO_0001583", "missense_variant", 0.7),
-    ("http://purl.obolibrary.org/obo/SO_0001587", "stop_gained", 0.95),
-    ("http://purl.obolibrary.org/obo/SO_0001589", "frameshift_variant", 0.95),
-    ("http://purl.obolibrary.org/obo/SO_0001619", "non_coding_transcript_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001620", "mature_miRNA_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001621", "NMD_transcript_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001623", "5_prime_UTR_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001624", "3_prime_UTR_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001626", "incomplete_terminal_codon_variant", 0.9),
-    ("http://purl.obolibrary.org/obo/SO_0001627", "intron_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001628", "intergenic_variant", 0.5),
-    ("http://purl.obolibrary.org/obo/SO_0001630", "splice_region_variant", 0.95),
-    ("http://purl.obolibrary.org/obo/SO_0001631", "upstream_gene_variant", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001632", "downstream_gene_variant", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001782", "TF_binding_site_variant", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001792", "non_coding_transcript_exon_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001818", "protein_altering_variant", 0.7),
-    ("http://purl.obolibrary.org/obo/SO_0001819", "synonymous_variant", 0.65),
-    ("http://purl.obolibrary.org/obo/SO_0001821", "inframe_insertion", 0.7),
-    ("http://purl.obolibrary.org/obo/SO_0001822", "inframe_deletion", 0.7),
-    ("http://purl.obolibrary.org/obo/SO_0001825", "conservative_inframe_deletion", 0.5),
-    ("http://purl.obolibrary.org/obo/SO_0001889", "transcript_amplification", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001891", "regulatory_region_amplification", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001892", "TFBS_amplification", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001893", "transcript_ablation", 1.0),
-    ("http://purl.obolibrary.org/obo/SO_0001894", "regulatory_region_ablation", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001895", "TFBS_ablation", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001906", "feature_truncation", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0001907", "feature_elongation", 0.6),
-    ("http://purl.obolibrary.org/obo/SO_0002012", "start_lost", 0.95),
-    ("http://targetvalidation.org/sequence/nearest_gene_five_prime_end", "Nearest gene counting from 5' end", 0.5),
-    ("http://targetvalidation.org/sequence/regulatory_nearest_gene_five_prime_end", "Regulatory nearest gene 5' end", 0.6),
+    ("cttv_mapping_pipeline", 1.0),
+    ("curator_inference", 1.0),
+    ("trinucleotide_repeat_expansion", 1.0),
+    ("sequence_variant", 0.5),
+    ("regulatory_region_variant", 0.6),
+    ("stop_retained_variant", 0.65),
+    ("splice_acceptor_variant", 0.95),
+    ("splice_donor_variant", 0.95),
+    ("stop_lost", 0.9),
+    ("coding_sequence_variant", 0.95),
+    ("initiator_codon_variant", 0.7),
+    ("missense_variant", 0.7),
+    ("stop_gained", 0.95),
+    ("frameshift_variant", 0.95),
+    ("non_coding_transcript_variant", 0.65),
+    ("mature_miRNA_variant", 0.65),
+    ("NMD_transcript_variant", 0.65),
+    ("5_prime_UTR_variant", 0.65),
+    ("3_prime_UTR_variant", 0.65),
+    ("incomplete_terminal_codon_variant", 0.9),
+    ("intron_variant", 0.65),
+    ("intergenic_variant", 0.5),
+    ("splice_region_variant", 0.95),
+    ("upstream_gene_variant", 0.6),
+    ("downstream_gene_variant", 0.6),
+    ("TF_binding_site_variant", 0.6),
+    ("non_coding_transcript_exon_variant", 0.65),
+    ("protein_altering_variant", 0.7),
+    ("synonymous_variant", 0.65),
+    ("inframe_insertion", 0.7),
+    ("inframe_deletion", 0.7),
+    ("conservative_inframe_deletion", 0.5),
+    ("transcript_amplification", 0.6),
+    ("regulatory_region_amplification", 0.6),
+    ("TFBS_amplification", 0.6),
+    ("transcript_ablation", 1.0),
+    ("regulatory_region_ablation", 0.6),
+    ("TFBS_ablation", 0.6),
+    ("feature_truncation", 0.6),
+    ("feature_elongation", 0.6),
+    ("start_lost", 0.95),
+    ("Nearest gene counting from 5' end", 0.5),
+    ("Regulatory nearest gene 5' end", 0.6),
 ]
 
 # ---------------------------------------------------------------------------

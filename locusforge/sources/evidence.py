@@ -69,17 +69,16 @@ def sample_rows(df: DataFrame, n: int, order_by: Sequence[str] = (S.KEY,)) -> Da
 
 
 def read_terms(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Term table (url, term, value) with 'None' and NA tokens as NULL."""
+    """Term table (term, value columns; others ignored) with NA tokens as NULL."""
     raw = read_delimited(spark, path, sep)
     return raw.select(
-        _clean(F.col("url"), T.StringType(), S.NA_TOKENS).alias("url"),
         _clean(F.col("term"), T.StringType(), S.NA_TOKENS).alias("term"),
         _clean(F.col("value"), T.DoubleType(), S.NA_TOKENS).alias("value"))
 
 
 def terms_table(spark: SparkSession) -> DataFrame:
     """The built-in term table as a DataFrame."""
-    return spark.createDataFrame(S.ECO_SCORES, "url string, term string, value double")
+    return spark.createDataFrame(S.ECO_SCORES, "term string, value double")
 
 
 def terms_as_pairs(terms: DataFrame, max_terms: int = 10_000) -> list[tuple[str, float]]:
