@@ -73,6 +73,15 @@ def test_batch_locus_forms_agree_with_single_windows(ds):
         assert single == sum(1 for p in a if p[0] == r.locus_id)
 
 
+def test_binned_with_chosen_bin_size(ds):
+    loci = B.loci_around_genes(ds.gene_dim, 100_000)
+    b = B.choose_bin_size(loci)
+    assert B.MIN_BIN <= b <= B.MAX_BIN
+    auto = _pairs(B.batch_locus_binned(ds.membership, loci, bin_size=None))
+    fixed = _pairs(B.batch_locus_binned(ds.membership, loci, bin_size=1_000_000))
+    assert auto == fixed
+
+
 def test_batch_vertices_per_locus(ds):
     loci = B.loci_per_chromosome(ds.gene_dim, 3000000, 12000000)
     pairs = B.batch_locus_rows(ds.membership, loci)
