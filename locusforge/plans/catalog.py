@@ -1,8 +1,9 @@
-"""Registered queries: name -> (Spark callable, oracle SQL or None).
+"""Registered queries and their oracle SQL, with the shared parameters.
 
-Every callable takes (spark, sf_dir), reads the whole test tables through
-``Dataset`` and returns a lazy DataFrame. Computed columns carry the same
-names as in the oracle SQL.
+``queries()`` maps a name to a (spark, sf_dir) -> DataFrame callable that
+reads the whole test tables through ``Dataset``; ``oracle_sql()`` maps the
+same names to DuckDB SQL from ``plans.oracle``. Computed columns carry the
+same names on both sides.
 """
 
 from __future__ import annotations
@@ -101,28 +102,6 @@ def _window_pred_sql(cond: str | None) -> str:
                        f"SELECT {WINDOW_COLS_SQL} FROM u" + (f" WHERE {cond}" if cond else ""))
 
 
-def _g2v_sql() -> str:
-    best = O.BEST_TERM
-    m1 = (S.OT_G2V_PHASE_1_MAX - S.OT_G2V_PHASE_1_MIN) / (1.0 - S.MINIMUM_VEP_VALUE)
-    m2 = (S.OT_G2V_PHASE_2_MAX - S.OT_G2V_PHASE_2_MIN) / (1.0 - 0.0)
-    g = (f"(CASE WHEN GTEx > {O.dbl(S.MINIMUM_GTEX_VALUE)} THEN GTEx * {O.dbl(S.GTEX_WEIGHT)} ELSE 0e0 END"
-         f" + CASE WHEN PCHiC > 0 THEN PCHiC * {O.dbl(S.PCHIC_WEIGHT)} ELSE 0e0 END"
-         f" + CASE WHEN Fantom5 > 0 THEN Fantom5 * {O.dbl(S.FANTOM5_WEIGHT)} ELSE 0e0 END"
-         f" + CASE WHEN DHS > 0 THEN DHS * {O.dbl(S.DHS_WEIGHT)} ELSE 0e0 END)"
-         f" / {O.dbl(S.FUNCGEN_TOTAL_WEIGHT)}")
-    score = (f"CASE WHEN {best} >= {O.dbl(S.MINIMUM_VEP_VALUE)} THEN ({best} - {O.dbl(S.MINIMUM_VEP_VALUE)})"
-             f" * {O.dbl(m1)} + {O.dbl(S.OT_G2V_PHASE_1_MIN)}"
-             f" WHEN {g} > 0 THEN ({g} - 0e0) * {O.dbl(m2)} + {O.dbl(S.OT_G2V_PHASE_2_MIN)}"
-             f" WHEN Nearest > 0 THEN {O.dbl(S.OT_G2V_PHASE_3_VALUE)} ELSE 0e0 END")
-    srcs = ("concat_ws(';', CASE WHEN GTEx > " + O.dbl(S.MINIMUM_GTEX_VALUE) + " THEN 'GTEx' END, "
-            "CASE WHEN PCHiC > 0 THEN 'PCHiC' END, CASE WHEN Fantom5 > 0 THEN 'Fantom5' END, "
-            "CASE WHEN DHS > 0 THEN 'DHS' END)")
-    reason = (f"CASE WHEN {best} >= {O.dbl(S.MINIMUM_VEP_VALUE)} THEN '1:VEP' WHEN {srcs} <> '' "
-              f"THEN '2:' || {srcs} WHEN Nearest > 0 THEN '3:Nearest' ELSE '' END")
-    return O.with_ctes(["evidence"], [], f"SELECT idx, {score} AS ot_g2v_score, "
-                       f"{reason} AS ot_g2v_score_reason FROM evidence")
-
-
 # ---------------------------------------------------------------------------
 # Spark callables
 # ---------------------------------------------------------------------------
@@ -491,13 +470,13 @@ def _oracle() -> dict[str, str]:
         "ot_vep": O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep FROM evidence"),
         "gtex_max": O.with_ctes(["evidence"], [], f"SELECT idx, {O.GTISSUE} AS gtex_max_tissue, "
                                 f"{O.GMAX} AS gtex_max_value FROM evidence"),
-        "g2v_score": _g2v_sql(),
-        "g2v_score_nonzero": f"SELECT * FROM ({_g2v_sql()}) s WHERE ot_g2v_score > 0",
-        "gene_dim": GENE_DIM_SQL,
-        "annotation_parquet": GENE_DIM_SQL,
-        "genes_per_chrom": GENES_PER_CHROM_SQL,
+        "g2v_score": O.g2v_sql(),
+        "g2v_score_nonzero": f"SELECT * FROM ({O.g2v_sql()}) s WHERE ot_g2v_score > 0",
+        "gene_dim": O.GENE_DIM_SQL,
+        "annotation_parquet": O.GENE_DIM_SQL,
+        "genes_per_chrom": O.GENES_PER_CHROM_SQL,
         "canonical_exons": O.with_ctes(["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon",
-                                        "ens_exon_transcript"], [("ce", CANONICAL_EXONS_SQL)],
+                                        "ens_exon_transcript"], [("ce", O.CANONICAL_EXONS_SQL)],
                                        "SELECT * FROM ce"),
         "lead_variants": O.with_ctes(["raw", "ens_seq_region", "variation", "variation_feature"], [], (
             "SELECT v.name AS gwas_snp, vf.seq_region_start AS position, r.name AS seq_region_name "
@@ -564,8 +543,8 @@ def _oracle() -> dict[str, str]:
         "batch_locus_auto": O.batch_locus_sql(O.loci_around_genes_sql(GENE_FLANK), ["gene_dim"]),
         "stream_transform": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "stream_funnel": funnel_sql,
-        "nested_gene": NESTED_GENE_SQL,
-        "nested_variant": NESTED_VARIANT_SQL,
+        "nested_gene": O.NESTED_GENE_SQL,
+        "nested_variant": O.NESTED_VARIANT_SQL,
         "roundtrip_tsv": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "r1_tsv_transform": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "batch_locus_genes": O.batch_locus_genes_sql(O.loci_around_genes_sql(GENE_FLANK)),
@@ -585,68 +564,6 @@ def _oracle() -> dict[str, str]:
     }
 
 
-CANONICAL_EXONS_SQL = (
-    "SELECT g.stable_id AS gene_id, g.description, r.name AS chr, g.seq_region_start AS gene_start, "
-    "g.seq_region_end AS gene_end, CASE WHEN t.seq_region_strand = 1 THEN true "
-    "WHEN t.seq_region_strand = -1 THEN false END AS fwdstrand, "
-    "CASE WHEN t.seq_region_strand = 1 THEN g.seq_region_start ELSE g.seq_region_end END AS tss, "
-    "et.exon_id, et.transcript_id, e.seq_region_start AS exon_start, e.seq_region_end AS exon_end "
-    "FROM ens_exon_transcript et, ens_exon e, ens_gene g, ens_transcript t, ens_seq_region r "
-    "WHERE g.canonical_transcript_id = et.transcript_id AND g.seq_region_id = r.seq_region_id "
-    "AND r.coord_system_id = 4 AND NOT regexp_matches(r.name, 'CHR', 'i') "
-    "AND et.transcript_id = t.transcript_id AND e.exon_id = et.exon_id")
-
-
-ENS_TABLES = ["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon", "ens_exon_transcript"]
-GENE_KEYS_SQL = "gene_id, description, tss, chr, gene_start, gene_end, fwdstrand"
-GENE_ROWS_SQL = "SELECT * FROM ce WHERE " + " AND ".join(f"{k} IS NOT NULL" for k in GENE_KEYS_SQL.split(", "))
-GENE_DIM_SQL = O.with_ctes(
-    ENS_TABLES, [("ce", CANONICAL_EXONS_SQL), ("gr", GENE_ROWS_SQL)],
-    f"SELECT {GENE_KEYS_SQL}, string_agg(CAST(exon_start AS VARCHAR) || '-' || CAST(exon_end AS VARCHAR), "
-    f"';' ORDER BY exon_start, exon_end) AS exons FROM gr GROUP BY {GENE_KEYS_SQL}")
-GENES_PER_CHROM_SQL = O.with_ctes(
-    ENS_TABLES, [("ce", CANONICAL_EXONS_SQL), ("gr", GENE_ROWS_SQL)],
-    f"SELECT chr, count(*) AS n_genes FROM (SELECT DISTINCT {GENE_KEYS_SQL} FROM gr) z GROUP BY chr")
-
-
-NESTED_GENE_SQL = O.with_ctes(
-    ["ens_seq_region", "ens_gene", "ens_transcript", "ens_exon", "ens_exon_transcript"], [
-        ("ex", "SELECT et.transcript_id, 'ENSE' || CAST(e.exon_id AS VARCHAR) AS id, "
-               "e.seq_region_start AS s, e.seq_region_end AS en FROM ens_exon_transcript et "
-               "JOIN ens_exon e ON et.exon_id = e.exon_id"),
-        ("tx", "SELECT t.*, t.transcript_id // 10 AS gid, CASE WHEN t.transcript_id % 10 = 0 OR "
-               "(t.transcript_id // 10) % 41 = 0 THEN 1 ELSE 0 END AS is_canonical FROM ens_transcript t"),
-        ("canon", "SELECT gid, count(*) AS n, min(transcript_id) AS tid FROM tx WHERE is_canonical = 1 "
-                  "GROUP BY gid"),
-        ("ct", "SELECT tx.* FROM tx JOIN canon ON tx.transcript_id = canon.tid WHERE canon.n = 1"),
-        ("ext", "SELECT transcript_id, string_agg(id || ':' || CAST(s AS VARCHAR) || '-' || "
-                "CAST(en AS VARCHAR), ';' ORDER BY s, en, id) AS exons FROM ex GROUP BY transcript_id"),
-    ],
-    "SELECT g.stable_id AS id, 'SYM' || CAST(g.gene_id AS VARCHAR) AS name, g.description, "
-    'g.seq_region_start AS "start", g.seq_region_end AS "end", g.gene_id % 2 = 0 AS "forwardStrand", '
-    "'protein_coding' AS biotype, r.name AS chromosome, 'ENST' || CAST(ct.transcript_id AS VARCHAR) AS ct_id, "
-    "ct.seq_region_start AS ct_start, ct.seq_region_end AS ct_end, "
-    'ct.seq_region_strand = 1 AS "ct_forwardStrand", CASE WHEN ct.seq_region_strand = 1 THEN '
-    "ct.seq_region_start ELSE ct.seq_region_end END AS ct_tss, CASE WHEN ct.transcript_id IS NULL THEN NULL "
-    "ELSE coalesce(ext.exons, '') END AS ct_exons, "
-    'CASE WHEN ct.gid % 43 <> 0 THEN ct.seq_region_start + 10 END AS "ct_translationStart", '
-    'CASE WHEN ct.gid % 43 <> 0 THEN ct.seq_region_end - 10 END AS "ct_translationEnd" '
-    "FROM ens_gene g JOIN ens_seq_region r ON g.seq_region_id = r.seq_region_id "
-    "LEFT JOIN ct ON ct.gid = g.gene_id LEFT JOIN ext ON ext.transcript_id = ct.transcript_id")
-
-NESTED_VARIANT_SQL = O.with_ctes(
-    ["ens_seq_region", "variation", "variation_feature"], [
-        ("m", "SELECT vf.variation_id, vf.seq_region_start AS s, r.name AS nm, row_number() OVER ("
-              "PARTITION BY vf.variation_id ORDER BY vf.seq_region_start, r.name) AS rn "
-              "FROM variation_feature vf JOIN ens_seq_region r ON vf.seq_region_id = r.seq_region_id"),
-    ],
-    "SELECT v.name AS id, (v.variation_id % 50) / 1e2 AS maf, "
-    "substring('ACGT', CAST(v.variation_id % 4 + 1 AS INTEGER), 1) AS \"ancestralAllele\", "
-    "substring('ACGT', CAST((v.variation_id + 1) % 4 + 1 AS INTEGER), 1) AS \"minorAllele\", "
-    "m.s AS position, m.nm AS chromosome FROM variation v LEFT JOIN m ON m.variation_id = v.variation_id "
-    "AND m.rn = 1")
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
