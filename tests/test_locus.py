@@ -96,3 +96,21 @@ def test_entry_flagship(spark):
     df = E.entry(spark)
     assert df.count() == 41
     assert "geneTss" in df.columns and df.where(F.col("id").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("sf,expected", [
+    ("sf0.001", dict(rows=181, genes=13, variants=41, leadVariants=18, diseases=46,
+                     geneVariants=41, variantLeadVariants=57, leadVariantDiseases=145, other=56)),
+    ("sf0.01", dict(rows=164, genes=14, variants=46, leadVariants=19, diseases=49,
+                    geneVariants=46, variantLeadVariants=57, leadVariantDiseases=144, other=53)),
+])
+def test_default_locus_matches_measured_shape(spark, sf, expected):
+    """FIXTURES.md B.7: the default locus measured independently in DuckDB."""
+    from locusforge.plans.build import Dataset
+    ds = Dataset(spark, f"/root/testdata/{sf}")
+    w = L.window_rows(ds.processed, "7", 3000000, 12000000)
+    out = L.locus(ds.processed, ds.genes, L.Locus("7", 3000000, 12000000))
+    got = {k: out[k].count() for k in expected if k not in ("rows", "other")}
+    got["rows"] = w.count()
+    got["other"] = w.where("GRCh38_chrom <> '7'").count()
+    assert got == expected
