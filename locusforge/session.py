@@ -77,8 +77,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def fits_in_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``offset(n).isEmpty()`` runs an incremental take: partitions are read
+    until n+1 rows are seen and nothing is shuffled, so the check costs a few
+    partitions of a large table. (``limit(n+1).count()`` would instead move up
+    to n+1 rows from every partition into one task.)
+    """
+    return df.offset(int(max_rows)).isEmpty()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
