@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from locusforge import schemas as S
 from locusforge.operators.locus import representative
-from locusforge.session import broadcast_if_small
+from locusforge.session import BROADCAST_MAX_ROWS, broadcast_if_small, fits_in_rows
 
 
 def _one(spark_df: DataFrame, value: str, name: str = "query") -> DataFrame:
@@ -103,11 +103,16 @@ def variant_location(processed: DataFrame, variant_id: str) -> DataFrame:
 def search_batch(processed: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:
     """One row per query string that is a variant or lead-variant id."""
     q = queries.select(F.col(query_col).alias("id")).where(F.col("id").isNotNull()).distinct()
-    # The (checked) query side is the build side: the evidence is filtered in
-    # place and only its distinct hits are shuffled.
     ids = (processed.select(F.col("ld_snp_rsID").alias("id"))
            .unionByName(processed.select(F.col("gwas_snp").alias("id"))))
-    hits = ids.join(broadcast_if_small(q), "id", "left_semi").distinct()
+    if fits_in_rows(q, BROADCAST_MAX_ROWS):
+        # Small query table: broadcast it, filter the evidence in place and
+        # shuffle only the distinct hits.
+        hits = ids.join(F.broadcast(q), "id", "left_semi").distinct()
+    else:
+        # Large query table: reduce the ids first (partial aggregation); the
+        # semi join then reuses that hash partitioning.
+        hits = ids.distinct().join(q, "id", "left_semi")
     return hits.select("id", F.col("id").alias("name"), F.lit("variant").alias("type"))
 
 

@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 from locusforge import schemas as S
 from locusforge.operators.processed import chromosome_membership
 
+# Upper bound on rows per output file: a large range partition is written as
+# several sorted files instead of one oversized file.
+MAX_RECORDS_PER_FILE = 5_000_000
+
 
 def write_transformed(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """K1: transformed evidence as Parquet (default) or gzipped TSV with header."""
@@ -33,10 +37,15 @@ def write_transformed(df: DataFrame, path: str, fmt: str = "parquet", mode: str
 
 def write_processed(df: DataFrame, path: str, num_partitions: int | None = None,
                     mode: str = "overwrite") -> str:
-    """K2: processed table, clustered by (disease_efo_id, idx)."""
+    """K2: processed table, clustered by (disease_efo_id, idx).
+
+    ``num_partitions`` should be about table size / 512 MB on a cluster; the
+    default is ``spark.sql.shuffle.partitions``.
+    """
     keys = ["disease_efo_id", S.KEY]
     out = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    out.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+    (out.sortWithinPartitions(*keys).write.mode(mode)
+     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path))
     return path
 
 
@@ -53,7 +62,8 @@ def write_by_chromosome(processed: DataFrame, path: str, num_partitions: int | N
     keys = ["chrom", "GRCh38_pos", S.KEY]
     rows = (rows.repartitionByRange(num_partitions, *keys) if num_partitions
             else rows.repartitionByRange(*keys))
-    rows.sortWithinPartitions(*keys).write.mode(mode).partitionBy("chrom").parquet(path)
+    (rows.sortWithinPartitions(*keys).write.mode(mode)
+     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("chrom").parquet(path))
     return path
 
 

@@ -88,3 +88,11 @@ def test_batch_vertices_per_locus(ds):
     genes = L.gene_vertices(pairs, ds.genes, keys=["locus_id"]).where(F.col("locus_id") == "chr7")
     single = L.gene_vertices(L.window_rows(ds.processed, "7", 3000000, 12000000), ds.genes)
     assert sorted(r.id for r in genes.collect()) == sorted(r.id for r in single.collect())
+
+
+def test_search_batch_large_query_path(ds, monkeypatch):
+    qs = ds.evidence.selectExpr("gwas_snp AS query")
+    small = sorted(r.id for r in K.search_batch(ds.processed, qs).collect())
+    monkeypatch.setattr(K, "BROADCAST_MAX_ROWS", 10)   # force the distinct-first plan
+    large = sorted(r.id for r in K.search_batch(ds.processed, qs).collect())
+    assert small == large and len(small) > 10
