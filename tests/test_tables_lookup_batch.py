@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from locusforge.operators import batch_locus as B
@@ -96,3 +97,16 @@ def test_search_batch_large_query_path(ds, monkeypatch):
     monkeypatch.setattr(K, "BROADCAST_MAX_ROWS", 10)   # force the distinct-first plan
     large = sorted(r.id for r in K.search_batch(ds.processed, qs).collect())
     assert small == large and len(small) > 10
+
+
+def test_range_arguments_need_exactly_two_values(ds):
+    from locusforge.operators import predicates as P
+    base = TB.locus_table(ds.processed, "7", 3000000, 12000000)[1].first().total
+    for bad in [(0.5,), (0.1, 0.2, 0.3), ()]:
+        f = P.LocusFilters(score=bad, r2=bad, pvalue=bad)
+        assert f.predicate() is None
+        assert TB.locus_table(ds.processed, "7", 3000000, 12000000, f)[1].first().total == base
+    with pytest.raises(ValueError):
+        TB.sort_columns(["noSuchField"])
+    with pytest.raises(ValueError):
+        TB.locus_table(ds.processed, "7", 1, 2, P.LocusFilters(must_haves=("score",)))
