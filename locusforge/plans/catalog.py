@@ -270,6 +270,15 @@ def _sample_rows(spark, sf):
     return R.sample_rows(_ds(spark, sf).evidence, 500).select("idx", "gene_id", "gwas_snp", "score")
 
 
+def _first_rows(spark, sf):
+    """R2: the first 500 rows of one evidence file (written in idx order)."""
+    path = scratch_path(spark, "evidence-ordered-tsv")
+    (_ds(spark, sf).evidence.select("idx", "gene_id", "gwas_snp", "score").orderBy("idx").coalesce(1)
+     .write.option("sep", "\t").option("header", True).csv(path))
+    return R.read_evidence(spark, path, tissues=[], key_column="idx", nrows=500).select(
+        "idx", "gene_id", "gwas_snp", "score")
+
+
 def _row_index(spark, sf):
     path = K_.write_transformed(_ds(spark, sf).raw, scratch_path(spark, "transformed-idx"))
     df = R.read_transformed(spark, path, add_index=False).drop("idx")
@@ -443,6 +452,7 @@ QUERIES: dict[str, Query] = {
     "layout_locus_gene_variants": _layout_locus("geneVariants"),
     "gene_lookup_json": _gene_lookup_json,
     "sample_rows": _sample_rows,
+    "first_rows": _first_rows,
     "row_index": _row_index,
     "ot_vep_join": _ot_vep_join,
 }
@@ -557,6 +567,8 @@ def _oracle() -> dict[str, str]:
         "gene_lookup_json": O.with_ctes(["genes"], [], "SELECT * FROM genes"),
         "sample_rows": O.with_ctes(["evidence"], [], "SELECT idx, gene_id, gwas_snp, score FROM evidence "
                                    "ORDER BY idx LIMIT 500"),
+        "first_rows": O.with_ctes(["evidence"], [], "SELECT idx, gene_id, gwas_snp, score FROM evidence "
+                                  "ORDER BY idx LIMIT 500"),
         "row_index": O.with_ctes(["raw"], [], "SELECT count(*) AS n, count(*) AS n_distinct, "
                                  "CAST(0 AS BIGINT) AS min_idx, count(*) - 1 AS max_idx FROM raw"),
         "ot_vep_join": O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep "

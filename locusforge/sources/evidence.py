@@ -53,13 +53,19 @@ def typed_evidence(df: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
 
 def read_evidence(spark: SparkSession, path: str, tissues: Sequence[str] = S.GTEX_TISSUES,
                   sep: str = "\t", key_column: str | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, nrows: int | None = None) -> DataFrame:
     """Evidence TSV (optionally gzipped) -> typed DataFrame.
 
     A gzip file is one task; ``num_partitions`` spreads the rows right after
     the scan (round-robin, no key skew) so later stages run in parallel.
+    ``nrows`` (R2) keeps the first n rows in scan order (file order for a
+    single file, as with a ``--sample`` run), using the dense scan-order
+    index, so the sample is the same on every run.
     """
-    df = typed_evidence(read_delimited(spark, path, sep), tissues, key_column=key_column)
+    raw = read_delimited(spark, path, sep)
+    if nrows is not None:
+        raw = with_row_index(raw, "_row").where(F.col("_row") < int(nrows)).drop("_row")
+    df = typed_evidence(raw, tissues, key_column=key_column)
     return df.repartition(num_partitions) if num_partitions else df
 
 
