@@ -198,3 +198,31 @@ def locus(source: DataFrame, genes: DataFrame, request: Locus, cache: bool = Fal
         "leadVariantDiseases": lead_variant_disease_edges(filtered, flag),
         "maxGwasPValue": max_gwas_pvalue(unfiltered),
     }
+
+
+def locus_batch(source: DataFrame, genes: DataFrame, loci: DataFrame,
+                filters: P.LocusFilters = P.LocusFilters(), flag: Column | None = None,
+                method: str = "auto", bin_size: int | None = None) -> dict[str, DataFrame]:
+    """Q1 for a whole table of windows (locus_id, chrom, start, end) in one job.
+
+    Rows are matched to windows by the batch locus join (J8); every output is
+    grouped by ``locus_id`` first, so each window gets exactly what a single
+    ``locus`` request would return for it. Windows without any row are
+    absent (a single request would return empty lists and a NULL maximum).
+    """
+    from locusforge.operators.batch_locus import DEFAULT_BIN, batch_locus_rows
+    pairs = batch_locus_rows(source, loci, method, bin_size or DEFAULT_BIN)
+    edge_pred = filters.predicate()
+    filtered = pairs.where(edge_pred) if edge_pred is not None else pairs
+    genes = broadcast_if_small(genes, BROADCAST_MAX_ROWS)
+    k = ["locus_id"]
+    return {
+        "genes": gene_vertices(pairs, genes, flag, k),
+        "variants": variant_vertices(pairs, flag, k),
+        "leadVariants": lead_variant_vertices(pairs, flag, k),
+        "diseases": disease_vertices(pairs, flag, k),
+        "geneVariants": gene_variant_edges(filtered, genes, flag, k),
+        "variantLeadVariants": variant_lead_variant_edges(filtered, flag, k),
+        "leadVariantDiseases": lead_variant_disease_edges(filtered, flag, k),
+        "maxGwasPValue": max_gwas_pvalue(pairs, k),
+    }

@@ -353,6 +353,14 @@ def _annotation_parquet(spark, sf):
     return genes.withColumn("exons", exons_text(F.col("exons")))
 
 
+def _locus_batch(child: str) -> Query:
+    def run(spark, sf):
+        ds = _ds(spark, sf)
+        loci = B.loci_around_genes(ds.gene_dim, GENE_FLANK)
+        return L.locus_batch(ds.membership, ds.genes, loci, P.LocusFilters(**_edge_kw()))[child]
+    return run
+
+
 def _keyset_page(spark, sf):
     rows = L.window_rows(_ds(spark, sf).processed, CHROM, START, END)
     first = TB.keyset_page(rows, None, PAGE_OFFSET).collect()   # one small page on the driver
@@ -436,6 +444,8 @@ QUERIES: dict[str, Query] = {
     "batch_locus_binned": _batch_binned,
     "batch_locus_auto": _batch_auto,
     "batch_locus_genes": _batch_locus_genes,
+    "batch_locus_gene_variants": _locus_batch("geneVariants"),
+    "batch_locus_max_pvalue": _locus_batch("maxGwasPValue"),
     "keyset_page": _keyset_page,
     # Structured Streaming forms of Q7 and A14
     "stream_transform": _stream_transform,
@@ -558,6 +568,9 @@ def _oracle() -> dict[str, str]:
         "roundtrip_tsv": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "r1_tsv_transform": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
         "batch_locus_genes": O.batch_locus_genes_sql(O.loci_around_genes_sql(GENE_FLANK)),
+        "batch_locus_gene_variants": O.batch_locus_gene_variants_sql(
+            O.loci_around_genes_sql(GENE_FLANK), O.filters_sql(**_edge_kw())),
+        "batch_locus_max_pvalue": O.batch_locus_max_pvalue_sql(O.loci_around_genes_sql(GENE_FLANK)),
         "keyset_page": O.keyset_page_sql(CHROM, START, END, PAGE_OFFSET, PAGE_LIMIT),
         "roundtrip_processed": O.with_ctes(["processed"], [], "SELECT * FROM processed"),
         "roundtrip_partitioned": O.with_ctes(["member"], [], f"SELECT idx, chrom, {S.LEAD_CHROM}, "

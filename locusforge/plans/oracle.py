@@ -339,6 +339,33 @@ def batch_locus_genes_sql(loci_sql: str) -> str:
     return with_ctes(["member", "genes"], [("loci", loci_sql), ("pairs", pairs), ("r", rep)], body)
 
 
+def _pairs_sql() -> str:
+    return ("SELECT l.locus_id, m.* FROM member m JOIN loci l ON m.chrom = l.chrom "
+            f"WHERE {RESOLVED} AND " + in_window(0, 0, 'l."start"', 'l."end"'))
+
+
+def batch_locus_gene_variants_sql(loci_sql: str, filt: str | None) -> str:
+    payload = [("geneSymbol", "gene_symbol"), ("geneChromosome", "GRCh38_gene_chrom"),
+               ("vPos", "GRCh38_pos"), ("otG2VScore", "score"),
+               ("gtexMaxTissue", "gtex_max_tissue"), ("gtexMaxValue", "gtex_max_value"),
+               ("vep", "ot_vep"), ("vepTerms", "vep_terms"), ("gtex", "GTEx"), ("pchic", "PCHiC"),
+               ("fantom5", "Fantom5"), ("dhs", "DHS"), ("nearest", "Nearest > 0")]
+    rep = rep_sql("f", ["locus_id", "gene_id", "ld_snp_rsID"], payload, None)
+    cols = ", ".join(f'r."{a}"' for a, _ in payload)
+    body = (f"SELECT r.locus_id, {composite('r.gene_id', 'r.ld_snp_rsID')} AS id, r.gene_id AS \"geneId\", "
+            f"g.tss AS \"geneTss\", r.ld_snp_rsID AS \"vId\", {cols}, r.selected "
+            "FROM r LEFT JOIN genes g ON r.gene_id = g.gene_id")
+    f = "SELECT * FROM pairs" + (f" WHERE {filt}" if filt else "")
+    return with_ctes(["member", "genes"], [("loci", loci_sql), ("pairs", _pairs_sql()), ("f", f),
+                                           ("r", rep)], body)
+
+
+def batch_locus_max_pvalue_sql(loci_sql: str) -> str:
+    body = ('SELECT locus_id, CASE WHEN min(gwas_pvalue) > 0 THEN -log10(min(gwas_pvalue)) END '
+            'AS "maxGwasPValue" FROM pairs GROUP BY locus_id')
+    return with_ctes(["member"], [("loci", loci_sql), ("pairs", _pairs_sql())], body)
+
+
 def keyset_page_sql(chrom: str, start: int, end: int, first_page: int, limit: int) -> str:
     """Rows after the last row of a first page of ``first_page`` rows, in row order."""
     extra = [("t", window_sql(chrom, start, end)),

@@ -110,3 +110,16 @@ def test_range_arguments_need_exactly_two_values(ds):
         TB.sort_columns(["noSuchField"])
     with pytest.raises(ValueError):
         TB.locus_table(ds.processed, "7", 1, 2, P.LocusFilters(must_haves=("score",)))
+
+
+def test_locus_batch_equals_single_requests(ds):
+    loci = B.loci_per_chromosome(ds.gene_dim, 3000000, 12000000)
+    batch = L.locus_batch(ds.membership, ds.genes, loci)
+    single = L.locus(ds.processed, ds.genes, L.Locus("7", 3000000, 12000000))
+    for key in ["genes", "variants", "leadVariants", "diseases", "geneVariants",
+                "variantLeadVariants", "leadVariantDiseases"]:
+        b = sorted(r.id or "" for r in batch[key].where(F.col("locus_id") == "chr7").collect())
+        s = sorted(r.id or "" for r in single[key].collect())
+        assert b == s, key
+    bp = batch["maxGwasPValue"].where(F.col("locus_id") == "chr7").first().maxGwasPValue
+    assert bp == single["maxGwasPValue"].first().maxGwasPValue
