@@ -1,5 +1,6 @@
 from locusforge.api import EvidenceAPI
 from locusforge.operators import locus as L
+from locusforge.operators import tables as TB
 from locusforge.plans.build import write_tables
 from locusforge.session import scratch_path
 
@@ -16,6 +17,16 @@ def test_api_from_stored_tables(spark, ds):
     assert page["rows"].count() == 10 and page["total"].first().total == 181
     d = api.diseaseTable("EFO_7", 0, 5)
     assert d["rows"].count() == 5
+    first = api.diseaseTable("EFO_7", after=None, offset=0, limit=5)["rows"].collect()
+    deep = api.diseaseTable("EFO_7", offset=5, limit=5)["rows"].collect()
+    last = api.locusTable("7", 3000000, 12000000, offset=0, limit=5)["rows"]
+    nxt = api.locusTable("7", 3000000, 12000000, offset=5, limit=5)["rows"].collect()
+    rows = L.window_rows(api.layout, "7", 3000000, 12000000)
+    k = TB.keyset_page(rows, None, 5).collect()[-1]
+    key = (k["index"], k["_lead_chrom"], k["_lead_pos"])
+    by_key = api.locusTable("7", 3000000, 12000000, limit=5, after=key)["rows"].collect()
+    assert [r["index"] for r in by_key] == [r["index"] for r in nxt]
+    assert len(first) == 5 and len(deep) == 5 and last.count() == 5
     assert api.geneLocation("ENSG137").count() == 1
     assert api.search("rs549").count() in (0, 1)
     assert api.variantLocation("nope").count() == 0
