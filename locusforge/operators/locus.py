@@ -202,16 +202,26 @@ def locus(source: DataFrame, genes: DataFrame, request: Locus, cache: bool = Fal
 
 def locus_batch(source: DataFrame, genes: DataFrame, loci: DataFrame,
                 filters: P.LocusFilters = P.LocusFilters(), flag: Column | None = None,
-                method: str = "auto", bin_size: int | None = None) -> dict[str, DataFrame]:
+                method: str = "auto", bin_size: int | None = None,
+                materialize: bool = False) -> dict[str, DataFrame]:
     """Q1 for a whole table of windows (locus_id, chrom, start, end) in one job.
 
     Rows are matched to windows by the batch locus join (J8); every output is
     grouped by ``locus_id`` first, so each window gets exactly what a single
     ``locus`` request would return for it. Windows without any row are
     absent (a single request would return empty lists and a NULL maximum).
+
+    ``materialize=True`` runs the window join once and checkpoints the
+    (locus, row) pairs into the shared checkpoint folder, so the eight outputs
+    read them instead of recomputing the join (and a lost executor does not
+    send them back to the join).
     """
     from locusforge.operators.batch_locus import DEFAULT_BIN, batch_locus_rows
+    from locusforge.session import shared_dir
     pairs = batch_locus_rows(source, loci, method, bin_size or DEFAULT_BIN)
+    if materialize:
+        shared_dir(pairs.sparkSession)   # make sure a checkpoint folder is set
+        pairs = pairs.checkpoint(eager=True)
     edge_pred = filters.predicate()
     filtered = pairs.where(edge_pred) if edge_pred is not None else pairs
     genes = broadcast_if_small(genes, BROADCAST_MAX_ROWS)

@@ -114,7 +114,7 @@ def test_range_arguments_need_exactly_two_values(ds):
 
 def test_locus_batch_equals_single_requests(ds):
     loci = B.loci_per_chromosome(ds.gene_dim, 3000000, 12000000)
-    batch = L.locus_batch(ds.membership, ds.genes, loci)
+    batch = L.locus_batch(ds.membership, ds.genes, loci, materialize=True)
     single = L.locus(ds.processed, ds.genes, L.Locus("7", 3000000, 12000000))
     for key in ["genes", "variants", "leadVariants", "diseases", "geneVariants",
                 "variantLeadVariants", "leadVariantDiseases"]:
