@@ -54,3 +54,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def per_process(key, build):
+    """``build()``, made once in each Python process.
+
+    Functions reach the workers by value, so what they keep in globals lasts
+    one task; what is kept here lasts as long as the worker.
+    """
+    import sys
+    import types
+    kept = sys.modules.setdefault("_locusforge_kept", types.ModuleType("_locusforge_kept")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
+def slices(batch, column: str, most_bytes: int = 1 << 20):
+    """Slices of an Arrow batch of at most so many bytes in a string or binary column (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def open_shared(path: str, mode: str):
+    """Open a file of the shared folder in a Python worker ("rb" or "wb"), wherever that folder is."""
+    from pyarrow import fs
+    if "://" not in path and not path.startswith("file:"):
+        store, inner = fs.LocalFileSystem(), path
+    elif path.startswith("file:"):
+        store, inner = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        store, inner = fs.FileSystem.from_uri(path)
+    if mode == "rb":
+        return store.open_input_file(inner)
+    store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(inner, compression=None)
