@@ -44,9 +44,11 @@ def with_key(docs: DataFrame) -> DataFrame:
                        text_of().alias("text"))
 
 
-def same_document(a: DataFrame, b: DataFrame) -> Column:
-    """Join condition on the key of ``with_key``; a null doc_id equals null."""
-    return (a["text_hash"] == b["text_hash"]) & a["id"].eqNullSafe(b["id"])
+def join_documents(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the key of ``with_key``, which is kept once; a null doc_id equals null."""
+    right = right.withColumnsRenamed({"id": "_right_id", "text_hash": "_right_hash"})
+    same = (F.col("text_hash") == F.col("_right_hash")) & F.col("id").eqNullSafe(F.col("_right_id"))
+    return left.join(right, same, how).drop("_right_id", "_right_hash")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

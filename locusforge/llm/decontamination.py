@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import lower_ascii, same_document, stored, table, text_of, with_key
+from locusforge.llm.common import join_documents, lower_ascii, stored, table, text_of, with_key
 
 # Fixed value: what separates words once A-Z is in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,8 +101,8 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
     for length in lengths:
         own = suspects.where(F.col("length") == length).select("id", "text_hash", "prints")
         cut = with_fingerprints(
-            docs.join(own, same_document(docs, own)).select(
-                docs["id"], docs["text_hash"], words_of(F.col("text")).alias("words"), "prints"), length)
+            join_documents(docs, own).select(
+                "id", "text_hash", words_of(F.col("text")).alias("words"), "prints"), length)
         near = F.filter(F.sequence(F.lit(0), F.size("minima") - 1),
                         lambda i: F.array_contains(F.col("prints"), F.get(F.col("minima"), i)))
         part = (cut.withColumn("near", near)
@@ -147,9 +147,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = with_key(docs)
     hits = contamination(keyed, items)
     n_words = F.size(words_of(F.col("text")))
-    bad = (hits.join(keyed.distinct(), same_document(keyed, hits))
-           .where(is_contaminated(F.col("n_hit"), n_words))
-           .select(keyed["id"].alias("_bad_id"), keyed["text_hash"].alias("_bad_hash")))
+    bad = (join_documents(keyed, hits).where(is_contaminated(F.col("n_hit"), n_words))
+           .select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"])
                      & (F.xxhash64(text_of()) == bad["_bad_hash"]), "left_anti")
 
@@ -161,8 +160,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     counted = docs.select("id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return (counted.join(hits, same_document(counted, hits), "left")
-            .select(counted["id"].alias("doc_id"), "n_words", n_hit.alias("n_hit"),
+    return (join_documents(counted, hits, "left")
+            .select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
                     F.size(items).cast("long").alias("n_items"),
                     F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
                     is_contaminated(n_hit, F.col("n_words")).alias("contaminated")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import lower_ascii, same_document, stored, table, with_key
+from locusforge.llm.common import join_documents, lower_ascii, stored, table, text_of, with_key
 
 # Fixed value: the white space that is stripped from a line's ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -108,7 +108,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = with_key(docs)
     bitmaps = drop_bitmaps(keyed).select(F.col("id").alias("_dedup_id"), F.col("text_hash").alias("_dedup_hash"),
                                          F.col("dropped").alias("_dedup_dropped"))
-    from locusforge.llm.common import text_of
     joined = docs.join(bitmaps, docs["doc_id"].eqNullSafe(bitmaps["_dedup_id"])
                        & (F.xxhash64(text_of()) == bitmaps["_dedup_hash"]), "left")
     kept = F.when(F.col("_dedup_dropped").isNull(), F.col("text")).otherwise(
@@ -120,8 +119,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines before dropping, lines dropped, SHA-256 of what stays."""
     docs = with_key(table(spark, sf_dir, "documents"))
     bitmaps = drop_bitmaps(docs)
-    return (docs.join(bitmaps, same_document(docs, bitmaps), "left")
-            .select(docs["id"].alias("doc_id"),
+    return (join_documents(docs, bitmaps, "left")
+            .select(F.col("id").alias("doc_id"),
                     F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
                     n_dropped(F.col("dropped")).alias("n_dropped"),
                     F.sha2(apply_bitmap(F.col("text"), F.col("dropped")).cast("binary"), 256).alias("kept_sha256")))
