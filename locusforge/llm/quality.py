@@ -25,13 +25,16 @@ MAX_TRAINING_ROWS = 6000
 THRESHOLD = 0.7
 STEPS = 600
 RATE = 0.05
-DECAY = 1e-4
+DECAY = 1e-3
 
 # Symbols whose density marks junk.
 SYMBOLS = b"#*$%&|<>!~^=_@{}[]\\/+"
 N_SHAPES = 18
 # Byte pairs are folded into so many counts.
 N_PAIRS = 64
+# ASCII marks that are neither letters nor digits, each with a count of its own.
+MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
+WIDTH = N_SHAPES + len(MARKS) + N_PAIRS
 
 
 # --- features -------------------------------------------------------------
@@ -61,7 +64,7 @@ def features(raw: bytes) -> np.ndarray:
     if len(data) > 1:
         classes = _CLASSES[data]
         folded = np.bincount(classes[:-1] * 8 + classes[1:], minlength=N_PAIRS) / (len(data) - 1)
-    return np.concatenate((shapes, histogram[32:96] * 5, folded)).astype(np.float32)
+    return np.concatenate((shapes, histogram[MARKS] * 5, folded)).astype(np.float32)
 
 
 def _byte_classes() -> np.ndarray:
@@ -77,7 +80,7 @@ _CLASSES = _byte_classes()
 
 
 def feature_matrix(texts) -> np.ndarray:
-    return np.stack([features(raw) for raw in texts]) if len(texts) else np.zeros((0, N_SHAPES + 64 + N_PAIRS))
+    return np.stack([features(raw) for raw in texts]) if len(texts) else np.zeros((0, WIDTH))
 
 
 # --- training -------------------------------------------------------------
@@ -136,9 +139,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def train(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """Fit on feature rows. Without positives every text scores the prior of 0.5."""
-    width = N_SHAPES + 64 + N_PAIRS
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 0.5)
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     half = np.arange(len(p)) % 2 == 0
