@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, shard_ids: i
                 "n_symbols": len(grammar.symbols), "n_rules": len(grammar.rules)}], MANIFEST)
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", min(1 << 20, 4 * shard_ids)):
                 got, at = encoder.encode(piece.column("text").to_pylist())
                 names.append(piece.column("id"))
                 ids.append(got)

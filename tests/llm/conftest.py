@@ -1,17 +1,17 @@
 from __future__ import annotations
 
+import os
 import random
+import sys
 
 import pytest
 
-# An extra column that clashes with names the operators use inside.
-DOCS_DDL = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, ID string"
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
-
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-def sentence(rng: random.Random, n: int) -> str:
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
+from sample_words import sentence  # noqa: E402
 
+# An extra column that clashes with names the operators use inside.
+DOCS_DDL = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, ID string"
 
 def sample_texts() -> list[str | None]:
     """Nulls, empties, white space, copies, near copies, shared lines, odd characters, a long text."""
