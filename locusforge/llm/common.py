@@ -58,6 +58,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows that stand for files over all shuffle partitions.
+
+    Such rows are small and their work is not, so the number is given: Spark
+    would otherwise put them together by size, down to one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def per_process(key, build):
     """``build()``, made once in each Python process.
 

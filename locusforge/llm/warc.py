@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bytes_of, open_shared, slices, stored, table
+from locusforge.llm.common import bytes_of, open_shared, slices, spread, stored, table
 from locusforge.session import scratch_path
 
 # Payloads under this size are always stored.
@@ -196,7 +196,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                     [{"path": f"{base}.warc.gz", "index": f"{base}.idx", "offset": o, "length": n, "n_records": c}
                      for o, n, c in blocks], BLOCKS)
 
-    return stored(archives.repartition("path").mapInArrow(
+    return stored(spread(archives, "path").mapInArrow(
         run, "path string, index string, offset long, length long, n_records long"), "warc-blocks")
 
 
@@ -242,7 +242,7 @@ def read_archives(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, RECORDS)
 
     # Blocks are many small rows: spread them, or one task would read them all.
-    return blocks.repartition(F.col("path"), F.col("offset")).mapInArrow(
+    return spread(blocks, "path", "offset").mapInArrow(
         run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
