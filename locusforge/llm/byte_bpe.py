@@ -10,29 +10,32 @@ come together again before anything is read as UTF-8.
 from __future__ import annotations
 
 import base64
-import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import per_process, slices, table, text_of
+from locusforge.llm.common import bounded_batches, per_process, slices, table, text_of
+from locusforge.llm.remembered import Remembered
 
 # A text is cut before a blank that starts a word and after a newline that
 # ends a run of white space: no match of the pattern crosses these places, so
 # the pieces encode independently and repeated ones are looked up.
 CUTS = r"(?= \S)|(?<=\n)(?=\S)"
-# Pieces remembered in a worker before the memory is emptied.
-MAX_REMEMBERED = 400_000
-# Longer pieces are encoded without being remembered.
-LONGEST_REMEMBERED = 64
+# A run of Latin letters, with one mark after it or none, behind a newline or a
+# blank: matches of the pattern that are known beforehand, so the library's
+# model merges them without its splitter.
+LATIN = r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)"
 ENCODED_AT_ONCE = 4096
-# Rows of ids turned to Python values at a time.
-DECODED_AT_ONCE = 64
+# Bytes of text, or ids, that are worked on at a time.
+SLICE_BYTES = 1 << 20
+SLICE_IDS = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -99,33 +102,84 @@ class Codec:
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cuts = re.compile(CUTS)
-        self.known: dict[str, list[int]] = {}
+        self.wide = re.compile(r"\s\s")
+        self.latin = re.compile(LATIN).fullmatch
+        self.spelling = {b: c for b, c in enumerate(characters)}
+        self.marks = {m: ranks[m.encode()] for m in "\n.,;:!?"}
+        self.remembered = Remembered(self._encode_pieces)
+        # Bytes of all tokens in a row, and where each begins.
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(self.bytes_of_id.get(i, b"") for i in range(len(self.sizes))), np.uint8)
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of a newline and the text.
+
+        Where no white space stands side by side, every blank and newline
+        starts a piece, and the blank is left off. Other texts are cut by CUTS
+        and their pieces marked by two newlines, which no other piece has.
+        """
+        text = "\n" + text
+        if self.wide.search(text):
+            return ["\n", *("\n\n" + p for p in self.cuts.split(text[1:]))]
+        return text.replace("\n", " \n").split(" ")[1:]
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[list[int]] = [None] * len(pieces)
+        rest = []
+        merge, latin, spelling = self.tokenizer.model.tokenize, self.latin, self.spelling
+        for i, piece in enumerate(pieces):
+            if found := latin(piece):
+                line, word, mark = found.groups()
+                spelled = (word if line else " " + word).encode().decode("latin-1").translate(spelling)
+                ids[i] = [t.id for t in merge(spelled)]
+                if line:
+                    ids[i].insert(0, self.marks[line])
+                if mark:
+                    ids[i].append(self.marks[mark])
+            else:
+                rest.append(i)
+        full = [p[2:] if p.startswith("\n\n") else p if p.startswith("\n") else " " + p
+                for p in (pieces[i] for i in rest)]
+        for k in range(0, len(full), ENCODED_AT_ONCE):
+            for i, e in zip(rest[k:], self.tokenizer.encode_batch_fast(full[k:k + ENCODED_AT_ONCE],
+                                                                       add_special_tokens=False)):
+                ids[i] = e.ids
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and the place where each text's ids end.
+
+        Every text is encoded behind a newline, which is a token of its own
+        and taken off again.
+        """
+        ids, ends = self.remembered.lookup([self._cut(text) for text in texts])
+        first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        return np.delete(ids, first), ends - 1 - np.arange(len(ends))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text, as the rank file's own merge rule gives them."""
-        if len(self.known) > MAX_REMEMBERED:
-            self.known.clear()
-        known = self.known
-        cut = [self.cuts.split(text) for text in texts]
-        new = [p for p in set().union(*cut) if p not in known]
-        fresh = {}
-        for i in range(0, len(new), ENCODED_AT_ONCE):
-            part = new[i:i + ENCODED_AT_ONCE]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(piece) <= LONGEST_REMEMBERED else fresh)[piece] = e.ids
-        if not fresh:
-            return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
-        return [list(chain.from_iterable(known[p] if p in known else fresh[p] for p in pieces)) for pieces in cut]
-
-    def offsets(self, ids: list[int]) -> list[int]:
+        ids, ends = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+
+    def offsets(self, ids) -> np.ndarray:
         """The byte of the text at which each id's token ends; it starts where the one before ends.
 
         Offsets count bytes, so a token that is a part of a character has its own.
         """
-        return list(accumulate(len(self.bytes_of_id[i]) for i in ids))
+        return np.cumsum(self.sizes[np.asarray(ids, dtype=np.int64)])
+
+    def decode_flat(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a row of ids: every token's, from the reversed byte table."""
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        return self.spelled[np.repeat(self.begin[ids] - before, sizes) + np.arange(int(sizes.sum()))]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of_id.__getitem__, ids))
+        return self.decode_flat(np.asarray(ids, dtype=np.int64)).tobytes()
 
 
 def worker_codec(path: str, pattern: str) -> Codec:
@@ -140,29 +194,41 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, offsets: bool = T
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 c = worker_codec(path, pattern)
-                ids = c.encode_batch(part.column("text").to_pylist())
-                ends = [c.offsets(x) if offsets else None for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                    ["id", "ids", "ends"])
+                ids, ends = c.encode_flat(part.column("text").to_pylist())
+                places = pa.array(np.concatenate(([0], ends)), pa.int32())
+                lists = pa.ListArray.from_arrays(places, pa.array(ids, pa.int32()))
+                bytes_at = pa.nulls(len(lists), pa.list_(pa.int32()))
+                if offsets:
+                    bytes_at = pa.array([c.offsets(x) for x in np.split(ids, ends[:-1])], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, bytes_at], ["id", "ids", "ends"])
 
     rows = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>, ends array<int>")
+    return bounded_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>, ends array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(id, ids, raw): the bytes that the ids of each row stand for (null ids: none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, DECODED_AT_ONCE):
-                part = batch.slice(start, DECODED_AT_ONCE)
+            lists = pc.fill_null(batch.column("ids"), pa.scalar([], pa.list_(pa.int32())))
+            places = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(places, places[start] + SLICE_IDS, side="right")) - 1)
                 c = worker_codec(path, pattern)
-                raw = [c.decode(ids or []) for ids in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("ids"), pa.array(raw, pa.binary())],
-                                                 ["id", "ids", "raw"])
+                ids = values[places[start]:places[end]]
+                raw = c.decode_flat(ids)
+                edges = np.concatenate(([0], np.cumsum(c.sizes[ids])))[places[start:end + 1] - places[start]]
+                binary = pa.Array.from_buffers(pa.binary(), end - start, [
+                    None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(start, end - start), lists.slice(start, end - start), binary],
+                    ["id", "ids", "raw"])
+                start = end
 
     id_type = encoded.schema["id"].dataType.simpleString()
     return encoded.select("id", "ids").mapInArrow(run, f"id {id_type}, ids array<int>, raw binary")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusforge.session import scratch_path
 
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -58,6 +59,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, after the session was asked for Arrow batches of at most BATCH_BYTES.
+
+    Spark bounds batches by rows only, unless told otherwise; ten thousand
+    long texts would take the memory of a worker and as much beside the heap.
+    A smaller bound of the session is left as it is.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, None) or ""
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash rows that stand for files over all shuffle partitions.
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bytes_of, table
+from locusforge.llm.common import bounded_batches, bytes_of, table
 
 # Training rows of each kind, at most: a sample by hash of doc_id.
 MAX_TRAINING_ROWS = 6000
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Mo
                 yield pd.DataFrame({"positive": b["positive"], "unlabelled": b["unlabelled"],
                                     "x": [features(raw).tobytes() for raw in b["raw"]]})
 
-    rows = marked.mapInPandas(run, "positive boolean, unlabelled boolean, x binary").toPandas()
+    rows = bounded_batches(marked).mapInPandas(run, "positive boolean, unlabelled boolean, x binary").toPandas()
     rows = rows.sort_values("x")  # the same order whatever the partitioning
     x = np.stack([np.frombuffer(b, dtype=np.float32) for b in rows["x"]]) if len(rows) else np.zeros((0, 1))
     return train(x[rows["positive"].to_numpy(bool)].astype(float), x[rows["unlabelled"].to_numpy(bool)].astype(float))

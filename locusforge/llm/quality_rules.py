@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bytes_of, slices, stored, table, text_of
+from locusforge.llm.common import bounded_batches, bytes_of, slices, stored, table, text_of
 
 # A line in more documents of one host than this is boilerplate.
 MAX_DOCUMENTS = 100
@@ -89,7 +89,7 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"),
                        F.xxhash64(F.col(host)).alias("host"), bytes_of().alias("raw"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, text_hash long, host long, "
+    return bounded_batches(rows).mapInArrow(run, f"id {id_type}, text_hash long, host long, "
                            + ", ".join(f"{c} long" for c in COUNTS) + ", lines map<bigint,bigint>")
 
 

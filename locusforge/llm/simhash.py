@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bytes_of, stored, table, text_of
+from locusforge.llm.common import bounded_batches, bytes_of, stored, table, text_of
 from locusforge.llm.components import connected_components
 
 BITS = 64
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"),
                        bytes_of().alias("raw"))
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, text_hash long, print long")
+    return bounded_batches(rows).mapInArrow(run, f"id {id_type}, text_hash long, print long")
 
 
 # --- masks ----------------------------------------------------------------

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bytes_of, slices, stored, table, text_of
+from locusforge.llm.common import bounded_batches, bytes_of, slices, stored, table, text_of
 from locusforge.llm.suffix_array import common_prefixes, merged_firsts, suffix_array
 
 LENGTH = 100
@@ -347,7 +347,7 @@ def keyed_documents(docs: DataFrame) -> DataFrame:
 
 def repeated_strings(keyed: DataFrame) -> DataFrame:
     """(id, tag, start, n): runs of n repeated strings, the first starting at byte ``start``."""
-    rows = keyed.select("id", "tag", "raw").mapInArrow(_cut, SEGMENT_DDL)
+    rows = bounded_batches(keyed.select("id", "tag", "raw")).mapInArrow(_cut, SEGMENT_DDL)
     by = F.when(F.col("kind") == REPEATED, F.xxhash64("id", "pos")).otherwise(F.col("anchor"))
     settled = stored(rows.repartition(by).sortWithinPartitions("kind", "anchor", "content", "id", "pos")
                      .mapInArrow(_settle, SEGMENT_DDL), "segments")

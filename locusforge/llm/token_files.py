@@ -9,9 +9,11 @@ are never read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +22,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusforge.llm import repair
-from locusforge.llm.common import open_shared, per_process, slices, stored, table, text_of
+from locusforge.llm.byte_bpe import byte_characters
+from locusforge.llm.common import bounded_batches, open_shared, per_process, slices, spread, stored, table, text_of
+from locusforge.llm.remembered import Remembered
 from locusforge.session import scratch_path
 
 END_ID = 2
 # Ids after which a shard is closed at the next document's end.
 SHARD_IDS = 1_000_000
-# Words remembered in a worker before the memory is emptied.
-MAX_REMEMBERED = 800_000
-# Words that are encoded in one call, parted by SEPARATOR.
-ENCODED_AT_ONCE = 512
-# The tokenizer makes every digit a token of its own, and white space parts
-# words: a lone digit between newlines shows where a word ends. Words that
-# hold this digit themselves are encoded one by one.
-SEPARATOR = "0"
+# A run of Latin letters that have a composed form and one lower case, with one
+# mark after it or none: two tokenizer words at most, which the library's model
+# merges without its normaliser and splitter.
+LATIN = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)"
+# Other words that are encoded in one call.
+ENCODED_AT_ONCE = 4096
 
 
 class WordEncoder:
@@ -47,53 +49,33 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._ids(SEPARATOR)
-        assert len(self.mark) == 1
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.sizes = np.empty(0, dtype=np.int64)
-        self.starts = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.int32)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, words: list[str]) -> None:
-        sizes, ids = [], []
-        plain = [w for w in words if SEPARATOR not in w]
-        for i in range(0, len(plain), ENCODED_AT_ONCE):
-            got = np.array(self._ids(f"\n{SEPARATOR}\n".join(plain[i:i + ENCODED_AT_ONCE])), dtype=np.int32)
-            marks = np.flatnonzero(got == self.mark[0])
-            sizes.append(np.diff(np.concatenate(([-1], marks, [len(got)]))) - 1)
-            ids.append(np.delete(got, marks))
-        rest = [w for w in words if SEPARATOR in w]
-        for i in range(0, len(rest), ENCODED_AT_ONCE):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(rest[i:i + ENCODED_AT_ONCE],
-                                                                   add_special_tokens=False)]
-            sizes.append(np.array([len(x) for x in got]))
-            ids.append(np.array([x for y in got for x in y], dtype=np.int32))
-        self.number.update(zip(plain + rest, range(len(self.number), len(self.number) + len(words))))
-        self.sizes = np.concatenate((self.sizes, *sizes))
-        self.ids = np.concatenate((self.ids, *ids))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.latin = re.compile(LATIN).fullmatch
+        self.spelling = {b: c for b, c in enumerate(byte_characters())}
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,;:!?"}
+        self.remembered = Remembered(self._encode_words)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[list[int]] = [None] * len(words)
+        rest = []
+        merge, latin, marks = self.tokenizer.model.tokenize, self.latin, self.marks
+        for i, word in enumerate(words):
+            if found := latin(word):
+                stem, mark = found.groups()
+                ids[i] = [t.id for t in merge(stem.lower().encode().decode("latin-1").translate(self.spelling))]
+                if mark:
+                    ids[i].append(marks[mark])
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), ENCODED_AT_ONCE):
+            own = rest[k:k + ENCODED_AT_ONCE]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast([words[i] for i in own], add_special_tokens=False)):
+                ids[i] = e.ids
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and the place where each text ends."""
-        if len(self.number) > MAX_REMEMBERED:
-            self._forget()
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        new = [w for w in set().union(*cut) if w not in self.number]
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        words = np.fromiter((n for x in cut for n in map(self.number.__getitem__, x)), dtype=np.int64,
-                            count=int(counts.sum()))
-        sizes = self.sizes[words]
-        before = np.cumsum(sizes) - sizes
-        ids = self.ids[np.repeat(self.starts[words] - before, sizes) + np.arange(int(sizes.sum()))]
-        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+        ids, ends = self.remembered.lookup([text.replace("\n", " ").split(" ") for text in texts])
         return np.insert(ids, ends, END_ID), ends + 1 + np.arange(len(ends))
 
 
@@ -105,7 +87,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, shard_ids: i
     equal doc_id are ordered by text. An empty table writes no shard.
     """
     rows = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
+    ordered = bounded_batches(rows).repartitionByRange(F.col("id")).sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -176,7 +158,7 @@ def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                         ["id", "start", "ids"])
 
     listed = with_starts(manifest).select("path", "start")
-    return (listed.repartition(F.col("path")).mapInArrow(run, f"id {id_type}, start long, ids array<int>"))
+    return (spread(listed, "path").mapInArrow(run, f"id {id_type}, start long, ids array<int>"))
 
 
 # Documents of a shard handed to Spark at a time.

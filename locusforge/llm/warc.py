@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bytes_of, open_shared, slices, spread, stored, table
+from locusforge.llm.common import bounded_batches, bytes_of, open_shared, slices, spread, stored, table
 from locusforge.session import scratch_path
 
 # Payloads under this size are always stored.
@@ -156,7 +156,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             yield close()
 
     named = records.withColumns({c: F.col(c).cast("string") for c in ("id", "refers_to")})
-    return stored(named.mapInArrow(run, "path string, n_records long"), "warc-archives")
+    return stored(bounded_batches(named).mapInArrow(run, "path string, n_records long"), "warc-archives")
 
 
 ARCHIVES = pa.schema([("path", pa.string()), ("n_records", pa.int64())])

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from locusforge.llm import byte_bpe as B
+from locusforge.llm import byte_bpe as B, remembered
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -38,7 +38,17 @@ def test_random_texts(reference):
     for text, ids in zip(texts, got):
         ends = codec.offsets(ids)
         assert codec.decode(ids) == text.encode()
-        assert not ids or ends[-1] == len(text.encode())
+        assert len(ends) == len(ids) and (not ids or ends[-1] == len(text.encode()))
+
+
+def test_latin_words(reference):
+    """Words that skip the library's splitter, with every letter and mark of that path."""
+    codec = B.Codec(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x250)) if c not in (0xD7, 0xF7)]
+    words = [*letters, *("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(3000))]
+    text = " ".join(w + rng.choice(["", "", ".", ",", ";", ":", "!", "?"]) for w in words)
+    assert codec.encode_batch([text, text[1:]]) == [reference.encode_ordinary(text), reference.encode_ordinary(text[1:])]
 
 
 def test_offsets_of_split_characters():
@@ -47,11 +57,11 @@ def test_offsets_of_split_characters():
     ids = codec.encode_batch([text])[0]
     ends = codec.offsets(ids)
     raw = text.encode()
-    assert [raw[a:b] for a, b in zip([0, *ends], ends)] == [codec.bytes_of_id[i] for i in ids]
+    assert [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())] == [codec.bytes_of_id[i] for i in ids]
 
 
 def test_memory_is_emptied(monkeypatch, reference):
-    monkeypatch.setattr(B, "MAX_REMEMBERED", 5)
+    monkeypatch.setattr(remembered, "MAX_REMEMBERED", 5)
     codec = B.Codec(PATH, public_tokenizers.PATTERN)
     for text in ("one two three four five six", "two seven eight " * 3, "x" * 500 + " one"):
         assert codec.encode_batch([text]) == [reference.encode_ordinary(text)]

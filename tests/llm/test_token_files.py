@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from locusforge.llm import repair, token_files as T
+from locusforge.llm import remembered, repair, token_files as T
 from locusforge.session import scratch_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,15 @@ def test_encoder_matches_the_library(tokenizer):
     assert encoder.encode([])[0].tolist() == []
 
 
+def test_latin_words(tokenizer):
+    rng = random.Random(3)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+    words = [*letters, *("".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(3000)), "a" * 300]
+    text = " ".join(w + rng.choice(["", "", ".", ",", ";", ":", "!", "?"]) for w in words)
+    want = [*tokenizer.encode(text, add_special_tokens=False).ids, T.END_ID]
+    assert T.WordEncoder(PATH).encode([text])[0].tolist() == want
+
+
 def expected(rows, tokenizer):
     out, start = [], 0
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
@@ -72,7 +81,7 @@ def expected(rows, tokenizer):
 
 
 def test_files(spark, docs, tokenizer, monkeypatch):
-    monkeypatch.setattr(T, "MAX_REMEMBERED", 50)
+    monkeypatch.setattr(remembered, "MAX_REMEMBERED", 50)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     folder = scratch_path(spark, "token-files")
     manifest = T.write_token_files(docs, PATH, folder, shard_ids=500)
