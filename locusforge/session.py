@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 # Defaults that matter for every job of the library. Shuffle partitions are
 # left to the caller (cluster size decides them); AQE coalesces small ones.
@@ -24,10 +26,6 @@ SESSION_DEFAULTS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
-# Row-count bound below which a dimension side is broadcast. A million narrow
-# rows is tens of MB: it fits every executor many times over.
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "locusforge", extra: dict | None = None) -> SparkSession:
@@ -51,46 +49,48 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for materialised intermediate data.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint directory);
-    only when neither is set (local runs, tests) a fresh temporary folder is
-    created and registered as the checkpoint directory.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint directory).
+    Only a ``local[..]`` master may leave both unset: a temporary folder then
+    becomes the checkpoint directory and goes when the process ends. On a
+    cluster every executor would write to a disk of its own, so it raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    master = ""
     if not path:
         try:
+            master = spark.sparkContext.master
             path = spark.sparkContext.getCheckpointDir()
         except Exception:  # no SparkContext on this client (e.g. Spark Connect)
             path = None
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="locusforge-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
-        try:
-            spark.sparkContext.setCheckpointDir(path)
-        except Exception:
-            pass
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    _scratch.append(path)
+    return path
 
 
-def fits_in_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders handed out so far; how many were there.
 
-    ``offset(n).isEmpty()`` runs an incremental take: partitions are read
-    until n+1 rows are seen and nothing is shuffled, so the check costs a few
-    partitions of a large table. (``limit(n+1).count()`` would instead move up
-    to n+1 rows from every partition into one task.)
+    For the end of a job: results that still read from them must have been
+    written or collected before.
     """
-    return df.offset(int(max_rows)).isEmpty()
+    removed = 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; else a shuffle join.
-
-    Beyond the bound the plan stays a shuffled join (AQE may still switch it
-    to broadcast from runtime statistics).
-    """
-    return F.broadcast(df) if fits_in_rows(df, max_rows) else df
+_scratch: list[str] = []

@@ -1,9 +1,11 @@
 """Evidence and term-table readers.
 
 Delimited text is read with every column as string, then missing-value
-tokens become NULL and values are cast with ``try_cast`` (a malformed number
-is NULL, not a failed job). Columns are matched by header name, so extra or
-reordered input columns do not matter.
+tokens become NULL and values are cast. A whole number may be written as a
+float (``463.0``, as tables with a missing value often have it). A value that
+cannot be read fails the job, unless ``malformed="null"`` asks for NULL.
+Columns are matched by header name, so extra or reordered input columns do not
+matter; a missing one raises, as rows would be lost without a word.
 """
 
 from __future__ import annotations
@@ -15,12 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge import schemas as S
-from locusforge.session import BROADCAST_MAX_ROWS, fits_in_rows
 
 
-def _clean(c: Column, dtype: T.DataType, na_tokens: Sequence[str]) -> Column:
+def _clean(name: str, dtype: T.DataType, na_tokens: Sequence[str], malformed: str = "fail",
+           ansi: bool = True) -> Column:
+    c = F.col(f"`{name}`")
     v = F.when(~c.isin(list(na_tokens)), c)
-    return v if isinstance(dtype, T.StringType) else v.try_cast(dtype)
+    if isinstance(dtype, T.StringType):
+        return v
+    if malformed == "fail" and ansi and isinstance(dtype, T.DoubleType):
+        return v.cast(dtype)  # ANSI casts raise, in far less generated code than a test of each column
+    parsed = v.try_cast(dtype)
+    if isinstance(dtype, (T.LongType, T.IntegerType)):
+        number = v.try_cast("decimal(38,6)")
+        parsed = F.coalesce(parsed, F.when(number == F.floor(number), number).try_cast(dtype))
+    if malformed == "null":
+        return parsed
+    complaint = F.concat(F.lit(f"column {name}: not a {dtype.simpleString()}: "), v)
+    return F.when(v.isNotNull() & parsed.isNull(), F.raise_error(complaint).cast(dtype)).otherwise(parsed)
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -31,21 +45,32 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame
 
 def typed_evidence(df: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
                    na_tokens: Sequence[str] = S.NA_TOKENS, key_column: str | None = None,
-                   extra: dict[str, T.DataType] | None = None) -> DataFrame:
+                   extra: dict[str, T.DataType] | None = None, columns: Sequence[str] | None = None,
+                   malformed: str = "fail") -> DataFrame:
     """Select, NULL-clean and type the evidence columns of an all-string frame.
 
-    Columns absent from the input are added as typed NULLs. ``key_column``
-    (e.g. the unnamed leading index column ``_c0``) becomes ``idx``.
+    Tissue columns that the input lacks are typed NULLs; any other missing
+    column raises. ``columns`` asks for some evidence columns only.
+    ``key_column`` (e.g. the unnamed leading index column ``_c0``) becomes ``idx``.
     """
-    schema = S.evidence_schema(list(tissues))
-    fields = schema.fields + [T.StructField(n, t) for n, t in (extra or {}).items()]
+    fields = [f for f in S.evidence_schema(list(tissues)).fields
+              if columns is None or f.name in columns or f.name in tissues]
+    fields += [T.StructField(n, t) for n, t in (extra or {}).items()]
     have = set(df.columns)
+    ansi = df.sparkSession.conf.get("spark.sql.ansi.enabled", "true") == "true"
+    missing = [f.name for f in fields if f.name not in have and f.name not in tissues]
+    if key_column and key_column not in have:
+        missing.append(key_column)
+    if missing:
+        raise ValueError(f"the input has no column {', '.join(missing)}")
     cols = []
-    if key_column and key_column in have:
-        cols.append(_clean(F.col(f"`{key_column}`"), T.LongType(), na_tokens).alias(S.KEY))
+    if key_column:
+        text = isinstance(df.schema[key_column].dataType, T.StringType)
+        key = _clean(key_column, T.LongType(), na_tokens, malformed) if text else F.col(f"`{key_column}`")
+        cols.append(key.alias(S.KEY))
     for f in fields:
         if f.name in have:
-            cols.append(_clean(F.col(f"`{f.name}`"), f.dataType, na_tokens).alias(f.name))
+            cols.append(_clean(f.name, f.dataType, na_tokens, malformed, ansi).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols)
@@ -53,19 +78,27 @@ def typed_evidence(df: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
 
 def read_evidence(spark: SparkSession, path: str, tissues: Sequence[str] = S.GTEX_TISSUES,
                   sep: str = "\t", key_column: str | None = None,
-                  num_partitions: int | None = None, nrows: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, nrows: int | None = None,
+                  columns: Sequence[str] | None = None, add_index: bool = False,
+                  malformed: str = "fail") -> DataFrame:
     """Evidence TSV (optionally gzipped) -> typed DataFrame.
 
     A gzip file is one task; ``num_partitions`` spreads the rows right after
     the scan (round-robin, no key skew) so later stages run in parallel.
-    ``nrows`` (R2) keeps the first n rows in scan order (file order for a
-    single file, as with a ``--sample`` run), using the dense scan-order
-    index, so the sample is the same on every run.
+    ``add_index`` numbers the rows as they stand in the files (``idx``).
+    ``nrows`` (R2) keeps the first n rows: by key where there is one, as a
+    top n of every partition, else in the order of the files.
     """
     raw = read_delimited(spark, path, sep)
+    by_place = add_index or (nrows is not None and not key_column)
+    if by_place:
+        raw = with_file_row_index(raw, "_row")
+    df = typed_evidence(raw, tissues, key_column="_row" if by_place else key_column, columns=columns,
+                        malformed=malformed)
     if nrows is not None:
-        raw = with_row_index(raw, "_row").where(F.col("_row") < int(nrows)).drop("_row")
-    df = typed_evidence(raw, tissues, key_column=key_column)
+        df = sample_rows(df, nrows)
+        if not (add_index or key_column):
+            df = df.drop(S.KEY)
     return df.repartition(num_partitions) if num_partitions else df
 
 
@@ -77,9 +110,8 @@ def sample_rows(df: DataFrame, n: int, order_by: Sequence[str] = (S.KEY,)) -> Da
 def read_terms(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Term table (term, value columns; others ignored) with NA tokens as NULL."""
     raw = read_delimited(spark, path, sep)
-    return raw.select(
-        _clean(F.col("term"), T.StringType(), S.NA_TOKENS).alias("term"),
-        _clean(F.col("value"), T.DoubleType(), S.NA_TOKENS).alias("value"))
+    return raw.select(_clean("term", T.StringType(), S.NA_TOKENS).alias("term"),
+                      _clean("value", T.DoubleType(), S.NA_TOKENS, ansi=False).alias("value"))
 
 
 def terms_table(spark: SparkSession) -> DataFrame:
@@ -87,35 +119,20 @@ def terms_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(S.ECO_SCORES, "term string, value double")
 
 
-def terms_as_pairs(terms: DataFrame, max_terms: int = 10_000) -> list[tuple[str, float]]:
-    """A term table as (term, value) literals for ``ot_vep``, after a size check.
+def ot_vep_by_join(df: DataFrame, terms: DataFrame, minimum: float = S.MINIMUM_VEP_VALUE) -> DataFrame:
+    """C2 for a term table of any size: add ``ot_vep`` to ``df``.
 
-    Term vocabularies are small and bounded; the check refuses anything
-    larger rather than pulling an unbounded table to the driver (use
-    ``ot_vep_by_join`` then).
+    Only the distinct term strings are split and joined to the terms; the wide
+    rows then meet one number per string.
     """
-    if not fits_in_rows(terms, max_terms):
-        raise ValueError(f"term table has more than {max_terms} rows; use ot_vep_by_join")
-    return [(r["term"], r["value"]) for r in terms.where("term IS NOT NULL AND value IS NOT NULL")
-            .select("term", "value").collect()]
-
-
-def ot_vep_by_join(df: DataFrame, terms: DataFrame, key: str = S.KEY,
-                   minimum: float = S.MINIMUM_VEP_VALUE,
-                   broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """C2 for a term table of any size: explode terms, join, max per row key.
-
-    Adds ``ot_vep`` to ``df`` (which must have a unique ``key``).
-    """
-    t = terms.select("term", "value")
-    if fits_in_rows(t, broadcast_max_rows):
-        t = F.broadcast(t)
-    exploded = df.select(key, F.explode(F.split("vep_terms", ",")).alias("term"))
-    best = exploded.join(t, "term").groupBy(key).agg(F.max("value").alias("_best"))
-    b = F.coalesce(F.col("_best"), F.lit(0.0))
-    return (df.join(best, key, "left")
-            .withColumn("ot_vep", F.when(b >= F.lit(minimum), b).otherwise(F.lit(0.0)))
-            .drop("_best"))
+    known = terms.select("term", "value").where("term IS NOT NULL AND value IS NOT NULL")
+    strings = df.select(F.col("vep_terms").alias("_terms")).where("_terms IS NOT NULL").distinct()
+    best = (strings.select("_terms", F.explode(F.split("_terms", ",")).alias("term")).join(known, "term")
+            .groupBy("_terms").agg(F.max("value").alias("_best")))
+    score = F.coalesce(F.col("_best"), F.lit(0.0))
+    return (df.join(best, df["vep_terms"] == best["_terms"], "left")
+            .withColumn("ot_vep", F.when(score >= F.lit(minimum), score).otherwise(F.lit(0.0)))
+            .drop("_best", "_terms"))
 
 
 def with_row_index(df: DataFrame, name: str = S.KEY) -> DataFrame:
@@ -136,13 +153,32 @@ def with_row_index(df: DataFrame, name: str = S.KEY) -> DataFrame:
     return out.select((F.col("_off") + F.col("_pos")).alias(name), *df.columns)
 
 
+def with_file_row_index(df: DataFrame, name: str = S.KEY) -> DataFrame:
+    """Dense 0..n-1 index of a file scan, files in order of their paths, rows as they stand.
+
+    ``df`` must be read straight from files. Spark packs file blocks by size,
+    so the order of its partitions says nothing; every block (file, offset)
+    is counted and gets the rows of all earlier blocks as its offset. That
+    table has one row per block, as many as the scan has splits.
+    """
+    places = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_at"))
+    blocks = places.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_first",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = places.join(F.broadcast(offsets), ["_file", "_block"])
+    return out.select((F.col("_off") + F.col("_at") - F.col("_first")).alias(name), *df.columns)
+
+
 def read_transformed(spark: SparkSession, path: str, fmt: str = "parquet",
                      add_index: bool = False) -> DataFrame:
-    """Re-read transformed evidence; optionally add a dense ``idx``."""
+    """Re-read transformed evidence; optionally add a dense ``idx`` in file order."""
+    df = spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path)
+    if add_index:
+        df = with_file_row_index(df.drop(S.KEY))
     if fmt == "parquet":
-        df = spark.read.parquet(path)
-    else:
-        raw = read_delimited(spark, path)
-        df = typed_evidence(raw, tissues=[], key_column=S.KEY if S.KEY in raw.columns else None,
-                            extra=S.DERIVED_TYPES)
-    return with_row_index(df) if add_index else df
+        return df
+    return typed_evidence(df, tissues=[], key_column=S.KEY if S.KEY in df.columns else None,
+                          extra=S.DERIVED_TYPES)

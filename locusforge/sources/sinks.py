@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge import schemas as S
-from locusforge.operators.processed import chromosome_membership
+from locusforge.operators.processed import build_processed, chromosome_membership
 
+PROCESSED_KEYS = ["disease_efo_id", S.KEY]
 # Upper bound on rows per output file: a large range partition is written as
 # several sorted files instead of one oversized file.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -42,10 +43,34 @@ def write_processed(df: DataFrame, path: str, num_partitions: int | None = None,
     ``num_partitions`` should be about table size / 512 MB on a cluster; the
     default is ``spark.sql.shuffle.partitions``.
     """
-    keys = ["disease_efo_id", S.KEY]
-    out = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    (out.sortWithinPartitions(*keys).write.mode(mode)
-     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path))
+    (range_partitioned(df, PROCESSED_KEYS, num_partitions).sortWithinPartitions(*PROCESSED_KEYS)
+     .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path))
+    return path
+
+
+def write_joined(raw: DataFrame, genes: DataFrame, leads: DataFrame, path: str,
+                 num_partitions: int | None = None, mode: str = "overwrite") -> str:
+    """K2 from its parts: the rows are range-partitioned before the joins.
+
+    Range bounds come from a sample of the narrow raw rows, so no join runs
+    for them, and the joins are evaluated once. Broadcast joins keep the
+    ranges; where a dimension is too large for that, the rows are hashed again
+    and only sorted inside each file.
+    """
+    ranged = range_partitioned(raw, PROCESSED_KEYS, num_partitions)
+    (build_processed(ranged, genes, leads).sortWithinPartitions(*PROCESSED_KEYS)
+     .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path))
+    return path
+
+
+def range_partitioned(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+    return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+
+
+def write_id_table(ids: DataFrame, path: str, num_partitions: int | None = None, mode: str = "overwrite") -> str:
+    """The id-keyed table, sorted by id and with a bloom filter on it: one lookup reads few row groups."""
+    (range_partitioned(ids, ["id"], num_partitions).sortWithinPartitions("id").write.mode(mode)
+     .option("parquet.bloom.filter.enabled#id", "true").parquet(path))
     return path
 
 
@@ -60,9 +85,7 @@ def write_by_chromosome(processed: DataFrame, path: str, num_partitions: int | N
     # idx breaks ties, so even one position holding a third of all rows is
     # spread over several range partitions.
     keys = ["chrom", "GRCh38_pos", S.KEY]
-    rows = (rows.repartitionByRange(num_partitions, *keys) if num_partitions
-            else rows.repartitionByRange(*keys))
-    (rows.sortWithinPartitions(*keys).write.mode(mode)
+    (range_partitioned(rows, keys, num_partitions).sortWithinPartitions(*keys).write.mode(mode)
      .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("chrom").parquet(path))
     return path
 

@@ -1,22 +1,39 @@
-from pyspark.sql import functions as F
+import os
 
-from locusforge.session import broadcast_if_small, fits_in_rows, scratch_path
+import pytest
 
+from locusforge import session
 
-def test_fits_in_rows_is_exact(spark):
-    df = spark.range(0, 1000, numPartitions=7)
-    assert fits_in_rows(df, 1000) and not fits_in_rows(df, 999)
-    assert fits_in_rows(df.where(F.col("id") < 0), 0)
 
+def test_scratch_paths_are_fresh(spark):
+    a, b = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
+    assert a != b and spark.conf.get("spark.checkpoint.dir") in a
 
-def test_broadcast_hint_only_when_small(spark):
-    big = spark.range(0, 5000, numPartitions=4).withColumnRenamed("id", "k")
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-    plan_small = big.join(broadcast_if_small(small, 100), "k")._jdf.queryExecution().optimizedPlan().toString()
-    plan_big = big.join(broadcast_if_small(big.select("k"), 100), "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "BROADCAST" in plan_small.upper() and "broadcast" not in plan_big.lower()
 
+def test_scratch_is_released(spark):
+    path = session.scratch_path(spark, "released")
+    spark.range(3).write.parquet(path)
+    kept, session._scratch[:] = list(session._scratch), [path]
+    assert session.release_scratch(spark) == 1
+    session._scratch[:] = [p for p in kept if p != path]
+    assert not os.path.exists(path.removeprefix("file:"))
 
-def test_scratch_paths_are_fresh(spark):
-    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
-    assert a != b and spark.conf.get("spark.checkpoint.dir") in a
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    Context.master = "local-cluster[3,2,1000]"
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
