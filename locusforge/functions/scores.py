@@ -1,7 +1,8 @@
 """Row-level evidence functions as Spark Column expressions (no Python UDFs).
 
-All of them stay inside whole-stage codegen: the term lookup is a literal map,
-row maxima are ``greatest``, and phases are ``when`` chains.
+The term lookup tests literal arrays, row maxima are array functions and phases
+are ``when`` chains: no lambda, so nothing falls out of whole-stage codegen for
+its kind.
 """
 
 from __future__ import annotations
@@ -36,19 +37,25 @@ def default_terms() -> list[tuple[str, float]]:
     return list(S.ECO_SCORES)
 
 
-def best_term_score(vep_terms: ColumnOrName, terms: TermPairs | None = None) -> Column:
+def term_list(vep_terms: ColumnOrName) -> Column:
+    return F.split(_c(vep_terms), ",")
+
+
+def best_term_score(vep_terms: ColumnOrName, terms: TermPairs | None = None,
+                    parts: Column | None = None) -> Column:
     """Largest value of the comma-separated terms found in ``terms``; 0 if none.
 
     Terms are split on ',' with no trimming, so ' stop_gained' is unknown.
     Terms are grouped by value and tested from the highest value down with
     ``arrays_overlap``: a handful of codegen-friendly checks per row instead
-    of a per-element lambda.
+    of a per-element lambda. ``parts`` is the ``term_list``, where it has a
+    column of its own.
     """
     levels: dict[float, list[str]] = {}
     for term, value in (terms if terms is not None else default_terms()):
         if term is not None and value is not None:
             levels.setdefault(float(value), []).append(term)
-    parts = F.split(_c(vep_terms), ",")
+    parts = term_list(vep_terms) if parts is None else parts
     out = None
     for value in sorted(levels, reverse=True):
         hit = F.arrays_overlap(parts, F.array(*[F.lit(t) for t in levels[value]]))
@@ -57,26 +64,39 @@ def best_term_score(vep_terms: ColumnOrName, terms: TermPairs | None = None) ->
 
 
 def ot_vep(vep_terms: ColumnOrName, terms: TermPairs | None = None,
-           minimum: float = S.MINIMUM_VEP_VALUE) -> Column:
-    """Best term score when it reaches ``minimum`` (inclusive), else 0."""
-    best = best_term_score(vep_terms, terms)
-    return F.when(best >= F.lit(minimum), best).otherwise(F.lit(0.0))
+           minimum: float = S.MINIMUM_VEP_VALUE, parts: Column | None = None) -> Column:
+    """Best term score when it reaches ``minimum`` (inclusive), else 0: only such terms are looked for."""
+    high = [(t, v) for t, v in (terms if terms is not None else default_terms()) if v is not None and v >= minimum]
+    return best_term_score(vep_terms, high, parts)
 
 
 # ---------------------------------------------------------------------------
 # Best tissue
 # ---------------------------------------------------------------------------
+def tissue_values(cols: Sequence[ColumnOrName]) -> Column:
+    """The tissue columns as one array, which C3 and C4 both read."""
+    return F.array(*[_c(c).cast("double") for c in cols])
+
+
+def max_of_tissues(values: Column) -> Column:
+    """Largest value of the array; NULL and NaN are skipped, NULL if none is left."""
+    return F.array_max(F.array_remove(values, F.lit(float("nan"))))
+
+
+def tissue_of_max(values: Column, largest: Column, names: Sequence[str]) -> Column:
+    """Name of the first place that holds ``largest``; NULL without one."""
+    labels = F.array(*[F.lit(n) for n in names])
+    return F.try_element_at(labels, F.nullif(F.array_position(values, largest), F.lit(0)).cast("int"))
+
+
 def gtex_max_value(cols: Sequence[ColumnOrName]) -> Column:
-    """Row maximum over the tissue columns; missing values are skipped."""
-    return F.greatest(*[missing_as_null(c) for c in cols])
+    """Row maximum over the tissue columns (C3); missing values are skipped."""
+    return max_of_tissues(tissue_values(cols))
 
 
 def gtex_max_tissue(cols: Sequence[str], names: Sequence[str] | None = None) -> Column:
-    """Name of the first tissue column holding the row maximum; NULL if all missing."""
-    vals = [missing_as_null(c) for c in cols]
-    labels = F.array(*[F.lit(n) for n in (names or cols)])
-    pos = F.array_position(F.array(*vals), F.greatest(*vals))
-    return F.try_element_at(labels, pos.cast("int"))
+    """Name of the first tissue column holding the row maximum (C4); NULL if all missing."""
+    return tissue_of_max(tissue_values(cols), gtex_max_value(cols), list(names or cols))
 
 
 # ---------------------------------------------------------------------------

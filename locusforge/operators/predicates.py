@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
+from locusforge.functions.scores import greater_than
 
 POSITIONS = [S.GENE_START, S.GENE_END, "GRCh38_pos", S.LEAD_POS]
 CHROMOSOME_COLUMNS = ["GRCh38_gene_chrom", "GRCh38_chrom", S.LEAD_CHROM]
@@ -60,7 +61,7 @@ def must_have(names: Sequence[str] | None) -> Column | None:  # P3
         if key not in S.MUST_HAVE_COLUMNS:
             raise ValueError(f"unknown evidence name {name!r}")
         thr = S.MINIMUM_GTEX_VALUE if key == "gtex" else 0.0
-        c = F.col(S.MUST_HAVE_COLUMNS[key]) > F.lit(thr)
+        c = greater_than(S.MUST_HAVE_COLUMNS[key], thr)
         out = c if out is None else out & c
     return out
 
@@ -112,6 +113,22 @@ def selection(selected_id: str | None, selected_type: str | None) -> Column | No
     return None
 
 
+def selected_rows(rows: DataFrame, selections: DataFrame, selected_type: str) -> DataFrame:
+    """P7 and P8 for a table of ids (``selected_id``): the rows of each id, tagged with it.
+
+    A pair id is the first two parts between '-', joined on both columns; an
+    id without a second part selects nothing, a repeated id its rows once.
+    """
+    ids = selections.select("selected_id").where("selected_id IS NOT NULL").distinct()
+    if selected_type in S.SIMPLE_SELECTIONS:
+        ids = ids.withColumn("_a", F.col("selected_id"))
+        return rows.join(ids, rows[S.SIMPLE_SELECTIONS[selected_type]] == ids["_a"]).drop("_a")
+    a_col, b_col = S.PAIR_SELECTIONS[selected_type]
+    parts = F.split("selected_id", "-")
+    ids = ids.withColumns({"_a": F.get(parts, F.lit(0)), "_b": F.get(parts, F.lit(1))})
+    return rows.join(ids, (rows[a_col] == ids["_a"]) & (rows[b_col] == ids["_b"])).drop("_a", "_b")
+
+
 def equals(col: str, value: str) -> Column:  # P9, P10
     return F.col(col) == F.lit(value)
 

@@ -11,6 +11,7 @@ def _evidence(spark, rows):
     cols = sorted({k for r in rows for k in r})
     df = spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows],
                                ", ".join(f"`{c}` string" for c in cols))
+    df = df.withColumns({n: F.lit(None).cast("string") for n in S.EVIDENCE_TYPES if n not in df.columns})
     return typed_evidence(df, tissues=["GTEx_a", "GTEx_b"])
 
 
