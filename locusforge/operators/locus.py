@@ -21,10 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
-from locusforge.functions.scores import composite_id, neg_log10
+from locusforge.functions.scores import composite_id, greater_than, missing_as_null, neg_log10
 from locusforge.operators import predicates as P
 from locusforge.operators.processed import chromosome_table
-from locusforge.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 
 def representative(df: DataFrame, keys: Sequence[str], payload: dict[str, Column],
@@ -128,7 +127,7 @@ def gene_variant_edges(filtered: DataFrame, genes: DataFrame, flag: Column | Non
         "pchic": F.col("PCHiC"),
         "fantom5": F.col("Fantom5"),
         "dhs": F.col("DHS"),
-        "nearest": F.col("Nearest") > 0,
+        "nearest": greater_than("Nearest", 0.0),
     }, flag)
     tss = genes.select("gene_id", F.col("tss").alias("geneTss"))
     out = (reps.join(tss, "gene_id", "left")
@@ -167,28 +166,37 @@ def lead_variant_disease_edges(filtered: DataFrame, flag: Column | None = None,
 
 
 def max_gwas_pvalue(unfiltered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A5 + C9: -log10 of the smallest p-value (NULL for an empty window or p=0)."""
-    agg = F.min("gwas_pvalue").alias("_minp")
+    """A5 + C9: -log10 of the smallest p-value (NULL for an empty window or p=0; NaN is missing)."""
+    agg = F.min(missing_as_null("gwas_pvalue")).alias("_minp")
     grouped = unfiltered.groupBy(*keys).agg(agg) if keys else unfiltered.agg(agg)
     return grouped.select(*keys, neg_log10("_minp").alias("maxGwasPValue"))
 
 
-def locus(source: DataFrame, genes: DataFrame, request: Locus, cache: bool = False) -> dict[str, DataFrame]:
+class LocusOutputs(dict):
+    """The eight outputs by name. ``release()`` drops the cached window, if there is one."""
+
+    window: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.window is not None:
+            self.window.unpersist()
+            self.window = None
+
+
+def locus(source: DataFrame, genes: DataFrame, request: Locus, cache: bool = False) -> LocusOutputs:
     """All eight outputs of a locus request, as lazy DataFrames.
 
     ``source`` is the processed table or its chromosome layout. With
-    ``cache=True`` the window is cached once and shared by the eight outputs.
+    ``cache=True`` the window is cached once and shared by the eight outputs
+    until ``release()`` is called on the result.
     """
     unfiltered = window_rows(source, request.chrom, request.start, request.end)
     if cache:
         unfiltered = unfiltered.cache()
-    # The gene annotation is bounded by the genome (tens of thousands of
-    # genes): checked once, then broadcast to both joins that need it.
-    genes = broadcast_if_small(genes, BROADCAST_MAX_ROWS)
     edge_pred = request.filters.predicate()
     filtered = unfiltered.where(edge_pred) if edge_pred is not None else unfiltered
     flag = request.flag
-    return {
+    out = LocusOutputs({
         "genes": gene_vertices(unfiltered, genes, flag),
         "variants": variant_vertices(unfiltered, flag),
         "leadVariants": lead_variant_vertices(unfiltered, flag),
@@ -197,12 +205,14 @@ def locus(source: DataFrame, genes: DataFrame, request: Locus, cache: bool = Fal
         "variantLeadVariants": variant_lead_variant_edges(filtered, flag),
         "leadVariantDiseases": lead_variant_disease_edges(filtered, flag),
         "maxGwasPValue": max_gwas_pvalue(unfiltered),
-    }
+    })
+    out.window = unfiltered if cache else None
+    return out
 
 
 def locus_batch(source: DataFrame, genes: DataFrame, loci: DataFrame,
                 filters: P.LocusFilters = P.LocusFilters(), flag: Column | None = None,
-                method: str = "auto", bin_size: int | None = None,
+                bin_size: int | None = None,
                 materialize: bool = False) -> dict[str, DataFrame]:
     """Q1 for a whole table of windows (locus_id, chrom, start, end) in one job.
 
@@ -218,13 +228,12 @@ def locus_batch(source: DataFrame, genes: DataFrame, loci: DataFrame,
     """
     from locusforge.operators.batch_locus import DEFAULT_BIN, batch_locus_rows
     from locusforge.session import shared_dir
-    pairs = batch_locus_rows(source, loci, method, bin_size or DEFAULT_BIN)
+    pairs = batch_locus_rows(source, loci, bin_size or DEFAULT_BIN)
     if materialize:
         shared_dir(pairs.sparkSession)   # make sure a checkpoint folder is set
         pairs = pairs.checkpoint(eager=True)
     edge_pred = filters.predicate()
     filtered = pairs.where(edge_pred) if edge_pred is not None else pairs
-    genes = broadcast_if_small(genes, BROADCAST_MAX_ROWS)
     k = ["locus_id"]
     return {
         "genes": gene_vertices(pairs, genes, flag, k),

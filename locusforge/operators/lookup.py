@@ -1,8 +1,10 @@
 """Point lookups (Q4 gene location, Q5 variant location, Q6 search), each in a
 single-id form and a batch form that joins a DataFrame of ids.
 
-The batch forms are the scalable ones: ids arrive as a DataFrame and are
-joined against per-id dimensions, never looped over on the driver.
+The single forms filter by a literal, which Parquet checks against row-group
+statistics and bloom filters; they are meant for the id-keyed table
+(``id_table``) that ``plans.build.write_tables`` stores. The batch forms join a
+DataFrame of ids, never looped over on the driver.
 """
 
 from __future__ import annotations
@@ -12,11 +14,6 @@ from pyspark.sql import functions as F
 
 from locusforge import schemas as S
 from locusforge.operators.locus import representative
-from locusforge.session import BROADCAST_MAX_ROWS, broadcast_if_small, fits_in_rows
-
-
-def _one(spark_df: DataFrame, value: str, name: str = "query") -> DataFrame:
-    return spark_df.sparkSession.createDataFrame([(value,)], f"{name} string")
 
 
 # ---------------------------------------------------------------------------
@@ -37,7 +34,9 @@ def gene_location_batch(genes: DataFrame, ids: DataFrame, id_col: str = "gene_id
 
 def gene_location(genes: DataFrame, gene_id: str) -> DataFrame:
     """0 or 1 row: the gene's location (empty when unknown)."""
-    return gene_location_batch(genes, _one(genes, gene_id, "gene_id")).where("found").drop("found")
+    return genes.where(F.col("gene_id") == F.lit(gene_id)).select(
+        F.col("gene_id").alias("id"), F.lit(None).cast("string").alias("symbol"),
+        F.col("chr").alias("chromosome"), F.col("gene_start").alias("start"), F.col("gene_end").alias("end"))
 
 
 # ---------------------------------------------------------------------------
@@ -80,42 +79,52 @@ def variant_locations(processed: DataFrame) -> DataFrame:
     return _locations(processed, processed)
 
 
+def id_table(processed: DataFrame) -> DataFrame:
+    """The id-keyed table of Q5 and Q6: (id, chromosome, position, isLeadVariant, isVariant)."""
+    return variant_locations(processed).where(F.col("id").isNotNull())
+
+
 def variant_location_batch(processed: DataFrame, ids: DataFrame, id_col: str = "variant_id") -> DataFrame:
     """Locations of the query ids that are known (unknown ids drop out).
 
     Both per-id dimensions are restricted to the query ids with semi joins
-    before they are aggregated, so only the relevant rows are shuffled.
+    before they are aggregated, so only the relevant rows are grouped.
     """
-    q = broadcast_if_small(ids.select(F.col(id_col).alias("_q")).distinct())
+    q = ids.select(F.col(id_col).alias("_q")).distinct()
     pv = processed.join(q, processed["ld_snp_rsID"] == q["_q"], "left_semi")
     pl = processed.join(q, processed["gwas_snp"] == q["_q"], "left_semi")
     return _locations(pv, pl)
 
 
-def variant_location(processed: DataFrame, variant_id: str) -> DataFrame:
-    """0 or 1 row (Q5)."""
-    return variant_location_batch(processed, _one(processed, variant_id, "variant_id"))
+def variant_location(source: DataFrame, variant_id: str) -> DataFrame:
+    """0 or 1 row (Q5), from the stored ``id_table`` or from the processed table."""
+    wanted = F.lit(variant_id)
+    if "isLeadVariant" in source.columns:
+        return source.where(F.col("id") == wanted)
+    return _locations(source.where(F.col("ld_snp_rsID") == wanted), source.where(F.col("gwas_snp") == wanted))
 
 
 # ---------------------------------------------------------------------------
 # Q6: search (exact id match; a lead variant is labelled 'variant' too)
 # ---------------------------------------------------------------------------
-def search_batch(processed: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:
-    """One row per query string that is a variant or lead-variant id."""
+def _found(ids: DataFrame) -> DataFrame:
+    return ids.select("id", F.col("id").alias("name"), F.lit("variant").alias("type"))
+
+
+def search_batch(source: DataFrame, queries: DataFrame, query_col: str = "query") -> DataFrame:
+    """One row per query string that is a variant or lead-variant id.
+
+    ``source`` is the stored ``id_table`` or the processed table, whose ids are
+    made distinct (partially on the map side) before they meet the queries.
+    """
     q = queries.select(F.col(query_col).alias("id")).where(F.col("id").isNotNull()).distinct()
-    ids = (processed.select(F.col("ld_snp_rsID").alias("id"))
-           .unionByName(processed.select(F.col("gwas_snp").alias("id"))))
-    if fits_in_rows(q, BROADCAST_MAX_ROWS):
-        # Small query table: broadcast it, filter the evidence in place and
-        # shuffle only the distinct hits.
-        hits = ids.join(F.broadcast(q), "id", "left_semi").distinct()
-    else:
-        # Large query table: reduce the ids first (partial aggregation); the
-        # semi join then reuses that hash partitioning.
-        hits = ids.distinct().join(q, "id", "left_semi")
-    return hits.select("id", F.col("id").alias("name"), F.lit("variant").alias("type"))
-
-
-def search(processed: DataFrame, query: str) -> DataFrame:
-    """0 or 1 row (Q6)."""
-    return search_batch(processed, _one(processed, query))
+    if "isLeadVariant" in source.columns:
+        return _found(source.select("id").join(q, "id", "left_semi"))
+    ids = (source.select(F.col("ld_snp_rsID").alias("id"))
+           .unionByName(source.select(F.col("gwas_snp").alias("id"))))
+    return _found(ids.distinct().join(q, "id", "left_semi"))
+
+
+def search(source: DataFrame, query: str) -> DataFrame:
+    """0 or 1 row (Q6), from the stored ``id_table`` or from the processed table."""
+    return _found(variant_location(source, query))

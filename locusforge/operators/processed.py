@@ -9,25 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
-from locusforge.session import BROADCAST_MAX_ROWS, broadcast_if_small
 
 PROCESSED_EXTRA = [S.GENE_START, S.GENE_END, S.LEAD_CHROM, S.LEAD_POS]
 
 
-def build_processed(raw: DataFrame, genes: DataFrame, leads: DataFrame,
-                    broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def build_processed(raw: DataFrame, genes: DataFrame, leads: DataFrame) -> DataFrame:
     """raw LEFT JOIN gene ON gene_id LEFT JOIN lead_variant ON gwas_snp.
 
-    Both dimensions are broadcast only after a row-count check; beyond it the
-    joins shuffle (and AQE may still pick a broadcast at run time). The lead
+    Spark decides from the sizes it knows or measures whether a dimension is
+    broadcast or both sides are shuffled, and splits skewed keys. The lead
     join fans out: a lead variant with two mappings duplicates its rows.
     """
     g = genes.select("gene_id", F.col("gene_start").alias(S.GENE_START),
                      F.col("gene_end").alias(S.GENE_END))
     lv = leads.select("gwas_snp", F.col("seq_region_name").alias(S.LEAD_CHROM),
                       F.col("position").alias(S.LEAD_POS))
-    out = (raw.join(broadcast_if_small(g, broadcast_max_rows), "gene_id", "left")
-              .join(broadcast_if_small(lv, broadcast_max_rows), "gwas_snp", "left"))
+    out = raw.join(g, "gene_id", "left").join(lv, "gwas_snp", "left")
     return out.select(*raw.columns, *PROCESSED_EXTRA)
 
 

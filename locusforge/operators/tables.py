@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
+from locusforge.functions.scores import greater_than
 from locusforge.operators import predicates as P
 from locusforge.operators.locus import window_rows
+from locusforge.sources.evidence import with_row_index
 
 # Evidence row as served (source column -> API name).
 FULL_ROW: list[tuple[str, str]] = [
@@ -53,7 +55,7 @@ API_TO_SOURCE = {api: src for src, api in FULL_ROW}
 
 def full_row(df: DataFrame, keep_order_columns: bool = False) -> DataFrame:
     """C10 projection; ``nearest`` is served as a boolean (Nearest > 0)."""
-    cols = [(F.col(src) > 0).alias(api) if api == "nearest" else F.col(src).alias(api)
+    cols = [greater_than(src, 0.0).alias(api) if api == "nearest" else F.col(src).alias(api)
             for src, api in FULL_ROW]
     if keep_order_columns:
         cols += [F.col(S.LEAD_CHROM).alias("_lead_chrom"), F.col(S.LEAD_POS).alias("_lead_pos")]
@@ -68,10 +70,12 @@ def page(rows: DataFrame, offset: int = 0, limit: int | None = None,
          sort: Sequence[Column] = ()) -> DataFrame:
     """Rows ordered by ``sort`` then the row order, sliced, projected."""
     ordered = rows.orderBy(*sort, *_row_order())
-    if offset:
-        ordered = ordered.offset(int(offset))
     if limit is not None:
-        ordered = ordered.limit(int(limit))
+        return full_row(ordered.offset(int(offset)).limit(int(limit)) if offset else ordered.limit(int(limit)))
+    if offset:
+        # All rows from a place on: numbered in order, part by part, so the
+        # rows never meet on the driver.
+        ordered = with_row_index(ordered, "_place").where(F.col("_place") >= int(offset)).drop("_place")
     return full_row(ordered)
 
 
@@ -93,25 +97,41 @@ def sort_columns(fields: Sequence[str]) -> list[Column]:
     return out
 
 
-def keyset_page(rows: DataFrame, after: tuple | None, limit: int) -> DataFrame:
-    """Scalable paging: the ``limit`` rows strictly after the row key ``after``.
+def _keys(sort: Sequence[str]) -> list[tuple[str, str, bool]]:
+    """(output name, source column, descending) of the sort fields and the row key."""
+    keys = [(f.lstrip("-"), API_TO_SOURCE[f.lstrip("-")], f.startswith("-")) for f in sort]
+    return [*keys, ("index", S.KEY, False), ("_lead_chrom", S.LEAD_CHROM, False), ("_lead_pos", S.LEAD_POS, False)]
+
+
+def cursor(row, sort: Sequence[str] = ()) -> tuple:
+    """The ``after`` value of a page row: its sort fields and row key."""
+    return tuple(row[name] for name, _, _ in _keys(sort))
+
+
+def keyset_page(rows: DataFrame, after: tuple | None, limit: int | None, sort: Sequence[str] = ()) -> DataFrame:
+    """Scalable paging: the ``limit`` rows (None: all) strictly after the row key ``after``.
 
-    ``after`` is (idx, lead chromosome, lead position) of the last row of the
-    previous page (None for the first page). Cost does not grow with depth.
+    ``after`` is the ``cursor`` of the last row of the previous page (None or () for
+    the first page), under the same ``sort``. Cost does not grow with depth.
     """
-    if after is not None:
-        k, c, p = after
-        kc, cc, pc = (F.col(x) for x in S.ROW_ORDER)
-        # NULLs sort first: a NULL key part is below any value.
-        c_gt = F.lit(True) if c is None else (cc > F.lit(c))
-        p_gt = F.lit(True) if p is None else (pc > F.lit(p))
-        c_eq = cc.isNull() if c is None else (cc == F.lit(c))
-        after_pred = ((kc > F.lit(k))
-                      | ((kc == F.lit(k)) & F.coalesce(c_gt & cc.isNotNull(), F.lit(False)))
-                      | ((kc == F.lit(k)) & F.coalesce(c_eq, F.lit(False))
-                         & F.coalesce(p_gt & pc.isNotNull(), F.lit(False))))
-        rows = rows.where(after_pred)
-    return full_row(rows.orderBy(*_row_order()).limit(int(limit)), keep_order_columns=True)
+    order = sort_columns(sort)
+    if after:
+        keys = _keys(sort)
+        if len(after) != len(keys):
+            raise ValueError(f"the cursor needs {len(keys)} values, {[k for k, _, _ in keys]}")
+        beyond, same = F.lit(False), F.lit(True)
+        for (_, column, descending), value in zip(keys, after):
+            c = F.col(column)
+            # NULLs stand first in ascending and last in descending order.
+            if value is None:
+                past = F.lit(False) if descending else c.isNotNull()
+            else:
+                past = (c < F.lit(value)) | c.isNull() if descending else c > F.lit(value)
+            beyond = beyond | (same & F.coalesce(past, F.lit(False)))
+            same = same & c.eqNullSafe(F.lit(value))
+        rows = rows.where(beyond)
+    ordered = rows.orderBy(*order, *_row_order())
+    return full_row(ordered if limit is None else ordered.limit(int(limit)), keep_order_columns=True)
 
 
 def locus_table_rows(source: DataFrame, chrom: str, start: int, end: int,

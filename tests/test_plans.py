@@ -1,8 +1,15 @@
 """Physical-plan properties the scale design relies on."""
 
+import uuid
+
+from locusforge import fixtures as FX
 from locusforge.operators import batch_locus as B
 from locusforge.operators import locus as L
+from locusforge.operators import lookup as K
+from locusforge.operators import tables as TB
 from locusforge.operators.filters import transform_predicate
+from locusforge.operators.processed import build_processed
+from locusforge.plans.transform import transform
 from locusforge.session import scratch_path
 from locusforge.sources import sinks
 
@@ -38,14 +45,61 @@ def test_representative_rows_aggregate_before_the_shuffle(ds):
     assert plan.index("partial_min") > plan.index("Exchange hashpartitioning")
 
 
-def test_dimension_joins_are_broadcast_after_check(ds):
-    plan = _plan(ds.processed)
-    assert plan.count("BroadcastHashJoin") >= 2 and "LeftOuter, BuildRight" in plan
+def test_no_broadcast_hint_on_growing_tables(ds):
+    for df in (ds.processed, L.locus(ds.processed, ds.genes, L.Locus("7", 1, 2))["genes"]):
+        assert "strategy=broadcast" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def _jobs_while(spark, build) -> int:
+    """Jobs that ``build`` starts, counted by the status tracker under a group of its own."""
+    group = f"plan-building-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "no job expected")
+    try:
+        build()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_building_plans_runs_no_job(spark, ds):
+    processed = spark.read.parquet(sinks.write_processed(ds.processed, scratch_path(spark, "plan-processed")))
+    genes, loci = ds.genes, B.loci_around_genes(ds.gene_dim, 100_000)
+    raw, dim, leads, evidence = ds.raw, ds.gene_dim, ds.lead_variant, ds.evidence  # reads the footers
+    assert _jobs_while(spark, lambda: spark.range(9).count()) >= 1
+    assert _jobs_while(spark, lambda: (
+        L.locus(processed, genes, L.Locus("7", 1, 10 ** 9)), L.locus_batch(processed, genes, loci),
+        K.search_batch(processed, evidence.selectExpr("gwas_snp AS query")), K.id_table(processed),
+        K.variant_location(processed, "rs1"), build_processed(raw, dim, leads))) == 0
+
+
+def test_single_lookups_push_the_id(spark, ds):
+    ids = spark.read.parquet(sinks.write_id_table(ds.ids, scratch_path(spark, "plan-ids")))
+    for df in (K.variant_location(ids, "rs342"), K.search(ids, "rs342")):
+        assert "EqualTo(id,rs342)" in _plan(df)
+    processed = spark.read.parquet(sinks.write_processed(ds.processed, scratch_path(spark, "plan-processed")))
+    assert "EqualTo(gwas_snp,rs1)" in _plan(K.variant_location(processed, "rs1"))
+    path = scratch_path(spark, "plan-genes")
+    ds.genes.write.parquet(path)
+    assert "EqualTo(gene_id,ENSG137)" in _plan(K.gene_location(spark.read.parquet(path), "ENSG137"))
+
+
+def test_transform_code_size(spark, ds):
+    """Term list, tissue array and maximum are columns of their own, not expanded where they are used."""
+    path = scratch_path(spark, "plan-codegen")
+    ds.evidence.write.parquet(path)
+    df = transform(spark.read.parquet(path), tissues=FX.FIXTURE_TISSUES)
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 10_000
+
+
+def test_offset_without_limit_stays_distributed(ds):
+    plan = _plan(TB.page(ds.processed, 5, None))
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan
 
 
 def test_binned_locus_join_is_an_equi_join(ds):
     loci = B.loci_around_genes(ds.gene_dim, 100_000)
-    plan = _plan(B.batch_locus_binned(ds.membership, loci))
+    plan = _plan(B.batch_locus_rows(ds.membership, loci))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert "_bin" in plan and "_lbin" in plan
 

@@ -62,11 +62,9 @@ def _pairs(df):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_batch_locus_forms_agree_with_single_windows(ds):
+def test_batch_locus_agrees_with_single_windows(ds):
     loci = B.loci_around_genes(ds.gene_dim, 100_000)
-    small = B.batch_locus_rows(ds.membership, loci, method="broadcast")
-    binned = B.batch_locus_rows(ds.membership, loci, method="binned", bin_size=250_000)
-    a, b = _pairs(small), _pairs(binned)
+    a, b = _pairs(B.batch_locus_rows(ds.membership, loci)), _pairs(B.batch_locus_rows(ds.processed, loci, 250_000))
     assert a == b and len(a) == len(set(a)) and len(a) > 0
     # equals a loop of single-window queries on a few loci
     for r in loci.orderBy("locus_id").limit(5).collect():
@@ -74,12 +72,20 @@ def test_batch_locus_forms_agree_with_single_windows(ds):
         assert single == sum(1 for p in a if p[0] == r.locus_id)
 
 
+def test_a_window_without_end_makes_no_more_bins_than_the_data(ds):
+    wide = ds.spark.createDataFrame([("all", "7", -(10 ** 15), 10 ** 15), ("none", "7", 5, 4), ("far", "7", 10 ** 12, 10 ** 13)],
+                                    "locus_id string, chrom string, start bigint, end bigint")
+    got = B.batch_locus_rows(ds.membership, wide, 10_000)
+    assert got.where("locus_id <> 'all'").count() == 0
+    assert got.count() == L.window_rows(ds.processed, "7", 0, 10 ** 12).count() > 0
+
+
 def test_binned_with_chosen_bin_size(ds):
     loci = B.loci_around_genes(ds.gene_dim, 100_000)
     b = B.choose_bin_size(loci)
     assert B.MIN_BIN <= b <= B.MAX_BIN
-    auto = _pairs(B.batch_locus_binned(ds.membership, loci, bin_size=None))
-    fixed = _pairs(B.batch_locus_binned(ds.membership, loci, bin_size=1_000_000))
+    auto = _pairs(B.batch_locus_rows(ds.membership, loci, bin_size=None))
+    fixed = _pairs(B.batch_locus_rows(ds.membership, loci, bin_size=1_000_000))
     assert auto == fixed
 
 
@@ -91,12 +97,30 @@ def test_batch_vertices_per_locus(ds):
     assert sorted(r.id for r in genes.collect()) == sorted(r.id for r in single.collect())
 
 
-def test_search_batch_large_query_path(ds, monkeypatch):
+def test_lookups_agree_on_the_id_table_and_the_processed_table(ds):
     qs = ds.evidence.selectExpr("gwas_snp AS query")
-    small = sorted(r.id for r in K.search_batch(ds.processed, qs).collect())
-    monkeypatch.setattr(K, "BROADCAST_MAX_ROWS", 10)   # force the distinct-first plan
-    large = sorted(r.id for r in K.search_batch(ds.processed, qs).collect())
-    assert small == large and len(small) > 10
+    ids = ds.ids.cache()
+    a = sorted(r.id for r in K.search_batch(ds.processed, qs).collect())
+    assert a == sorted(r.id for r in K.search_batch(ids, qs).collect()) and len(a) > 10
+    for vid in ("rs342", a[0], "nope", "rs100"):
+        assert K.variant_location(ids, vid).collect() == K.variant_location(ds.processed, vid).collect()
+        assert K.search(ids, vid).collect() == K.search(ds.processed, vid).collect()
+    ids.unpersist()
+
+
+def test_keyset_pages_cover_all_rows_under_any_sort(ds):
+    rows = ds.processed.where("disease_efo_id = 'EFO_7'").withColumn(
+        "gwas_odds_ratio", F.when(F.col("idx") % 3 == 0, F.lit(None)).otherwise(F.col("idx") % 5).cast("double"))
+    for sort in ((), ("-gwasPValue",), ("gwasOddsRatio", "-r2"), ("-gwasOddsRatio", "efoId")):
+        whole = [r["index"] for r in TB.page(rows, 0, None, TB.sort_columns(sort)).collect()]
+        got, after = [], ()
+        while page := TB.keyset_page(rows, after, 17, sort).collect():
+            got += [r["index"] for r in page]
+            after = TB.cursor(page[-1], sort)
+        assert got == whole and len(got) > 50, sort
+        assert [r["index"] for r in TB.page(rows, 20, None, TB.sort_columns(sort)).collect()] == whole[20:]
+    with pytest.raises(ValueError):
+        TB.keyset_page(rows, (1, 2), 5)
 
 
 def test_range_arguments_need_exactly_two_values(ds):
