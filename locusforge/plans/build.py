@@ -6,13 +6,17 @@ stage runs until an action is called on what a query returns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from locusforge import fixtures as FX
+from locusforge import schemas as S
+from locusforge.functions import scores
 from locusforge.operators import annotation as A
+from locusforge.operators.lookup import id_table
 from locusforge.operators.processed import build_processed, chromosome_membership
 from locusforge.plans.transform import transform
 
@@ -52,6 +56,11 @@ class Dataset:
     def processed(self) -> DataFrame:
         return build_processed(self.raw, self.gene_dim, self.lead_variant)
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        """Id-keyed table of variants and lead variants."""
+        return id_table(self.processed)
+
     @cached_property
     def membership(self) -> DataFrame:
         return chromosome_membership(self.processed)
@@ -70,28 +79,51 @@ class Dataset:
 
 def write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, out_dir: str,
                  num_partitions: int | None = None) -> dict[str, str]:
-    """Build and store the served tables (K2, K3, K4).
+    """Build and store the served tables (K2, K3, K4) and the id-keyed table.
 
-    ``processed`` is written once; the chromosome layout is derived from the
-    written table, so the joins are not recomputed and a lost executor only
-    re-runs the stage that read the stored files.
+    ``raw`` needs the row index ``idx`` (``build_from_file`` makes it). The
+    processed table is written once; the chromosome layout and the id table
+    are derived from the written one, so the joins are not recomputed and a
+    lost executor only re-runs the stage that read the stored files.
     """
     import os
 
     from locusforge.sources import sinks
 
+    if S.KEY not in raw.columns:
+        raise ValueError(f"the evidence has no row index {S.KEY!r}; see build_from_file")
     spark = raw.sparkSession
     paths = {name: os.path.join(out_dir, name)
-             for name in ("processed", "by_chrom", "genes", "lead_variants")}
-    # Both dimensions are stored first: their size checks and the joins then
-    # read small stored tables instead of recomputing the exon roll-up or the
-    # lead-variant build (a semi join against the whole variation table).
+             for name in ("processed", "by_chrom", "genes", "lead_variants", "ids")}
+    # Both dimensions are stored first: the joins then read small stored
+    # tables instead of recomputing the exon roll-up or the lead-variant build.
     genes.write.mode("overwrite").parquet(paths["genes"])
     leads.write.mode("overwrite").parquet(paths["lead_variants"])
-    stored_genes = spark.read.parquet(paths["genes"])
-    stored_leads = spark.read.parquet(paths["lead_variants"])
-    sinks.write_processed(build_processed(raw, stored_genes, stored_leads), paths["processed"],
-                          num_partitions)
+    sinks.write_joined(raw, spark.read.parquet(paths["genes"]), spark.read.parquet(paths["lead_variants"]),
+                       paths["processed"], num_partitions)
     stored = spark.read.parquet(paths["processed"])
     sinks.write_by_chromosome(stored, paths["by_chrom"], num_partitions)
+    sinks.write_id_table(id_table(stored), paths["ids"], num_partitions)
     return paths
+
+
+def build_from_file(spark: SparkSession, evidence_path: str, genes: DataFrame, leads: DataFrame, out_dir: str,
+                    tissues: Sequence[str] = S.GTEX_TISSUES, terms: scores.TermPairs | None = None,
+                    num_partitions: int | None = None) -> dict[str, str]:
+    """From the evidence file to the served tables: read, transform, index, join, write.
+
+    The file needs no index column. Rows are numbered as they stand in it; the
+    transformed rows are written in that order (``out_dir/transformed``) and
+    numbered again from 0 without gaps.
+    """
+    import os
+
+    from locusforge.sources import evidence as E
+    from locusforge.sources import sinks
+
+    rows = E.read_evidence(spark, evidence_path, tissues, add_index=True)
+    kept = transform(rows, tissues, terms)
+    ordered = sinks.range_partitioned(kept, [S.KEY], num_partitions).sortWithinPartitions(S.KEY)
+    path = sinks.write_transformed(ordered, os.path.join(out_dir, "transformed"))
+    raw = E.read_transformed(spark, path, add_index=True)
+    return {"transformed": path, **write_tables(raw, genes, leads, out_dir, num_partitions)}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from locusforge import fixtures as FX
 from locusforge import schemas as S
+from locusforge.api import EvidenceAPI
 from locusforge.functions import nested, scores
 from locusforge.operators import annotation as A
 from locusforge.operators import batch_locus as B
@@ -24,7 +25,7 @@ from locusforge.operators import lookup as K
 from locusforge.operators import predicates as P
 from locusforge.operators import tables as TB
 from locusforge.plans import oracle as O
-from locusforge.plans.build import Dataset
+from locusforge.plans.build import Dataset, build_from_file
 from locusforge.plans.transform import transform as T_transform
 from locusforge.session import scratch_path
 from locusforge.sources import evidence as R
@@ -42,6 +43,7 @@ SEL_GENE = "ENSG137"
 SEL_DISEASE = "EFO_7"
 SEL_GENE_VARIANT = "ENSG85-rs342"
 SEL_LEAD_DISEASE = "rs171-EFO_27"
+SEL_VARIANT, SEL_LEAD, SEL_VARIANT_LEAD = "rs342", "rs171", "rs342-rs171"
 PAGE_OFFSET, PAGE_LIMIT = 10, 25
 GENE_ID = "ENSG137"
 VARIANT_ID = "rs342"
@@ -183,9 +185,9 @@ def _locus_table(kind: str, **kw) -> Query:
     return run
 
 
-def _disease_table(kind: str, offset=0, limit=None) -> Query:
+def _disease_table(kind: str, offset=0, limit=None, sort=()) -> Query:
     def run(spark, sf):
-        pg, tot = TB.disease_table(_ds(spark, sf).processed, SEL_DISEASE, offset, limit)
+        pg, tot = TB.disease_table(_ds(spark, sf).processed, SEL_DISEASE, offset, limit, sort)
         return tot if kind == "total" else pg
     return run
 
@@ -221,19 +223,19 @@ def _search_batch(spark, sf):
 def _batch_small(spark, sf):
     ds = _ds(spark, sf)
     loci = B.loci_per_chromosome(ds.gene_dim, START, END)
-    return B.locus_summary(B.batch_locus_rows(ds.membership, loci, method="broadcast"))
+    return B.locus_summary(B.batch_locus_rows(ds.membership, loci))
 
 
 def _batch_binned(spark, sf):
     ds = _ds(spark, sf)
     loci = B.loci_around_genes(ds.gene_dim, GENE_FLANK)
-    return B.locus_summary(B.batch_locus_rows(ds.membership, loci, method="binned", bin_size=BIN_SIZE))
+    return B.locus_summary(B.batch_locus_rows(ds.membership, loci, BIN_SIZE))
 
 
 def _batch_auto(spark, sf):
     ds = _ds(spark, sf)
     loci = B.loci_around_genes(ds.gene_dim, GENE_FLANK)
-    return B.locus_summary(B.batch_locus_rows(ds.processed, loci, method="auto", bin_size=BIN_SIZE))
+    return B.locus_summary(B.batch_locus_rows(ds.processed, loci, None))
 
 
 def _roundtrip_tsv(spark, sf):
@@ -270,20 +272,26 @@ def _sample_rows(spark, sf):
     return R.sample_rows(_ds(spark, sf).evidence, 500).select("idx", "gene_id", "gwas_snp", "score")
 
 
+def _evidence_tsv(spark, sf, columns=None) -> str:
+    """The evidence as gzipped TSV files; ``columns`` replaces some of them."""
+    path = scratch_path(spark, "evidence-tsv")
+    rows = _ds(spark, sf).evidence.withColumns(columns or {})
+    rows.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
 def _first_rows(spark, sf):
-    """R2: the first 500 rows of one evidence file (written in idx order)."""
-    path = scratch_path(spark, "evidence-ordered-tsv")
-    (_ds(spark, sf).evidence.select("idx", "gene_id", "gwas_snp", "score").orderBy("idx").coalesce(1)
-     .write.option("sep", "\t").option("header", True).csv(path))
-    return R.read_evidence(spark, path, tissues=[], key_column="idx", nrows=500).select(
-        "idx", "gene_id", "gwas_snp", "score")
+    """R2: the first 500 rows by key of evidence files in any order."""
+    return R.read_evidence(spark, _evidence_tsv(spark, sf), tissues=[], key_column="idx", nrows=500,
+                           columns=["gene_id", "gwas_snp", "score"]).select("idx", "gene_id", "gwas_snp", "score")
 
 
 def _row_index(spark, sf):
-    path = K_.write_transformed(_ds(spark, sf).raw, scratch_path(spark, "transformed-idx"))
-    df = R.read_transformed(spark, path, add_index=False).drop("idx")
-    return R.with_row_index(df).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("idx").alias("n_distinct"),
-                                    F.min("idx").alias("min_idx"), F.max("idx").alias("max_idx"))
+    """Transformed rows written in order, numbered again as they stand in the files."""
+    ordered = _ds(spark, sf).raw.repartitionByRange("idx").sortWithinPartitions("idx")
+    path = K_.write_transformed(ordered, scratch_path(spark, "transformed-idx"))
+    return R.read_transformed(spark, path, add_index=True).select(
+        "idx", "gene_id", "ld_snp_rsID", "gwas_snp", "score")
 
 
 def _ot_vep_join(spark, sf):
@@ -291,6 +299,93 @@ def _ot_vep_join(spark, sf):
     return R.ot_vep_by_join(ev, R.terms_table(spark))
 
 
+def _read_terms(spark, sf):
+    """The term table from a TSV file with other columns, joined to the evidence."""
+    path = scratch_path(spark, "terms-tsv")
+    (R.terms_table(spark).select(F.lit("u").alias("url"), "value", "term")
+     .write.option("sep", "\t").option("header", True).csv(path))
+    ev = _ds(spark, sf).evidence.select("idx", "vep_terms")
+    return R.ot_vep_by_join(ev, R.read_terms(spark, path))
+
+
+def _float_integers(spark, sf):
+    """R1 on a file that writes whole numbers as floats (463.0, 1.2E7)."""
+    whole = [n for n, t in S.EVIDENCE_TYPES.items() if t.simpleString() == "bigint"]
+    path = _evidence_tsv(spark, sf, {c: F.col(c).cast("double") for c in whole})
+    ev = R.read_evidence(spark, path, tissues=FX.FIXTURE_TISSUES, key_column="idx")
+    return T_transform(ev, tissues=FX.FIXTURE_TISSUES)
+
+
+def _from_file(spark, sf):
+    """A TSV without an index column to the served tables, and a locus from these."""
+    ds, base = _ds(spark, sf), scratch_path(spark, "from-file")
+    (ds.evidence.repartitionByRange("idx").sortWithinPartitions("idx").drop("idx")
+     .write.option("sep", "\t").option("header", True).csv(f"{base}/evidence"))
+    paths = build_from_file(spark, f"{base}/evidence", ds.genes, ds.lead_variant, f"{base}/tables",
+                            tissues=FX.FIXTURE_TISSUES)
+    api = EvidenceAPI.from_tables(spark, paths)
+    return api.locus(CHROM, START, END)["geneVariants"]
+
+
+def _api(ds) -> EvidenceAPI:
+    return EvidenceAPI(ds.processed, ds.processed, ds.genes, ds.ids)
+
+
+def _api_keyset(sort: tuple[str, ...]) -> Query:
+    """All rows of a disease after the first page, by cursor."""
+    def run(spark, sf):
+        api = _api(_ds(spark, sf))
+        first = api.diseaseTable(SEL_DISEASE, limit=PAGE_OFFSET, sort=sort, after=())["rows"].collect()
+        rest = api.diseaseTable(SEL_DISEASE, sort=sort, after=TB.cursor(first[-1], sort))["rows"]
+        return rest.drop("_lead_chrom", "_lead_pos")
+    return run
+
+
+def _stored_ids(spark, sf):
+    path = K_.write_id_table(_ds(spark, sf).ids, scratch_path(spark, "ids"))
+    return spark.read.parquet(path)
+
+
+def _pair_batch(spark, sf):
+    """P8 for every lead-variant-disease pair of the evidence at once."""
+    ds = _ds(spark, sf)
+    ids = ds.evidence.select(F.concat("gwas_snp", F.lit("-"), "disease_efo_id").alias("selected_id"))
+    rows = L.window_rows(ds.processed, CHROM, START, END)
+    return P.selected_rows(rows, ids, "leadVariantDisease").select("idx", "selected_id")
+
+
+# Columns that lack their number (NaN) in every 7th row of the queries below.
+HOLES = ["GTEx", "Nearest", "gwas_pvalue"]
+
+
+def _holes(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.when(F.col("idx") % 7 == 0, F.lit(float("nan"))).otherwise(F.col(c))
+                           for c in columns})
+
+
+def _nan_transform(spark, sf):
+    evidence = _holes(_ds(spark, sf).evidence, [*HOLES, *FX.FIXTURE_TISSUES[:2]])
+    return T_transform(evidence, tissues=FX.FIXTURE_TISSUES)
+
+
+def _nan_window(spark, sf):
+    return L.window_rows(_holes(_ds(spark, sf).processed, HOLES), CHROM, START, END)
+
+
+def _nan_must_have(spark, sf):
+    return _nan_window(spark, sf).where(P.must_have(("gtex", "nearest"))).select("idx")
+
+
+def _nan_nearest(spark, sf):
+    """C10 and A11 on NaN: the row is served and not nearest."""
+    rows = TB.full_row(_nan_window(spark, sf))
+    return rows.select("index", F.coalesce("nearest", F.lit(False)).alias("nearest"))
+
+
+def _nan_max_pvalue(spark, sf):
+    return L.max_gwas_pvalue(_nan_window(spark, sf))
+
+
 def _nested_gene(spark, sf):
     flat = nested.flatten_gene_record(FX.gene_records(spark, sf))
     text = F.array_join(F.transform("ct_exons", lambda e: F.concat(
@@ -316,16 +411,14 @@ def _stream_funnel(spark, sf):
     src, sink = scratch_path(spark, "stream-src"), scratch_path(spark, "funnel-sink")
     _ds(spark, sf).evidence.write.parquet(src)
     start_funnel_stream(spark, src, sink, tissues=FX.FIXTURE_TISSUES).awaitTermination()
-    out = spark.read.parquet(sink)
+    out = spark.read.parquet(sink).withColumn("epoch", F.col("epoch").cast("int"))
     last = out.agg(F.max("epoch").alias("_e"))
     return out.join(last, out["epoch"] == last["_e"]).drop("epoch", "_e")
 
 
 def _r1_tsv_transform(spark, sf):
     """R1 end to end: evidence as TSV text (44 tissue columns) -> typed read -> transform."""
-    path = scratch_path(spark, "evidence-tsv")
-    (_ds(spark, sf).evidence.write.option("sep", "\t").option("header", True)
-     .option("compression", "gzip").csv(path))
+    path = _evidence_tsv(spark, sf)
     ev = R.read_evidence(spark, path, tissues=FX.FIXTURE_TISSUES, key_column="idx")
     return T_transform(ev, tissues=FX.FIXTURE_TISSUES)
 
@@ -333,7 +426,7 @@ def _r1_tsv_transform(spark, sf):
 def _batch_locus_genes(spark, sf):
     ds = _ds(spark, sf)
     loci = B.loci_around_genes(ds.gene_dim, GENE_FLANK)
-    pairs = B.batch_locus_rows(ds.membership, loci, method="binned", bin_size=BIN_SIZE)
+    pairs = B.batch_locus_rows(ds.membership, loci, BIN_SIZE)
     out = L.gene_vertices(pairs, ds.genes, keys=["locus_id"])
     return out.withColumn("exons", exons_text(F.col("exons")))
 
@@ -465,6 +558,36 @@ QUERIES: dict[str, Query] = {
     "first_rows": _first_rows,
     "row_index": _row_index,
     "ot_vep_join": _ot_vep_join,
+    "read_terms": _read_terms,
+    "r1_float_integers": _float_integers,
+    "build_from_file": _from_file,
+    # Cursor paging, stored lookups, all selections, missing numbers
+    "api_keyset_all": _api_keyset(()),
+    "api_keyset_sorted": _api_keyset(("-gwasPValue",)),
+    "disease_table_sorted_page": _disease_table("page", 0, PAGE_LIMIT, ("-gwasPValue",)),
+    "disease_table_rest": _disease_table("page", PAGE_OFFSET),
+    "variant_location_stored": lambda spark, sf: K.variant_location(_stored_ids(spark, sf), VARIANT_ID),
+    "search_stored": lambda spark, sf: K.search(_stored_ids(spark, sf), LEAD_ONLY_ID),
+    "search_batch_stored": lambda spark, sf: K.search_batch(
+        _stored_ids(spark, sf), _ds(spark, sf).evidence.select(F.col("gwas_snp").alias("query"))),
+    "p_variant": _window_pred_query(lambda: P.selection(SEL_VARIANT, "variant")),
+    "p_lead_variant": _window_pred_query(lambda: P.selection(SEL_LEAD, "leadVariant")),
+    "p_gene_variant": _window_pred_query(lambda: P.selection(SEL_GENE_VARIANT, "geneVariant")),
+    "p_variant_lead_variant": _window_pred_query(lambda: P.selection(SEL_VARIANT_LEAD, "variantLeadVariant")),
+    "p_pair_batch": _pair_batch,
+    "locus_variants_selected": _locus_child("variants", sel_id=SEL_VARIANT, sel_type="variant"),
+    "locus_lead_variants_selected": _locus_child("leadVariants", sel_id=SEL_LEAD, sel_type="leadVariant"),
+    "locus_variant_leads_selected": _locus_child("variantLeadVariants", sel_id=SEL_VARIANT_LEAD,
+                                                 sel_type="variantLeadVariant"),
+    "batch_locus_variants": _locus_batch("variants"),
+    "batch_locus_lead_variants": _locus_batch("leadVariants"),
+    "batch_locus_diseases": _locus_batch("diseases"),
+    "batch_locus_variant_leads": _locus_batch("variantLeadVariants"),
+    "batch_locus_lead_diseases": _locus_batch("leadVariantDiseases"),
+    "nan_transform": _nan_transform,
+    "nan_must_have": _nan_must_have,
+    "nan_nearest": _nan_nearest,
+    "nan_max_pvalue": _nan_max_pvalue,
 }
 
 
@@ -582,10 +705,43 @@ def _oracle() -> dict[str, str]:
                                    "ORDER BY idx LIMIT 500"),
         "first_rows": O.with_ctes(["evidence"], [], "SELECT idx, gene_id, gwas_snp, score FROM evidence "
                                   "ORDER BY idx LIMIT 500"),
-        "row_index": O.with_ctes(["raw"], [], "SELECT count(*) AS n, count(*) AS n_distinct, "
-                                 "CAST(0 AS BIGINT) AS min_idx, count(*) - 1 AS max_idx FROM raw"),
-        "ot_vep_join": O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep "
-                                   "FROM evidence"),
+        "row_index": O.with_ctes(["raw"], [], "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, gene_id, "
+                                 "ld_snp_rsID, gwas_snp, score FROM raw"),
+        "ot_vep_join": (vep_sql := O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep "
+                                               "FROM evidence")),
+        "read_terms": vep_sql,
+        "r1_float_integers": O.with_ctes(["raw"], [], "SELECT * FROM raw"),
+        "build_from_file": O.locus_child_sql("geneVariants", *loc),
+        "api_keyset_all": (rest_sql := O.disease_table_sql("page", SEL_DISEASE, PAGE_OFFSET)),
+        "api_keyset_sorted": O.disease_table_sql("page", SEL_DISEASE, PAGE_OFFSET, None, order_desc_p),
+        "disease_table_sorted_page": O.disease_table_sql("page", SEL_DISEASE, 0, PAGE_LIMIT, order_desc_p),
+        "disease_table_rest": rest_sql,
+        "variant_location_stored": O.variant_location_sql(VARIANT_ID),
+        "search_stored": O.search_sql(LEAD_ONLY_ID),
+        "search_batch_stored": O.with_ctes(["processed", "evidence"], [], (
+            "SELECT DISTINCT gwas_snp AS id, gwas_snp AS name, 'variant' AS type FROM evidence WHERE gwas_snp IN "
+            "(SELECT ld_snp_rsID FROM processed) OR gwas_snp IN (SELECT gwas_snp FROM processed)")),
+        "p_variant": _window_pred_sql(O.selection_sql(SEL_VARIANT, "variant")),
+        "p_lead_variant": _window_pred_sql(O.selection_sql(SEL_LEAD, "leadVariant")),
+        "p_gene_variant": _window_pred_sql(O.selection_sql(SEL_GENE_VARIANT, "geneVariant")),
+        "p_variant_lead_variant": _window_pred_sql(O.selection_sql(SEL_VARIANT_LEAD, "variantLeadVariant")),
+        "p_pair_batch": O.pair_batch_sql(*loc, "leadVariantDisease"),
+        "locus_variants_selected": O.locus_child_sql("variants", *loc, sel_id=SEL_VARIANT, sel_type="variant"),
+        "locus_lead_variants_selected": O.locus_child_sql("leadVariants", *loc, sel_id=SEL_LEAD,
+                                                          sel_type="leadVariant"),
+        "locus_variant_leads_selected": O.locus_child_sql("variantLeadVariants", *loc, sel_id=SEL_VARIANT_LEAD,
+                                                          sel_type="variantLeadVariant"),
+        **{name: O.batch_child_sql(child, O.loci_around_genes_sql(GENE_FLANK), O.filters_sql(**edge))
+           for name, child in [("batch_locus_variants", "variants"), ("batch_locus_lead_variants", "leadVariants"),
+                               ("batch_locus_diseases", "diseases"),
+                               ("batch_locus_variant_leads", "variantLeadVariants"),
+                               ("batch_locus_lead_diseases", "leadVariantDiseases")]},
+        "nan_transform": O.missing_transform_sql([*HOLES, *FX.FIXTURE_TISSUES[:2]]),
+        "nan_must_have": O.missing_window_sql(*loc, HOLES, "SELECT idx FROM u WHERE GTEx > 0.999975 AND Nearest > 0"),
+        "nan_nearest": O.missing_window_sql(*loc, HOLES, 'SELECT idx AS "index", coalesce(Nearest > 0, false) '
+                                            "AS nearest FROM u"),
+        "nan_max_pvalue": O.missing_window_sql(*loc, HOLES, "SELECT CASE WHEN min(gwas_pvalue) > 0 THEN "
+                                               '-log10(min(gwas_pvalue)) END AS "maxGwasPValue" FROM u'),
     }
 
 

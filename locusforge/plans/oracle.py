@@ -2,14 +2,28 @@
 
 Written independently of the Spark operators: plain joins, WHERE clauses,
 ``row_number()`` for representative rows and CASE expressions for scores.
-Only the fixture expressions (the input derivation) are shared.
+Only the fixture expressions (the input derivation), the term scores and column
+names are shared; thresholds, weights and lookup maps are written out here.
 """
 
 from __future__ import annotations
 
 from locusforge import fixtures as FX
 from locusforge import schemas as S
-from locusforge.operators.predicates import pvalue_bounds
+
+# Fixed values, written out so that a wrong entry in the engine shows.
+MIN_GTEX, MIN_VEP, MAX_DISTANCE = 0.999975, 0.65, 1000000
+WEIGHTS = {"GTEx": 13.0, "PCHiC": 1.5, "Fantom5": 3.0, "DHS": 1.5}
+PHASES = {"p1_min": 0.9, "p1_max": 1.0, "p2_min": 0.5, "p2_max": 0.9, "p3": 0.5}
+SOURCES = ["GWAS Catalog"]
+EVIDENCE_CHROMOSOMES = [str(c) for c in range(23)] + ["X", "Y"]
+TABLE_CHROMOSOMES = [str(c) for c in range(1, 23)] + ["X", "Y"]
+MUST_HAVE_COLUMNS = {"gtex": "GTEx", "vep": "VEP", "pchic": "PCHiC", "fantom5": "Fantom5", "dhs": "DHS",
+                     "nearest": "Nearest", "regulome": "Regulome"}
+SIMPLE_SELECTIONS = {"gene": "gene_id", "variant": "ld_snp_rsID", "leadVariant": "gwas_snp",
+                     "disease": "disease_efo_id"}
+PAIR_SELECTIONS = {"geneVariant": ("gene_id", "ld_snp_rsID"), "variantLeadVariant": ("ld_snp_rsID", "gwas_snp"),
+                   "leadVariantDisease": ("gwas_snp", "disease_efo_id")}
 
 
 def dbl(x: float) -> str:
@@ -27,17 +41,17 @@ def in_list(values) -> str:
 TIS = FX.FIXTURE_TISSUES
 ECO_CASE = "CASE t " + " ".join(f"WHEN {lit(term)} THEN {dbl(v)}" for term, v in S.ECO_SCORES) + " END"
 BEST_TERM = f"coalesce(list_max(list_transform(string_split(vep_terms, ','), lambda t: {ECO_CASE})), {dbl(0)})"
-OT_VEP = f"CASE WHEN {BEST_TERM} >= {dbl(S.MINIMUM_VEP_VALUE)} THEN {BEST_TERM} ELSE {dbl(0)} END"
+OT_VEP = f"CASE WHEN {BEST_TERM} >= {dbl(MIN_VEP)} THEN {BEST_TERM} ELSE {dbl(0)} END"
 GMAX = f"greatest({', '.join(TIS)})"
 GTISSUE = (f"CASE WHEN {GMAX} IS NULL THEN NULL ELSE list_extract([{', '.join(lit(t) for t in TIS)}], "
            f"list_position([{', '.join(TIS)}], {GMAX})) END")
 
-T3 = f"gwas_source IN {in_list(S.VALID_GWAS_SOURCES)}"
-T45 = (f"GRCh38_chrom IN {in_list(S.TRANSFORM_CHROMOSOMES)} AND "
-       f"GRCh38_gene_chrom IN {in_list(S.TRANSFORM_CHROMOSOMES)}")
+T3 = f"gwas_source IN {in_list(SOURCES)}"
+T45 = (f"GRCh38_chrom IN {in_list(EVIDENCE_CHROMOSOMES)} AND "
+       f"GRCh38_gene_chrom IN {in_list(EVIDENCE_CHROMOSOMES)}")
 T6 = "GRCh38_chrom = GRCh38_gene_chrom"
-T7 = f"abs(GRCh38_pos - GRCh38_gene_pos) <= {S.MAXIMUM_GENE_SNP_DISTANCE}"
-T8 = (f"(GTEx > {dbl(S.MINIMUM_GTEX_VALUE)} OR VEP > 0 OR PCHiC > 0 OR Fantom5 > 0 "
+T7 = f"abs(GRCh38_pos - GRCh38_gene_pos) <= {MAX_DISTANCE}"
+T8 = (f"(GTEx > {dbl(MIN_GTEX)} OR VEP > 0 OR PCHiC > 0 OR Fantom5 > 0 "
       "OR DHS > 0 OR Nearest > 0)")
 T_ALL = f"{T3} AND {T45} AND {T6} AND {T7} AND {T8}"
 
@@ -59,7 +73,7 @@ CTES["genes"] = (
     "SELECT g.gene_id, g.description, CASE WHEN g.strand = 1 THEN g.gene_start ELSE g.gene_end END AS tss, "
     "g.chr, g.gene_start, g.gene_end, CASE WHEN g.strand = 1 THEN true WHEN g.strand = -1 THEN false END "
     "AS fwdstrand, coalesce(x.exons, '') AS exons FROM gene_dim g LEFT JOIN exon_text x ON g.gene_id = x.gene_id")
-CTES["chroms24"] = "SELECT * FROM (VALUES " + ", ".join(f"({lit(c)})" for c in S.BUILD_CHROMOSOMES) + ") v(c)"
+CTES["chroms24"] = "SELECT * FROM (VALUES " + ", ".join(f"({lit(c)})" for c in TABLE_CHROMOSOMES) + ") v(c)"
 CTES["member"] = (f"SELECT p.*, c AS chrom FROM processed p, chroms24 WHERE "
                   f"c = GRCh38_gene_chrom OR c = GRCh38_chrom OR c = {S.LEAD_CHROM}")
 
@@ -111,8 +125,8 @@ def must_have_sql(names) -> str | None:
     parts = []
     for n in names or []:
         k = n.lower()
-        thr = dbl(S.MINIMUM_GTEX_VALUE) if k == "gtex" else "0"
-        parts.append(f"({S.MUST_HAVE_COLUMNS[k]} > {thr})")
+        thr = dbl(MIN_GTEX) if k == "gtex" else "0"
+        parts.append(f"({MUST_HAVE_COLUMNS[k]} > {thr})")
     return " AND ".join(parts) or None
 
 
@@ -125,17 +139,17 @@ def range_sql(col: str, b) -> str | None:
 def pvalue_sql(b) -> str | None:
     if b is None or len(b) != 2:
         return None
-    lo, hi = pvalue_bounds(b)
+    lo, hi = 10.0 ** -float(b[1]), 10.0 ** -float(b[0])
     return f"(gwas_pvalue >= {dbl(lo)} AND gwas_pvalue <= {dbl(hi)})"
 
 
 def selection_sql(sel_id: str | None, sel_type: str | None) -> str | None:
     if sel_id is None or sel_type is None:
         return None
-    if sel_type in S.SIMPLE_SELECTIONS:
-        return f"({S.SIMPLE_SELECTIONS[sel_type]} = {lit(sel_id)})"
-    if sel_type in S.PAIR_SELECTIONS:
-        a, b = S.PAIR_SELECTIONS[sel_type]
+    if sel_type in SIMPLE_SELECTIONS:
+        return f"({SIMPLE_SELECTIONS[sel_type]} = {lit(sel_id)})"
+    if sel_type in PAIR_SELECTIONS:
+        a, b = PAIR_SELECTIONS[sel_type]
         parts = sel_id.split("-")
         second = parts[1] if len(parts) > 1 else None
         return f"({a} = {lit(parts[0])} AND {b} = {lit(second)})"
@@ -250,13 +264,40 @@ def locus_table_sql(kind: str, chrom, start, end, must_haves=(), score=None, r2=
                      f"SELECT {FULL_ROW_SQL} FROM t ORDER BY {order_prefix}{ORDER}{lim}{off}")
 
 
-def disease_table_sql(kind: str, efo_id: str, offset=0, limit=None) -> str:
+def disease_table_sql(kind: str, efo_id: str, offset=0, limit=None, order_prefix: str = "") -> str:
     rows = f"SELECT * FROM processed WHERE disease_efo_id = {lit(efo_id)}"
     if kind == "total":
         return with_ctes(["processed"], [("t", rows)], "SELECT count(*) AS total FROM t")
     lim = f" LIMIT {int(limit)}" if limit is not None else ""
     off = f" OFFSET {int(offset)}" if offset else ""
-    return with_ctes(["processed"], [("t", rows)], f"SELECT {FULL_ROW_SQL} FROM t ORDER BY {ORDER}{lim}{off}")
+    return with_ctes(["processed"], [("t", rows)], f"SELECT {FULL_ROW_SQL} FROM t ORDER BY {order_prefix}{ORDER}{lim}{off}")
+
+
+def pair_batch_sql(chrom: str, start: int, end: int, selected_type: str) -> str:
+    """Window rows under every pair id that the evidence has."""
+    a, b = PAIR_SELECTIONS[selected_type]
+    ids = f"SELECT DISTINCT {a} AS a, {b} AS b FROM evidence WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+    return with_ctes(["evidence", "processed"], [("u", window_sql(chrom, start, end)), ("s", ids)],
+                     f"SELECT u.idx, {composite('s.a', 's.b')} AS selected_id FROM u JOIN s "
+                     f"ON u.{a} = s.a AND u.{b} = s.b")
+
+
+# ---------------------------------------------------------------------------
+# Missing values: every 7th row lacks some numbers
+# ---------------------------------------------------------------------------
+def _holes(columns: list[str], source: str) -> str:
+    parts = ", ".join(f"CASE WHEN idx % 7 = 0 THEN NULL ELSE {c} END AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({parts}) FROM {source}"
+
+
+def missing_transform_sql(columns: list[str]) -> str:
+    raw = CTES["raw"].replace("FROM evidence", "FROM holes")
+    return with_ctes(["evidence"], [("holes", _holes(columns, "evidence")), ("r", raw)], "SELECT * FROM r")
+
+
+def missing_window_sql(chrom: str, start: int, end: int, columns: list[str], body: str) -> str:
+    window = window_sql(chrom, start, end).replace("FROM processed", "FROM holes")
+    return with_ctes(["processed"], [("holes", _holes(columns, "processed")), ("u", window)], body)
 
 
 # ---------------------------------------------------------------------------
@@ -320,12 +361,12 @@ def batch_locus_sql(loci_sql: str, needed: list[str]) -> str:
 
 def loci_per_chromosome_sql(start: int, end: int) -> str:
     return (f"SELECT DISTINCT 'chr' || chr AS locus_id, chr AS chrom, CAST({int(start)} AS BIGINT) AS \"start\", "
-            f"CAST({int(end)} AS BIGINT) AS \"end\" FROM gene_dim WHERE chr IN {in_list(S.BUILD_CHROMOSOMES)}")
+            f"CAST({int(end)} AS BIGINT) AS \"end\" FROM gene_dim WHERE chr IN {in_list(TABLE_CHROMOSOMES)}")
 
 
 def loci_around_genes_sql(flank: int) -> str:
     return (f"SELECT gene_id AS locus_id, chr AS chrom, gene_start - {int(flank)} AS \"start\", "
-            f"gene_end + {int(flank)} AS \"end\" FROM gene_dim WHERE chr IN {in_list(S.BUILD_CHROMOSOMES)}")
+            f"gene_end + {int(flank)} AS \"end\" FROM gene_dim WHERE chr IN {in_list(TABLE_CHROMOSOMES)}")
 
 
 def batch_locus_genes_sql(loci_sql: str) -> str:
@@ -360,6 +401,29 @@ def batch_locus_gene_variants_sql(loci_sql: str, filt: str | None) -> str:
                                            ("r", rep)], body)
 
 
+def batch_child_sql(child: str, loci_sql: str, filt: str | None) -> str:
+    """One of the batch outputs that need no gene table, for every window."""
+    src, keys, payload, names = {
+        "variants": ("pairs", ["ld_snp_rsID"], [("position", "GRCh38_pos")], 'ld_snp_rsID AS id, position'),
+        "leadVariants": ("pairs", ["gwas_snp"], [("position", S.LEAD_POS)], 'gwas_snp AS id, position'),
+        "diseases": ("pairs", ["disease_efo_id"], [("name", "disease_name")], 'disease_efo_id AS id, name'),
+        "variantLeadVariants": ("f", ["ld_snp_rsID", "gwas_snp"], [
+            ("vPos", "GRCh38_pos"), ("lvPos", S.LEAD_POS), ("r2", "r2")],
+            f'{composite("ld_snp_rsID", "gwas_snp")} AS id, ld_snp_rsID AS "vId", "vPos", gwas_snp AS "lvId", '
+            '"lvPos", r2'),
+        "leadVariantDiseases": ("f", ["gwas_snp", "disease_efo_id"], [
+            ("lvPos", S.LEAD_POS), ("efoName", "disease_name"), ("gwasPValue", "gwas_pvalue"),
+            ("gwasOddsRatio", "gwas_odds_ratio"), ("gwasBeta", "gwas_beta"), ("gwasStudy", "gwas_study"),
+            ("gwasPMId", "gwas_pmid"), ("gwasSize", "gwas_size")],
+            f'{composite("gwas_snp", "disease_efo_id")} AS id, gwas_snp AS "lvId", disease_efo_id AS "efoId", '
+            '"lvPos", "efoName", "gwasPValue", "gwasOddsRatio", "gwasBeta", "gwasStudy", "gwasPMId", "gwasSize"'),
+    }[child]
+    f = "SELECT * FROM pairs" + (f" WHERE {filt}" if filt else "")
+    return with_ctes(["member"], [("loci", loci_sql), ("pairs", _pairs_sql()), ("f", f),
+                                  ("r", rep_sql(src, ["locus_id", *keys], payload, None))],
+                     f"SELECT locus_id, {names}, selected FROM r")
+
+
 def batch_locus_max_pvalue_sql(loci_sql: str) -> str:
     body = ('SELECT locus_id, CASE WHEN min(gwas_pvalue) > 0 THEN -log10(min(gwas_pvalue)) END '
             'AS "maxGwasPValue" FROM pairs GROUP BY locus_id')
@@ -383,21 +447,21 @@ def keyset_page_sql(chrom: str, start: int, end: int, first_page: int, limit: in
 def g2v_sql() -> str:
     """S2/S3 over the whole evidence table."""
     best = BEST_TERM
-    m1 = (S.OT_G2V_PHASE_1_MAX - S.OT_G2V_PHASE_1_MIN) / (1.0 - S.MINIMUM_VEP_VALUE)
-    m2 = (S.OT_G2V_PHASE_2_MAX - S.OT_G2V_PHASE_2_MIN) / (1.0 - 0.0)
-    g = (f"(CASE WHEN GTEx > {dbl(S.MINIMUM_GTEX_VALUE)} THEN GTEx * {dbl(S.GTEX_WEIGHT)} ELSE 0e0 END"
-         f" + CASE WHEN PCHiC > 0 THEN PCHiC * {dbl(S.PCHIC_WEIGHT)} ELSE 0e0 END"
-         f" + CASE WHEN Fantom5 > 0 THEN Fantom5 * {dbl(S.FANTOM5_WEIGHT)} ELSE 0e0 END"
-         f" + CASE WHEN DHS > 0 THEN DHS * {dbl(S.DHS_WEIGHT)} ELSE 0e0 END)"
-         f" / {dbl(S.FUNCGEN_TOTAL_WEIGHT)}")
-    score = (f"CASE WHEN {best} >= {dbl(S.MINIMUM_VEP_VALUE)} THEN ({best} - {dbl(S.MINIMUM_VEP_VALUE)})"
-             f" * {dbl(m1)} + {dbl(S.OT_G2V_PHASE_1_MIN)}"
-             f" WHEN {g} > 0 THEN ({g} - 0e0) * {dbl(m2)} + {dbl(S.OT_G2V_PHASE_2_MIN)}"
-             f" WHEN Nearest > 0 THEN {dbl(S.OT_G2V_PHASE_3_VALUE)} ELSE 0e0 END")
-    srcs = ("concat_ws(';', CASE WHEN GTEx > " + dbl(S.MINIMUM_GTEX_VALUE) + " THEN 'GTEx' END, "
+    m1 = (PHASES["p1_max"] - PHASES["p1_min"]) / (1.0 - MIN_VEP)
+    m2 = (PHASES["p2_max"] - PHASES["p2_min"]) / (1.0 - 0.0)
+    g = (f"(CASE WHEN GTEx > {dbl(MIN_GTEX)} THEN GTEx * {dbl(WEIGHTS["GTEx"])} ELSE 0e0 END"
+         f" + CASE WHEN PCHiC > 0 THEN PCHiC * {dbl(WEIGHTS["PCHiC"])} ELSE 0e0 END"
+         f" + CASE WHEN Fantom5 > 0 THEN Fantom5 * {dbl(WEIGHTS["Fantom5"])} ELSE 0e0 END"
+         f" + CASE WHEN DHS > 0 THEN DHS * {dbl(WEIGHTS["DHS"])} ELSE 0e0 END)"
+         f" / {dbl(sum(WEIGHTS.values()))}")
+    score = (f"CASE WHEN {best} >= {dbl(MIN_VEP)} THEN ({best} - {dbl(MIN_VEP)})"
+             f" * {dbl(m1)} + {dbl(PHASES["p1_min"])}"
+             f" WHEN {g} > 0 THEN ({g} - 0e0) * {dbl(m2)} + {dbl(PHASES["p2_min"])}"
+             f" WHEN Nearest > 0 THEN {dbl(PHASES["p3"])} ELSE 0e0 END")
+    srcs = ("concat_ws(';', CASE WHEN GTEx > " + dbl(MIN_GTEX) + " THEN 'GTEx' END, "
             "CASE WHEN PCHiC > 0 THEN 'PCHiC' END, CASE WHEN Fantom5 > 0 THEN 'Fantom5' END, "
             "CASE WHEN DHS > 0 THEN 'DHS' END)")
-    reason = (f"CASE WHEN {best} >= {dbl(S.MINIMUM_VEP_VALUE)} THEN '1:VEP' WHEN {srcs} <> '' "
+    reason = (f"CASE WHEN {best} >= {dbl(MIN_VEP)} THEN '1:VEP' WHEN {srcs} <> '' "
               f"THEN '2:' || {srcs} WHEN Nearest > 0 THEN '3:Nearest' ELSE '' END")
     return with_ctes(["evidence"], [], f"SELECT idx, {score} AS ot_g2v_score, "
                        f"{reason} AS ot_g2v_score_reason FROM evidence")

@@ -80,7 +80,8 @@ def start_funnel_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     ckpt = checkpoint_dir or scratch_path(spark, "funnel-stream-checkpoint")
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(os.path.join(sink_dir))
+        # One folder per epoch, overwritten when the epoch is run again.
+        batch.write.mode("overwrite").parquet(os.path.join(sink_dir, f"epoch={epoch}"))
 
     return (counts.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
             .foreachBatch(write_batch).trigger(availableNow=True).start())
