@@ -82,19 +82,48 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return out
 
 
-class Codec:
+class ByteTable:
+    """The bytes of every id: all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes_of_id = {rank: token for token, rank in ranks.items()}
+        # Bytes of all tokens in a row, and where each begins.
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(self.bytes_of_id.get(i, b"") for i in range(len(self.sizes))), np.uint8)
+
+    def offsets(self, ids) -> np.ndarray:
+        """The byte of the text at which each id's token ends; it starts where the one before ends.
+
+        Offsets count bytes, so a token that is a part of a character has its own.
+        """
+        return np.cumsum(self.sizes[np.asarray(ids, dtype=np.int64)])
+
+    def decode_flat(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of a row of ids: every token's, from the reversed byte table."""
+        sizes = self.sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        return self.spelled[np.repeat(self.begin[ids] - before, sizes) + np.arange(int(sizes.sum()))]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return self.decode_flat(np.asarray(ids, dtype=np.int64)).tobytes()
+
+
+class Codec(ByteTable):
     """Encoder and decoder of one rank file and split pattern."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
         ranks = read_ranks(path)
+        super().__init__(ranks)
         characters = byte_characters()
 
         def spell(token: bytes) -> str:
             return "".join(characters[b] for b in token)
 
-        self.bytes_of_id = {rank: token for token, rank in ranks.items()}
         model = models.BPE(vocab={spell(t): r for t, r in ranks.items()},
                            merges=[(spell(a), spell(b)) for a, b in merges_of(ranks)], ignore_merges=True)
         self.tokenizer = Tokenizer(model)
@@ -107,13 +136,6 @@ class Codec:
         self.spelling = {b: c for b, c in enumerate(characters)}
         self.marks = {m: ranks[m.encode()] for m in "\n.,;:!?"}
         self.remembered = Remembered(self._encode_pieces)
-        # Bytes of all tokens in a row, and where each begins.
-        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        for token, rank in ranks.items():
-            self.sizes[rank] = len(token)
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        self.spelled = np.frombuffer(b"".join(self.bytes_of_id.get(i, b"") for i in range(len(self.sizes))), np.uint8)
-
     def _cut(self, text: str) -> list[str]:
         """Pieces of a newline and the text.
 
@@ -165,27 +187,15 @@ class Codec:
         ids, ends = self.encode_flat(texts)
         return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
 
-    def offsets(self, ids) -> np.ndarray:
-        """The byte of the text at which each id's token ends; it starts where the one before ends.
-
-        Offsets count bytes, so a token that is a part of a character has its own.
-        """
-        return np.cumsum(self.sizes[np.asarray(ids, dtype=np.int64)])
-
-    def decode_flat(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of a row of ids: every token's, from the reversed byte table."""
-        sizes = self.sizes[ids]
-        before = np.cumsum(sizes) - sizes
-        return self.spelled[np.repeat(self.begin[ids] - before, sizes) + np.arange(int(sizes.sum()))]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return self.decode_flat(np.asarray(ids, dtype=np.int64)).tobytes()
-
 
 def worker_codec(path: str, pattern: str) -> Codec:
     return per_process(("byte_bpe", path, pattern), lambda: Codec(path, pattern))
 
 
+def worker_table(path: str) -> ByteTable:
+    return per_process(("byte_table", path), lambda: ByteTable(read_ranks(path)))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, offsets: bool = True) -> DataFrame:
     """(id, ids, ends): token ids of every whole text and, if asked for, the byte where each token ends.
 
@@ -209,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, offsets: bool = T
     return bounded_batches(rows).mapInArrow(run, f"id {id_type}, ids array<int>, ends array<int>")
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(id, ids, raw): the bytes that the ids of each row stand for (null ids: none)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +229,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             start = 0
             while start < batch.num_rows:
                 end = max(start + 1, int(np.searchsorted(places, places[start] + SLICE_IDS, side="right")) - 1)
-                c = worker_codec(path, pattern)
+                c = worker_table(path)
                 ids = values[places[start]:places[end]]
                 raw = c.decode_flat(ids)
                 edges = np.concatenate(([0], np.cumsum(c.sizes[ids])))[places[start:end + 1] - places[start]]
@@ -236,7 +246,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the round trip of every whole text."""
-    decoded = decode_documents(encode_documents(docs, path, pattern, offsets=False), path, pattern)
+    decoded = decode_documents(encode_documents(docs, path, pattern, offsets=False), path)
     return decoded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
                           F.sha2("raw", 256).alias("decoded_sha256"))
