@@ -28,37 +28,40 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_length: int = MIN_KEY_LENGTH) -> DataFrame:
-    """(id, text_hash, position, h1, h2): one row per line whose key is long enough.
+    """(id, text_hash, part, position, h1, h2): one row per line whose key is long enough.
 
     The key is the line without white space at its ends and with A-Z in lower
-    case; 128 bits of hash stand for it.
+    case; 128 bits of hash stand for it. ``part`` is a number of the document.
     """
     lines = docs.select("id", "text_hash", F.posexplode(lines_of(F.col("text"))).alias("position", "line"))
     lines = (lines.where(F.char_length("line") >= min_length)
              .withColumn("key", F.btrim("line", F.lit(BLANKS)))
              .where(F.char_length("key") >= min_length)
              .withColumn("key", lower_ascii(F.col("key"))))
-    return lines.select("id", "text_hash", "position", F.xxhash64("key").alias("h1"),
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part")
+    return lines.select("id", "text_hash", part, "position", F.xxhash64("key").alias("h1"),
                         F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def repeated_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(h1, h2, keep_id): keys found in enough documents and the largest doc_id holding each.
-
-    Hash ranges are cut by a part number of the document too, so that a line
-    that a third of all documents hold is spread over PARTS ranges. Inside a
-    range the window sees each key sorted by document and position and marks
-    the first line of every document; the marks are summed before the parts of
-    a key meet.
+    """(h1, h2, part, keep_id): keys found in enough documents and the largest doc_id holding each.
+
+    Hash ranges are cut by the documents' part too, so that a line that a third
+    of all documents hold is spread over PARTS ranges. Inside a range the
+    window sees each key sorted by document and position and marks the first
+    line of every document; the marks are summed before the parts of a key
+    meet. A key is returned once for each part that holds it, so that lines
+    and keys can meet part by part.
     """
-    ranged = (lines.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
-              .repartitionByRange("h1", "h2", "part"))
+    ranged = lines.repartitionByRange("h1", "h2", "part")
     stream = W.partitionBy("h1", "h2", "part").orderBy(F.col("id").desc(), "position")
     first = ((F.row_number().over(stream) == 1)
              | ~F.col("id").eqNullSafe(F.lag("id").over(stream)))
-    return (ranged.withColumn("first", first).where("first")
-            .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_documents"), F.max("id").alias("keep_id"))
+    parts = (ranged.withColumn("first", first).where("first").groupBy("h1", "h2", "part")
+             .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id")))
+    keys = (parts.groupBy("h1", "h2").agg(F.sum("n").alias("n_documents"), F.max("last_id").alias("keep_id"))
             .where(F.col("n_documents") >= min_documents).select("h1", "h2", "keep_id"))
+    return parts.select("h1", "h2", "part").join(keys, ["h1", "h2"])
 
 
 def runs_of(positions: Column) -> Column:
@@ -80,7 +83,7 @@ def drop_bitmaps(docs: DataFrame, min_length: int = MIN_KEY_LENGTH,
     """
     lines = stored(line_hashes(docs, min_length), "line-hashes")
     keys = repeated_keys(lines, min_documents)
-    return (lines.join(keys, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    return (lines.join(keys, ["h1", "h2", "part"]).where(~F.col("id").eqNullSafe(F.col("keep_id")))
             .groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("position")).alias("positions"))
             .select("id", "text_hash", runs_of(F.col("positions")).alias("dropped")))
 
