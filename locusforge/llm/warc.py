@@ -115,14 +115,16 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFr
     Of equal payloads of at least ``min_bytes`` the smallest page_id is the
     response (every row of it, should it be repeated) and the others refer to
     it; a null page_id is never referred to. Null html is an empty payload.
+    The table of repeated payloads is stored first: Spark then knows its size,
+    and where it is small the pages are joined without being shuffled.
     """
     rows = pages.select(F.col("page_id").alias("id"), F.col("url").cast("string").alias("url"),
                         bytes_of("html").alias("payload"))
     rows = (rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
             .withColumn("payload_digest", F.sha2("payload", 256)))
-    firsts = (rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
-              .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-              .where("copies > 1 AND first_id IS NOT NULL").select("payload_digest", "first_id"))
+    firsts = stored(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
+                    .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+                    .where("copies > 1 AND first_id IS NOT NULL").select("payload_digest", "first_id"), "warc-firsts")
     return (rows.join(firsts, "payload_digest", "left")
             .withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")))
             .select("id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"))
