@@ -18,8 +18,8 @@ class Remembered:
     row. Ids are kept in flat arrays, so a piece costs little more than its key.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int | None = None):
+        self.encode, self.most = encode, most
         self._forget()
 
     def _forget(self) -> None:
@@ -30,7 +30,7 @@ class Remembered:
 
     def lookup(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the place where each text's ids end."""
-        if len(self.number) > MAX_REMEMBERED:
+        if len(self.number) > (self.most or MAX_REMEMBERED):
             self._forget()
         counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         words = list(chain.from_iterable(cut))

@@ -1,7 +1,7 @@
 """Re-Pair grammar compression of token ids, in NumPy.
 
 Frequent pairs of neighbouring symbols are replaced by new symbols until no
-pair is frequent. Every round takes all pairs whose count is at least a quarter
+pair is frequent. Every round takes all pairs whose count is at least a sixteenth
 of the highest one, most frequent first, so a shard needs few passes. The
 rules and the expansion length of every symbol are kept, which gives random
 access: the symbols that cover a range of ids are found by binary search and
@@ -20,7 +20,7 @@ import numpy as np
 MAGIC = b"LFRP1\n"
 
 MIN_COUNT = 16
-MAX_ROUNDS = 12
+MAX_ROUNDS = 6
 RULES_A_ROUND = 8192
 
 
@@ -73,21 +73,17 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
         if len(out) < 2:
             break
         keys = (out[:-1] << 32) | out[1:]
-        ordered = np.sort(keys)
-        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.concatenate((edges, [len(ordered)])))
-        top = int(counts.max())
-        if top < min_count:
+        pairs, place = _frequent(keys, min_count)
+        if not len(pairs):
             break
-        chosen = np.flatnonzero(counts >= max(min_count, top // 4))
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:RULES_A_ROUND]
-        pairs = np.sort(ordered[edges[chosen]])
-        hit, rule = _find(keys, pairs)
-        at = np.flatnonzero(hit)
+        rule = np.minimum(np.searchsorted(pairs, keys[place]), len(pairs) - 1)
+        right = pairs[rule] == keys[place]
+        at, rule = place[right], rule[right]
         # Of neighbouring hits, which overlap, every other one is taken.
         heads = np.concatenate(([True], np.diff(at) > 1))
         run_start = at[np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))]
-        at = at[(at - run_start) % 2 == 0]
+        taken = (at - run_start) % 2 == 0
+        at, rule = at[taken], rule[taken]
         new = len(rules) + base
         made = np.column_stack((pairs >> 32, pairs & 0xFFFFFFFF))
         size = np.ones(made.shape, dtype=np.int64)
@@ -95,33 +91,38 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
         size[inner] = lengths[made[inner] - base]
         rules, lengths = np.vstack((rules, made)), np.concatenate((lengths, size.sum(axis=1)))
         out = out.copy()
-        out[at] = new + rule[at]
+        out[at] = new + rule
         keep = np.ones(len(out), dtype=bool)
         keep[at + 1] = False
         out = out[keep]
     return Grammar(base, rules, lengths, out)
 
 
-def _find(keys: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are among the sorted ``pairs``, and at which place.
+def _frequent(keys: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs to replace in a round, sorted, and the places where they may stand.
 
-    A table of hashed places rules most keys out; the others are looked up by
-    binary search.
+    Those are all pairs of at least a sixteenth of the top count. Counts by a
+    hash of the pair bound the true counts from above, so only keys in full
+    enough slots are sorted and counted.
     """
-    bits = max(8, int(len(pairs) * 8).bit_length())
-    place = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    home = ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    taken = np.zeros(1 << bits, dtype=bool)
-    taken[home] = True
-    rule = np.zeros(len(keys), dtype=np.int64)
-    likely = np.flatnonzero(taken[place])
-    found = np.searchsorted(pairs, keys[likely])
-    found = np.minimum(found, len(pairs) - 1)
-    right = pairs[found] == keys[likely]
-    hit = np.zeros(len(keys), dtype=bool)
-    hit[likely[right]] = True
-    rule[likely] = found
-    return hit, rule
+    bits = max(8, len(keys).bit_length())
+    slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    full = np.bincount(slot, minlength=1 << bits)
+    least = max(min_count, int(full.max()) // 16)
+    while True:
+        place = np.flatnonzero((full >= least)[slot])
+        ordered = np.sort(keys[place])
+        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))[:len(ordered)])
+        counts = np.diff(np.concatenate((edges, [len(ordered)])))
+        top = int(counts.max()) if len(counts) else 0
+        # Every pair of ``least`` or more is among the places; fewer may be wanted.
+        wanted = max(min_count, top // 16)
+        if wanted >= least or least == min_count:
+            break
+        least = wanted if top >= least else max(min_count, least // 16)
+    chosen = np.flatnonzero(counts >= wanted)
+    chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:RULES_A_ROUND]
+    return np.sort(ordered[edges[chosen]]), place
 
 
 # --- shard files ----------------------------------------------------------

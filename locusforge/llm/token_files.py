@@ -34,6 +34,8 @@ SHARD_IDS = 1_000_000
 # mark after it or none: two tokenizer words at most, which the library's model
 # merges without its normaliser and splitter.
 LATIN = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)"
+# Words remembered in a worker before the memory is emptied.
+MAX_REMEMBERED = 800_000
 # Other words that are encoded in one call.
 ENCODED_AT_ONCE = 4096
 
@@ -52,7 +54,7 @@ class WordEncoder:
         self.latin = re.compile(LATIN).fullmatch
         self.spelling = {b: c for b, c in enumerate(byte_characters())}
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,;:!?"}
-        self.remembered = Remembered(self._encode_words)
+        self.remembered = Remembered(self._encode_words, MAX_REMEMBERED)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[list[int]] = [None] * len(words)
