@@ -20,7 +20,6 @@ import numpy as np
 MAGIC = b"LFRP1\n"
 
 MIN_COUNT = 16
-MAX_ROUNDS = 6
 RULES_A_ROUND = 8192
 
 
@@ -69,9 +68,8 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
     out = np.asarray(ids, dtype=np.int64)
     base = int(out.max()) + 1 if len(out) else 1
     rules, lengths = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64)
-    for _ in range(MAX_ROUNDS):
-        if len(out) < 2:
-            break
+    # Every round replaces a pair somewhere, so the symbols run out.
+    while len(out) > 1:
         keys = (out[:-1] << 32) | out[1:]
         pairs, place = _frequent(keys, min_count)
         if not len(pairs):

@@ -50,6 +50,15 @@ def test_frequent_pairs_come_first():
         assert n == size(a) + size(b)
 
 
+def test_no_pair_is_frequent_at_the_end():
+    """Copies of one long page: rounds go on until no pair of neighbours is frequent."""
+    ids = np.tile(np.random.RandomState(2).randint(0, 40000, 2000), 100)
+    g = repair.compress(ids)
+    pairs = np.unique(np.column_stack((g.symbols[:-1], g.symbols[1:])), axis=0, return_counts=True)[1]
+    assert pairs.max(initial=0) < repair.MIN_COUNT
+    assert g.lengths.max() > 64 and np.array_equal(g.expand(g.symbols), ids)
+
+
 def test_encoder_matches_the_library(tokenizer):
     rng = random.Random(6)
     parts = [" ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "　", "a", "The", "ΣΑΣ", "İ", "é", "Å", "0", "10", "7", "'s",
