@@ -2,8 +2,8 @@
 
 Each document gets counts of words, symbols, repeated lines and repeated word
 windows. Its lines are normalised and hashed; for every host (the ``source``)
-the documents that hold a line are counted, lines above the limit count as
-removed, and a document that has lost most of its words is rejected.
+the documents that hold a line are counted, lines above the limit are taken
+out of the texts, and a document that has lost most of its words is rejected.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -58,66 +59,108 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated)
 
 
-def line_words(raw: bytes) -> dict[int, int]:
-    """Words that each normalised line of a text holds in all, by signed 64-bit hash."""
-    out: dict[int, int] = {}
-    for line in raw.split(b"\n"):
-        if n := len(line.split()):
-            key = xxhash.xxh64_intdigest(normalised(line))
-            key -= (key >> 63) << 64
-            out[key] = out.get(key, 0) + n
-    return out
+def line_hash(line: bytes) -> int:
+    """Signed 64-bit hash of the normalised line."""
+    key = xxhash.xxh64_intdigest(normalised(line))
+    return key - ((key >> 63) << 64)
+
+
+def line_hashes(raw: bytes) -> set[int]:
+    """Hashes of the lines of a text that have words."""
+    return {line_hash(line) for line in raw.split(b"\n") if line.strip()}
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(id, text_hash, host, the five counts, lines): ``lines`` maps line hash to words."""
+    """(id, text_hash, host, the five counts, lines): ``lines`` has the hash of each distinct line."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw"):
                 raws = part.column("raw").to_pylist()
                 counts = list(zip(*(base_counts(raw) for raw in raws)))
-                lines = [list(line_words(raw).items()) for raw in raws]
+                lines = [list(line_hashes(raw)) for raw in raws]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("text_hash"), part.column("host"),
                      *(pa.array(c, pa.int64()) for c in counts),
-                     pa.array(lines, pa.map_(pa.int64(), pa.int64()))],
+                     pa.array(lines, pa.list_(pa.int64()))],
                     ["id", "text_hash", "host", *COUNTS, "lines"])
 
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"),
                        F.xxhash64(F.col(host)).alias("host"), bytes_of().alias("raw"))
     id_type = rows.schema["id"].dataType.simpleString()
     return bounded_batches(rows).mapInArrow(run, f"id {id_type}, text_hash long, host long, "
-                           + ", ".join(f"{c} long" for c in COUNTS) + ", lines map<bigint,bigint>")
+                           + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<bigint>")
+
+
+def lines_to_drop(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """(drop_id, drop_hash, drop_host, drop): hashes of the lines that each document loses.
+
+    ``rows`` comes from ``measured``. Documents that lose nothing have no row.
+    """
+    lines = rows.select("id", "text_hash", "host", F.explode("lines").alias("line"))
+    often = (lines.select("host", "line", "id").distinct().groupBy("host", "line").count()
+             .where(F.col("count") > max_documents).select("host", "line"))
+    return (lines.join(often, ["host", "line"])
+            .groupBy(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), F.col("host").alias("drop_host"))
+            .agg(F.collect_set("line").alias("drop")))
+
+
+def without_lines(raw: bytes, drop: set[int]) -> bytes:
+    """The text without the lines of these hashes; blank lines stay."""
+    return b"\n".join(line for line in raw.split(b"\n") if not line.strip() or line_hash(line) not in drop)
+
+
+def _shortened(docs: DataFrame, drops: DataFrame, host: str, how: str) -> DataFrame:
+    """``docs`` joined with their row of ``drops``, and the text without the dropped lines."""
+    @F.pandas_udf("string")
+    def shortened(raws: pd.Series, drops: pd.Series) -> pd.Series:
+        return pd.Series([None if drop is None else without_lines(raw, set(drop.tolist())).decode()
+                          for raw, drop in zip(raws, drops)], dtype=object)
+
+    same = (docs["doc_id"].eqNullSafe(drops["drop_id"]) & (F.xxhash64(text_of()) == drops["drop_hash"])
+            & (F.xxhash64(docs[host]) == drops["drop_host"]))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(shortened(bytes_of(), F.col("drop")))
+    return bounded_batches(docs).join(drops, same, how).withColumn("text", text)
+
+
+def drop_frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """``docs`` with the lines above the limit taken out of ``text``; other columns as they are.
+
+    Texts that lose nothing stay as they are, null ones too. Rows with a null
+    host are one host. An empty table gives an empty one.
+    """
+    drops = lines_to_drop(stored(measured(docs, host), "quality-measures"), max_documents)
+    return _shortened(docs, drops, host, "left").select(*docs.columns)
 
 
 def judged(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS,
            min_share: float = MIN_SHARE) -> DataFrame:
     """(id, the five counts, n_lost_words, base_failed, kept): one row per row of ``docs``.
 
-    Null and empty texts have no words and fail the base rules. Rows with a
-    null host are one host. Rows with equal doc_id, text and host count as one
+    The words lost are counted on the texts without their frequent lines. Null
+    and empty texts have no words and fail the base rules. Rows with a null
+    host are one host. Rows with equal doc_id, text and host count as one
     document of the host and share a verdict. An empty table gives an empty
     result.
     """
+    @F.pandas_udf("long")
+    def count_words(raws: pd.Series) -> pd.Series:
+        return pd.Series([len(raw.split()) for raw in raws], dtype="int64")
+
     rows = stored(measured(docs, host), "quality-measures")
-    lines = (rows.select("id", "text_hash", "host", F.explode("lines").alias("line", "words")).distinct())
-    often = (lines.select("host", "line", "id").distinct().groupBy("host", "line").count()
-             .where(F.col("count") > max_documents).select("host", "line"))
-    lost = (lines.join(often, ["host", "line"])
-            .groupBy(F.col("id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), F.col("host").alias("lost_host"))
-            .agg(F.sum("words").alias("n_lost_words")))
+    left = (_shortened(docs, lines_to_drop(rows, max_documents), host, "inner")
+            .select("drop_id", "drop_hash", "drop_host", count_words(bytes_of()).alias("words_left"))
+            .distinct())
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    kept_words = F.col("n_words") - F.col("n_lost_words")
-    same = ((F.col("text_hash") == F.col("lost_hash")) & (F.col("host") == F.col("lost_host"))
-            & F.col("id").eqNullSafe(F.col("lost_id")))
-    return (rows.drop("lines").join(lost, same, "left")
-            .select("id", *COUNTS, F.coalesce("n_lost_words", F.lit(0)).alias("n_lost_words"))
-            .withColumn("base_failed", failed)
-            .withColumn("kept", ~F.col("base_failed") & (kept_words >= min_share * F.col("n_words"))))
+    words_left = F.coalesce("words_left", "n_words")
+    same = ((F.col("text_hash") == F.col("drop_hash")) & (F.col("host") == F.col("drop_host"))
+            & F.col("id").eqNullSafe(F.col("drop_id")))
+    return (rows.drop("lines").join(left, same, "left")
+            .select("id", *COUNTS, (F.col("n_words") - words_left).alias("n_lost_words"), failed.alias("base_failed"),
+                    (~failed & (words_left >= min_share * F.col("n_words"))).alias("kept")))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,21 @@ def test_null_host_and_empty_table(spark, no_docs):
     table = spark.createDataFrame([(i, "word " * 60 + str(i), None) for i in range(5)], "doc_id long, text string, source string")
     assert Q.judged(table, max_documents=3).count() == 5
     assert Q.judged(no_docs).count() == 0
+
+
+def test_frequent_lines_are_taken_out(docs, no_docs):
+    """The texts themselves, with every other column and row; no line is in more documents than the limit."""
+    rows = docs.collect()
+    holders = {}
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            holders.setdefault((r["source"], normal(line)), set()).add(r["doc_id"])
+    want = []
+    for r in rows:
+        text = r["text"] and "\n".join(x for x in r["text"].split("\n") if not normal(x)
+                                       or len(holders[r["source"], normal(x)]) <= 1)
+        want.append(str(tuple({**r.asDict(), "text": text}.values())))
+    out = Q.drop_frequent_lines(docs, max_documents=1)
+    assert out.schema == docs.schema
+    assert sorted(str(tuple(r)) for r in out.collect()) == sorted(want) != sorted(str(tuple(r)) for r in rows)
+    assert Q.drop_frequent_lines(no_docs).count() == 0
