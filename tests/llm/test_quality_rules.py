@@ -67,3 +67,16 @@ def test_frequent_lines_are_taken_out(docs, no_docs):
     assert out.schema == docs.schema
     assert sorted(str(tuple(r)) for r in out.collect()) == sorted(want) != sorted(str(tuple(r)) for r in rows)
     assert Q.drop_frequent_lines(no_docs).count() == 0
+
+
+def test_planted_boilerplate_with_the_default_limits(spark):
+    """Beyond 100 documents of one host the shared line goes, and a document of little else is rejected."""
+    shared = "Accept all cookies " * 4 + " ".join(f"menu{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
+    own = " ".join(f"word{chr(97 + i)}" for i in range(10))
+    rows = [(i, f"{own} {chr(97 + i % 26)}{chr(97 + i // 26)}\n{shared}", host)
+            for host, n in (("hot", 101), ("cool", 100)) for i in range(n)]
+    got = Q.judged(spark.createDataFrame(
+        [(k, text, host) for k, (_, text, host) in enumerate(rows)], "doc_id long, text string, source string")).collect()
+    words = len(shared.split())
+    assert {(r["id"] < 101, r["n_lost_words"], r["base_failed"], r["kept"]) for r in got} == {
+        (True, words, False, False), (False, 0, False, True)}
