@@ -36,6 +36,7 @@ LENGTH = 100
 GRAM = 32
 # Bytes of text whose segments are compared inside a task before they are emitted.
 TASK_BYTES = 32 << 20
+# Bytes whose anchors are found at a time; their places must fit 26 bits.
 SLICE_BYTES = 2 << 20
 # Segment bytes of a suffix array.
 SHARD_BYTES = 1 << 20
@@ -70,10 +71,32 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(anchor hash, first string's start, number of strings) of every segment.
 
     ``data`` holds whole documents one after the other; ``ends`` are their ends.
+    Data of more than SLICE_BYTES is worked on in pieces that share LENGTH - 1
+    bytes, so every string is whole in one piece and places fit their bits. A
+    segment that a piece's end cuts is put together again.
     """
+    if len(data) <= SLICE_BYTES:
+        anchor, start, n, _ = _segments(data, ends)
+        return anchor, start, n
+    found = []
+    for begin in range(0, len(data) - LENGTH + 1, SLICE_BYTES - LENGTH + 1):
+        piece = data[begin:begin + SLICE_BYTES]
+        inner = ends[(ends > begin) & (ends < begin + len(piece))] - begin
+        anchor, start, n, place = _segments(piece, np.append(inner, len(piece)))
+        found.append((anchor, start + begin, n, place + begin))
+    anchor, start, n, place = (np.concatenate(x) for x in zip(*found))
+    # One anchor at one place: the parts of a segment on both sides of a cut.
+    head = np.ones(len(start), dtype=bool)
+    head[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + n[:-1]) | np.isin(start[1:], ends)
+    at = np.flatnonzero(head)
+    return anchor[at], start[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of one piece, and the place of each one's anchor."""
     empty = np.empty(0, dtype=np.int64)
     if len(data) < LENGTH:
-        return empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty, empty, empty
     hashes = _gram_hashes(data)
     # The smallest hash of a string's grams; of equal ones the leftmost.
     low = np.uint64((1 << 26) - 1)
@@ -92,14 +115,14 @@ def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.add.at(inside, ends[long] - LENGTH + 1, -1)
     at = np.flatnonzero(np.cumsum(inside)[:len(anchor)] > 0)
     if not len(at):
-        return empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty, empty, empty
     own = anchor[at]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (own[1:] != own[:-1]) | (np.diff(at) != 1)
     # Two documents side by side: strings of one do not run on into the other.
     new |= np.isin(at, starts)
     heads = np.flatnonzero(new)
-    return hashes[own[heads]], at[heads], np.diff(np.concatenate((heads, [len(at)])))
+    return hashes[own[heads]], at[heads], np.diff(np.concatenate((heads, [len(at)]))), own[heads]
 
 
 SEGMENT_DDL = "kind int, anchor long, content long, id long, pos long, n long"

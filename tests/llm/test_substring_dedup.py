@@ -77,6 +77,27 @@ def test_equal_strings_have_equal_anchors():
     assert sum(n) == sum(len(d) - 99 for d in docs)
 
 
+def test_pieces_have_the_segments_of_the_whole(monkeypatch):
+    rng = np.random.RandomState(4)
+    data = np.concatenate((rng.randint(0, 256, 3000), np.full(900, 7), rng.randint(0, 2, 1500))).astype(np.uint8)
+    ends = np.array([50, 50, 1300, 1399, 2500, 4100, len(data)])
+    whole = D.segments(data, ends)
+    for size in (257, 400, 1399, 5300):
+        monkeypatch.setattr(D, "SLICE_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, D.segments(data, ends)))
+
+
+def test_anchors_beyond_64_mib():
+    """A passage at the end of a very long text has the anchors that it has in a short one."""
+    rng = np.random.RandomState(5)
+    shared = rng.randint(0, 256, 400).astype(np.uint8)
+    long = np.concatenate((rng.randint(0, 256, 1 << 26).astype(np.uint8), shared))
+    anchor, start, n = D.segments(shared, np.array([len(shared)]))
+    far, at, m = D.segments(long, np.array([len(long)]))
+    assert set(anchor[1:].tolist()) <= set(far[at >= 1 << 26].tolist())
+    assert int(m.sum()) == len(long) - 99
+
+
 def test_matches_brute_force(docs):
     assert check(docs) > 10
 
