@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 from locusforge.llm.common import bounded_batches, per_process, slices, table, text_of
 from locusforge.llm.remembered import Remembered
 
-# A text is cut before a blank that starts a word and after a newline that
-# ends a run of white space: no match of the pattern crosses these places, so
-# the pieces encode independently and repeated ones are looked up.
-CUTS = r"(?= \S)|(?<=\n)(?=\S)"
+# The split pattern that the cuts and known matches below were derived from.
+# Texts of other patterns are encoded whole.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# A text is cut before a blank that starts a word and after a newline with no
+# other white space on either side: no match of the pattern crosses these
+# places or looks beyond them, so the pieces encode independently and repeated
+# ones are looked up.
+CUTS = r"(?= \S)|(?<=\S\n)(?=\S)"
 # A run of Latin letters, with one mark after it or none, behind a newline or a
 # blank: matches of the pattern that are known beforehand, so the library's
 # model merges them without its splitter.
@@ -130,12 +134,14 @@ class Codec(ByteTable):
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(pattern), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.cut_up = pattern == CUT_PATTERN
         self.cuts = re.compile(CUTS)
         self.wide = re.compile(r"\s\s")
         self.latin = re.compile(LATIN).fullmatch
         self.spelling = {b: c for b, c in enumerate(characters)}
         self.marks = {m: ranks[m.encode()] for m in "\n.,;:!?"}
         self.remembered = Remembered(self._encode_pieces)
+
     def _cut(self, text: str) -> list[str]:
         """Pieces of a newline and the text.
 
@@ -176,8 +182,12 @@ class Codec(ByteTable):
         """All ids of the texts in a row, and the place where each text's ids end.
 
         Every text is encoded behind a newline, which is a token of its own
-        and taken off again.
+        and taken off again. Texts of a pattern that is not cut are encoded
+        whole and not remembered.
         """
+        if not self.cut_up:
+            sizes, ids = self._encode_pieces(["\n\n" + text for text in texts])
+            return ids, np.cumsum(sizes)
         ids, ends = self.remembered.lookup([self._cut(text) for text in texts])
         first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         return np.delete(ids, first), ends - 1 - np.arange(len(ends))

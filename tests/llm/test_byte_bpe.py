@@ -70,3 +70,17 @@ def test_memory_is_emptied(monkeypatch, reference):
 def test_empty_table(no_docs):
     assert B.digests(no_docs, PATH, public_tokenizers.PATTERN).count() == 0
     assert B.encode_documents(no_docs, PATH, public_tokenizers.PATTERN).columns == ["id", "ids", "ends"]
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, r"\p{L}+\n*|\p{N}{1,3}|[^\p{L}\p{N}]+"])
+def test_other_ranks_and_patterns(pattern):
+    """A rank file with tokens of two newlines, and a pattern whose matches run over blanks and newlines."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = B.read_ranks(path)
+    own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert b"\n\n" in ranks
+    rng = random.Random(9)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "The", "12", "1234", "'s", "!!", "é"]
+    texts = ["a\n\nb", "a\n\n\nb", "\n\na", "a\nb", "a \nb  c", "",
+             *("".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000))]
+    assert B.Codec(path, pattern).encode_batch(texts) == [own.encode_ordinary(t) for t in texts]
