@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bounded_batches, bytes_of, table
+from locusforge.llm.common import bounded_batches, bytes_of, stored, table, text_of
 
-# Training rows of each kind, at most: a sample by hash of doc_id.
+# Training rows of each kind, at most: a sample by hash of doc_id and text.
 MAX_TRAINING_ROWS = 6000
 THRESHOLD = 0.7
 STEPS = 600
@@ -175,28 +175,36 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _sampled(column: Column, rows: int, most: int) -> Column:
-    """About ``most`` of ``rows`` rows, by hash."""
-    share = min(1.0, most / max(1, rows))
-    return F.pmod(F.xxhash64(F.lit(11), column), F.lit(1_000_000)) < int(share * 1_000_000)
+def _sampled(rows: int, most: int, *columns: str) -> Column:
+    """About ``most`` of ``rows`` rows, by a hash of the columns at its full 64 bits."""
+    if rows <= most:
+        return F.lit(True)
+    return F.xxhash64(F.lit(11), *columns) < F.lit((most << 64) // rows - (1 << 63))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Model:
     """Train on at most about ``most`` positives and ``most`` unlabelled documents.
 
     Positives are documents labelled quality 1, unlabelled ones any documents,
-    both outside the held-out rows. Only feature vectors reach the driver:
-    2 x ``most`` rows of fixed width.
+    both outside the held-out rows. Rows of equal doc_id and text are one
+    document, rows of one doc_id (or none) with other texts are several. Only
+    feature vectors reach the driver: 2 x ``most`` rows of fixed width.
     """
     good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_label_id")).distinct()
-    trusted = good.where(_sampled(F.col("_label_id"), good.count(), most))
-    texts = docs.select("doc_id", bytes_of().alias("raw")).where(~held_out(F.col("doc_id")))
-    # The sample has about ``most`` ids, so it may be broadcast.
-    marked = (texts.join(F.broadcast(trusted), texts["doc_id"] == trusted["_label_id"], "left")
-              .select("raw", F.col("_label_id").isNotNull().alias("positive"),
-                      _sampled(F.col("doc_id"), docs.count(), most).alias("unlabelled"))
-              .where("positive OR unlabelled"))
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("text_key"), bytes_of().alias("raw")).where(
+        ~held_out(F.col("doc_id")))
+    keys = stored(texts.select("doc_id", "text_key").distinct(), "training-keys")
+    positive = keys.join(good, F.col("doc_id") == F.col("_label_id")).select(
+        "_label_id", F.col("text_key").alias("_label_text"))
+    # The sample has about ``most`` keys, so it may be broadcast.
+    trusted = F.broadcast(positive.where(_sampled(positive.count(), most, "_label_id", "_label_text")))
+    marked = (texts.join(trusted, (F.col("doc_id") == F.col("_label_id")) & (F.col("text_key") == F.col("_label_text")),
+                         "left")
+              .select("doc_id", "text_key", "raw", F.col("_label_id").isNotNull().alias("positive"),
+                      _sampled(keys.count(), most, "doc_id", "text_key").alias("unlabelled"))
+              .where("positive OR unlabelled").dropDuplicates(["doc_id", "text_key"])
+              .select("raw", "positive", "unlabelled"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

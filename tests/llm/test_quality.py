@@ -55,3 +55,17 @@ def test_odd_documents(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Q.keep_good(docs, none).count() == 0
     assert Q.keep_good(no_docs, labels).count() == 0
+
+
+def test_rows_of_one_id_do_not_fill_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda positive, unlabelled: seen.append((len(positive), len(unlabelled))))
+    rows = [(None, f"text number {i}") for i in range(1500)] + [(1, f"other text {i}") for i in range(1500)]
+    rows += [(3, "the same")] * 1500
+    labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
+    Q.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, most=200)
+    assert all(140 < n < 260 for n in seen[0])
+
+
+def test_a_very_small_share_has_rows(spark):
+    assert 0 < spark.range(20_000_000).where(Q._sampled(10**10, 5000, "id")).count() < 40
