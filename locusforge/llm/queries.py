@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from locusforge.llm import (byte_bpe, decontamination, line_dedup, quality, quality_rules, sharding, simhash,
-                            substring_dedup, token_files, warc)
+from locusforge.llm import (byte_bpe, decontamination, embedding_dedup, line_dedup, quality, quality_rules, sharding,
+                            simhash, substring_dedup, token_files, warc)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_embedding_near_dedup": embedding_dedup.op11_embedding_near_dedup,
 }
 
 # Fingerprint links, trained scores, tokenizers, jump hashes and CRC-32 have no
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_benchmark_decontamination": decontamination.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_embedding_near_dedup": embedding_dedup.OP11_SQL,
 }
