@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from locusforge.llm import (byte_bpe, decontamination, embedding_dedup, line_dedup, quality, quality_rules, sharding,
-                            simhash, substring_dedup, token_files, warc)
+from locusforge.llm import (byte_bpe, decontamination, embedding_dedup, line_dedup, periodic_runs, quality,
+                            quality_rules, sharding, simhash, substring_dedup, token_files, warc)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_embedding_near_dedup": embedding_dedup.op11_embedding_near_dedup,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 
 # Fingerprint links, trained scores, tokenizers, jump hashes and CRC-32 have no
