@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from locusforge.llm import (byte_bpe, decontamination, embedding_dedup, line_dedup, periodic_runs, quality,
-                            quality_rules, sharding, simhash, substring_dedup, token_files, warc)
+from locusforge.llm import (byte_bpe, conversation_repair, decontamination, embedding_dedup, line_dedup, periodic_runs,
+                            quality, quality_rules, sharding, simhash, substring_dedup, token_files, warc)
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_embedding_near_dedup": embedding_dedup.op11_embedding_near_dedup,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
-# Fingerprint links, trained scores, tokenizers, jump hashes and CRC-32 have no
-# SQL form; those queries are tested against brute force.
+# Fingerprint links, trained scores, tokenizers, jump hashes, CRC-32 and cheapest
+# edits have no SQL form, and runs none that whole tables bear; those queries
+# are tested against brute force.
 ORACLE_SQL = {
     "op4_warc_round_trip": warc.OP4_SQL,
     "op5_substring_dedup": substring_dedup.OP5_SQL,
