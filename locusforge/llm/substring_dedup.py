@@ -45,9 +45,6 @@ PART_SEGMENTS = 4096
 # The strings of a large anchor are merged in so many slots, by their hash.
 MERGE_SLOTS = 1024
 ROWS_AT_ONCE = 50_000
-# A document's tag: a few bits of its text's hash, above the position, which
-# tells texts that share a doc_id apart.
-TAG_SHIFT = 40
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,48 +122,60 @@ def _segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[own[heads]], at[heads], np.diff(np.concatenate((heads, [len(at)]))), own[heads]
 
 
-SEGMENT_DDL = "kind int, anchor long, content long, id long, pos long, n long"
-_COLUMNS = ["kind", "anchor", "content", "id", "pos", "n"]
+# A document is its id and its tag, the hash of its text, which tells texts that
+# share a doc_id apart.
+SEGMENT_DDL = "kind int, anchor long, content long, id long, tag long, pos long, n long"
+_COLUMNS = ["kind", "anchor", "content", "id", "tag", "pos", "n"]
 REPEATED, OPEN = 0, 1  # kinds of rows: strings that repeat; a segment still to be compared
 
 
-def _rows(kind: int, ident, pos, n, anchor=None, content=None) -> pa.RecordBatch:
+def _rows(kind: int, ident, tag, pos, n, anchor=None, content=None) -> pa.RecordBatch:
     none = np.zeros(len(pos), dtype=np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(pos), kind, dtype=np.int32)), pa.array(none if anchor is None else anchor),
-         pa.array(none if content is None else content), pa.array(ident), pa.array(pos),
+         pa.array(none if content is None else content), pa.array(ident), pa.array(tag), pa.array(pos),
          pa.array(n.astype(np.int64))], _COLUMNS)
 
 
-def _joined(ident: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(ident, tag, pos, n) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of strings that follow each other in one document, as one run each."""
-    order = np.lexsort((pos, ident))
-    ident, pos, n = ident[order], pos[order], n[order]
+    order = np.lexsort((pos, tag, ident))
+    ident, tag, pos, n = ident[order], tag[order], pos[order], n[order]
     head = np.ones(len(pos), dtype=bool)
-    head[1:] = (ident[1:] != ident[:-1]) | (pos[1:] != pos[:-1] + n[:-1])
+    head[1:] = (ident[1:] != ident[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1] + n[:-1])
     at = np.flatnonzero(head)
-    return ident[at], pos[at], np.add.reduceat(n, at) if len(at) else n
+    return ident[at], tag[at], pos[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1: segments of a task's documents, equal ones once."""
     held: list[tuple] = []
-    size = 0
+    names: list[tuple] = []  # (ids, tags) of the documents, which are numbered as they come
+    size = count = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        anchor, content, ident, pos, n = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((pos, ident, content, anchor))
-        anchor, content, ident, pos, n = (x[order] for x in (anchor, content, ident, pos, n))
+        ids, tags = (np.concatenate(x) for x in zip(*names))
+        by_name = np.lexsort((tags, ids))
+        ids, tags = ids[by_name], tags[by_name]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[by_name] = np.cumsum(new) - 1  # equal rows are one document
+        ids, tags = ids[new], tags[new]
+        anchor, content, doc, pos, n = (np.concatenate(x) for x in zip(*held))
+        doc = rank[doc]
+        order = np.lexsort((pos, doc, content, anchor))
+        anchor, content, doc, pos, n = (x[order] for x in (anchor, content, doc, pos, n))
         same = np.zeros(len(pos), dtype=bool)
         same[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
         again = same.copy()
-        again[1:] &= (ident[1:] == ident[:-1]) & (pos[1:] == pos[:-1])
+        again[1:] &= (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1])
         back = same & ~again
-        yield _rows(REPEATED, *_joined(ident[back], pos[back], n[back]))
+        yield _rows(REPEATED, *_joined(ids[doc[back]], tags[doc[back]], pos[back], n[back]))
         at = np.flatnonzero(~same)
         for i in range(0, len(at), ROWS_AT_ONCE):
             j = at[i:i + ROWS_AT_ONCE]
-            yield _rows(OPEN, ident[j], pos[j], n[j], anchor[j], content[j])
+            yield _rows(OPEN, ids[doc[j]], tags[doc[j]], pos[j], n[j], anchor[j], content[j])
 
     for batch in batches:
         for part in slices(batch, "raw", SLICE_BYTES):
@@ -179,27 +188,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content = np.fromiter((digest(view[a:b]) for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist())),
                                   dtype=np.uint64, count=len(start))
             doc = np.searchsorted(ends, start, side="right")
-            tags = part.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = part.column("id").to_numpy(zero_copy_only=False)
             begin = np.concatenate(([0], ends[:-1]))
-            held.append((anchor.view(np.int64), content.view(np.int64), ids[doc],
-                         (tags[doc] << TAG_SHIFT) + start - begin[doc], n))
-            size += len(joined)
+            held.append((anchor.view(np.int64), content.view(np.int64), count + doc, start - begin[doc], n))
+            names.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag")))
+            size, count = size + len(joined), count + len(raws)
             if size >= TASK_BYTES:
                 yield from flush()
-                held, size = [], 0
+                held, names, size, count = [], [], 0, 0
     if held:
         yield from flush()
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: rows sorted by (kind, anchor, content, id, pos); whole repeats and unsettled segments.
+def _settle(batches: Iterator[pa.RecordBatch], part_segments: int = PART_SEGMENTS) -> Iterator[pa.RecordBatch]:
+    """Step 2: rows sorted by (kind, anchor, content, id, tag, pos); whole repeats and unsettled segments.
 
     Only the last row and the number of segments of the anchor at hand are
     kept from batch to batch, so an anchor of any size streams through. The
     content of an unsettled row becomes the part of the anchor it belongs to.
     """
-    last = None      # (anchor, content, id, pos) of the last row
+    last = None      # (anchor, content, id, tag, pos) of the last row
     count = 0        # segments of its anchor so far
     pending = None   # its first segment, as long as it is the only one
     for batch in batches:
@@ -207,7 +214,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = int(np.searchsorted(kind, OPEN))
         if done:
             yield batch.slice(0, done)
-        anchor, content, ident, pos, n = (batch.column(c).to_numpy()[done:] for c in _COLUMNS[1:])
+        anchor, content, ident, tag, pos, n = (batch.column(c).to_numpy()[done:] for c in _COLUMNS[1:])
         if not len(pos):
             continue
         goes_on = last is not None and last[0] == anchor[0]
@@ -216,8 +223,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_anchor[0] = not goes_on
         new[1:] = new_anchor[1:] | (content[1:] != content[:-1])
         new[0] = not goes_on or last[1] != content[0]
-        again[1:] = ~new[1:] & (ident[1:] == ident[:-1]) & (pos[1:] == pos[:-1])
-        again[0] = not new[0] and (last[2], last[3]) == (ident[0], pos[0])
+        again[1:] = (~new[1:] & (ident[1:] == ident[:-1]) & (tag[1:] == tag[:-1]) & (pos[1:] == pos[:-1]))
+        again[0] = not new[0] and last[2:] == (ident[0], tag[0], pos[0])
         group = np.cumsum(new_anchor)
         fresh = np.bincount(group[new], minlength=int(group[-1]) + 1)
         earlier = np.zeros(len(fresh), dtype=np.int64)
@@ -233,23 +240,23 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pending = None
         back = ~new & ~again
         if back.any():
-            yield _rows(REPEATED, ident[back], pos[back], n[back])
+            yield _rows(REPEATED, ident[back], tag[back], pos[back], n[back])
         unsettled = new & (total[group] > 1)
         if unsettled.any():
-            yield _rows(OPEN, ident[unsettled], pos[unsettled], n[unsettled], anchor[unsettled],
-                        inner[unsettled] // PART_SEGMENTS)
+            yield _rows(OPEN, ident[unsettled], tag[unsettled], pos[unsettled], n[unsettled], anchor[unsettled],
+                        inner[unsettled] // part_segments)
         if total[-1] == 1 and fresh[-1] == 1:
             at = np.flatnonzero(new)[-1:]
-            pending = _rows(OPEN, ident[at], pos[at], n[at], anchor[at], np.zeros(1, dtype=np.int64))
+            pending = _rows(OPEN, ident[at], tag[at], pos[at], n[at], anchor[at], np.zeros(1, dtype=np.int64))
         count = int(total[-1])
-        last = (int(anchor[-1]), int(content[-1]), ident[-1], pos[-1])
+        last = (int(anchor[-1]), int(content[-1]), ident[-1], tag[-1], pos[-1])
 
 
 # --- strings --------------------------------------------------------------
 STRING = 2  # kind of row: the first place of a string in one part of a large anchor
 
 
-def repeats_in_shard(raws: list[bytes], ident: np.ndarray, pos: np.ndarray, n: np.ndarray):
+def repeats_in_shard(raws: list[bytes], ident: np.ndarray, tag: np.ndarray, pos: np.ndarray, n: np.ndarray):
     """Strings of some segments that start earlier in another segment or document.
 
     Returns (segment, offset) of the repeats, and of the first places of all
@@ -269,35 +276,37 @@ def repeats_in_shard(raws: list[bytes], ident: np.ndarray, pos: np.ndarray, n: n
     segment = np.searchsorted(begin, at, side="right") - 1
     offset = at - begin[segment]
     place = pos[segment] + offset
-    rank = np.lexsort((place, ident[segment], group))
+    rank = np.lexsort((place, tag[segment], ident[segment], group))
     segment, offset, place, group = segment[rank], offset[rank], place[rank], group[rank]
-    owner = ident[segment]
+    owner, text_tag = ident[segment], tag[segment]
     first = np.ones(len(group), dtype=bool)
     first[1:] = group[1:] != group[:-1]
     again = np.zeros(len(group), dtype=bool)
-    again[1:] = ~first[1:] & (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])
+    again[1:] = (~first[1:] & (owner[1:] == owner[:-1]) & (text_tag[1:] == text_tag[:-1])
+                 & (place[1:] == place[:-1]))
     later = ~first & ~again
     return (segment[later], offset[later]), (segment[first], offset[first])
 
 
-_STRING_COLUMNS = ["kind", "anchor", "part", "id", "pos", "n", "string"]
-STRING_DDL = "kind int, anchor long, part long, id long, pos long, n long, string binary"
+_STRING_COLUMNS = ["kind", "anchor", "part", "id", "tag", "pos", "n", "string"]
+STRING_DDL = "kind int, anchor long, part long, id long, tag long, pos long, n long, string binary"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3: a suffix array for every shard of segments, cut where an anchor's part ends."""
     def shard(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(parts)
-        ident, pos, n, anchor, part = (rows.column(c).to_numpy() for c in ("id", "pos", "n", "anchor", "part"))
+        ident, tag, pos, n, anchor, part = (rows.column(c).to_numpy()
+                                            for c in ("id", "tag", "pos", "n", "anchor", "part"))
         raws, large = rows.column("raw").to_pylist(), rows.column("large").to_numpy(zero_copy_only=False).astype(bool)
-        (seg, off), (first_seg, first_off) = repeats_in_shard(raws, ident, pos, n)
-        found = _joined(ident[seg], pos[seg] + off, np.ones(len(seg), dtype=np.int64))
+        (seg, off), (first_seg, first_off) = repeats_in_shard(raws, ident, tag, pos, n)
+        found = _joined(ident[seg], tag[seg], pos[seg] + off, np.ones(len(seg), dtype=np.int64))
         yield _strings(REPEATED, *found)
         merge = large[first_seg]
         seg, off = first_seg[merge], first_off[merge]
         for i in range(0, len(seg), ROWS_AT_ONCE):
             s, o = seg[i:i + ROWS_AT_ONCE], off[i:i + ROWS_AT_ONCE]
-            yield _strings(STRING, ident[s], pos[s] + o, np.ones(len(s), dtype=np.int64), anchor[s], part[s],
+            yield _strings(STRING, ident[s], tag[s], pos[s] + o, np.ones(len(s), dtype=np.int64), anchor[s], part[s],
                            [raws[a][b:b + LENGTH] for a, b in zip(s.tolist(), o.tolist())])
 
     held, size, last = [], 0, None
@@ -322,77 +331,76 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from shard(held)
 
 
-def _strings(kind: int, ident, pos, n, anchor=None, part=None, strings=None) -> pa.RecordBatch:
+def _strings(kind: int, ident, tag, pos, n, anchor=None, part=None, strings=None) -> pa.RecordBatch:
     none = np.zeros(len(pos), dtype=np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(pos), kind, dtype=np.int32)), pa.array(none if anchor is None else anchor),
-         pa.array(none if part is None else part), pa.array(ident), pa.array(pos), pa.array(n),
+         pa.array(none if part is None else part), pa.array(ident), pa.array(tag), pa.array(pos), pa.array(n),
          pa.array([None] * len(pos) if strings is None else strings, pa.binary())], _STRING_COLUMNS)
 
 
 def _merge(rows: pa.Table) -> pa.Table:
     """Merge the sorted strings of an anchor's parts; later places of a string repeat it."""
-    part, ident, pos = (rows.column(c).to_numpy() for c in ("part", "id", "pos"))
+    part = rows.column("part").to_numpy()
+    place = np.column_stack([rows.column(c).to_numpy() for c in ("id", "tag", "pos")])
     strings = np.array(rows.column("string").to_pylist(), dtype=f"S{LENGTH}")
-    known, first_id, first_pos = strings[:0], ident[:0], pos[:0]
-    out_id, out_pos = [], []
+    known, first, out = strings[:0], place[:0], []
     for number in np.unique(part):
         own = np.flatnonzero(part == number)
         own = own[np.argsort(strings[own], kind="stable")]
         at = merged_firsts(known, strings[own])
         old = np.flatnonzero(at >= 0)
         a, b = at[old], own[old]
-        earlier = (ident[b] < first_id[a]) | ((ident[b] == first_id[a]) & (pos[b] < first_pos[a]))
+        theirs, ours = first[a], place[b]
+        differ = theirs != ours
+        column = np.argmax(differ, axis=1)  # the first of id, tag and pos in which they differ
+        line = np.arange(len(a))
+        earlier = differ.any(axis=1) & (ours[line, column] < theirs[line, column])
         # The later of the two places repeats the string, the earlier one stays known.
-        out_id.append(np.where(earlier, first_id[a], ident[b]))
-        out_pos.append(np.where(earlier, first_pos[a], pos[b]))
-        same = (ident[b] == first_id[a]) & (pos[b] == first_pos[a])
-        out_id[-1], out_pos[-1] = out_id[-1][~same], out_pos[-1][~same]
-        first_id, first_pos = first_id.copy(), first_pos.copy()
-        first_id[a[earlier]], first_pos[a[earlier]] = ident[b[earlier]], pos[b[earlier]]
+        out.append(np.where(earlier[:, None], theirs, ours)[differ.any(axis=1)])
+        first = first.copy()
+        first[a[earlier]] = ours[earlier]
         new = own[at < 0]
-        place = np.searchsorted(known, strings[new])
-        known = np.insert(known, place, strings[new])
-        first_id, first_pos = np.insert(first_id, place, ident[new]), np.insert(first_pos, place, pos[new])
-    ids, places = np.concatenate(out_id), np.concatenate(out_pos)
-    return pa.table({"id": pa.array(ids, pa.int64()), "pos": pa.array(places, pa.int64()),
-                     "n": pa.array(np.ones(len(ids)), pa.int64())})
+        spot = np.searchsorted(known, strings[new])
+        known, first = np.insert(known, spot, strings[new]), np.insert(first, spot, place[new], axis=0)
+    repeats = np.concatenate(out)
+    return pa.table({**{c: pa.array(repeats[:, k], pa.int64()) for k, c in enumerate(("id", "tag", "pos"))},
+                     "n": pa.array(np.ones(len(repeats)), pa.int64())})
 
 
 # --- documents ------------------------------------------------------------
 def keyed_documents(docs: DataFrame) -> DataFrame:
-    """(id, tag, raw): doc_id as a whole number (null: smaller than any), the text's tag and bytes."""
+    """(id, tag, raw): doc_id as a whole number (null: smaller than any), the text's 64-bit hash and bytes."""
     smallest = F.lit(-(1 << 63))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), smallest).alias("id"),
-                       F.pmod(F.xxhash64(text_of()), F.lit(1 << 16)).cast("int").alias("tag"),
-                       bytes_of().alias("raw"), F.col("doc_id"))
+                       F.xxhash64(text_of()).alias("tag"), bytes_of().alias("raw"), F.col("doc_id"))
 
 
-def repeated_strings(keyed: DataFrame) -> DataFrame:
+def repeated_strings(keyed: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
     """(id, tag, start, n): runs of n repeated strings, the first starting at byte ``start``."""
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _settle(batches, part_segments)
+
     rows = bounded_batches(keyed.select("id", "tag", "raw")).mapInArrow(_cut, SEGMENT_DDL)
-    by = F.when(F.col("kind") == REPEATED, F.xxhash64("id", "pos")).otherwise(F.col("anchor"))
-    settled = stored(rows.repartition(by).sortWithinPartitions("kind", "anchor", "content", "id", "pos")
-                     .mapInArrow(_settle, SEGMENT_DDL), "segments")
-    place = F.col("pos").bitwiseAND(F.lit((1 << TAG_SHIFT) - 1))
-    tag = F.shiftright("pos", TAG_SHIFT).cast("int")
+    by = F.when(F.col("kind") == REPEATED, F.xxhash64("id", "tag", "pos")).otherwise(F.col("anchor"))
+    settled = stored(rows.repartition(by).sortWithinPartitions("kind", "anchor", "content", "id", "tag", "pos")
+                     .mapInArrow(settle, SEGMENT_DDL), "segments")
     unsettled = settled.where(F.col("kind") == OPEN).withColumnRenamed("content", "part")
     large = unsettled.where("part > 0").select("anchor").distinct().withColumn("large", F.lit(True))
-    fetched = (unsettled.withColumn("tag", tag).join(keyed.select("id", "tag", "raw"), ["id", "tag"])
-               .select("anchor", "part", "id", "pos", "n",
-                       F.substring(F.col("raw"), (place + 1).cast("int"), (F.col("n") + LENGTH - 1).cast("int"))
-                       .alias("raw"))
+    cut = F.substring(F.col("raw"), (F.col("pos") + 1).cast("int"), (F.col("n") + LENGTH - 1).cast("int"))
+    fetched = (unsettled.join(keyed.select("id", "tag", "raw"), ["id", "tag"])
+               .select("anchor", "part", "id", "tag", "pos", "n", cut.alias("raw"))
                .join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False))))
     compared = stored(fetched.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
                       .mapInArrow(_compare, STRING_DDL), "strings")
     merged = (compared.where(F.col("kind") == STRING)
               .withColumn("slot", F.pmod(F.xxhash64("string"), F.lit(MERGE_SLOTS)))
-              .select("anchor", "slot", "part", "id", "pos", "string")
-              .groupBy("anchor", "slot").applyInArrow(_merge, "id long, pos long, n long"))
-    runs = (settled.where(F.col("kind") == REPEATED).select("id", "pos", "n")
-            .unionByName(compared.where(F.col("kind") == REPEATED).select("id", "pos", "n"))
-            .unionByName(merged))
-    return runs.select("id", tag.alias("tag"), place.alias("start"), "n")
+              .select("anchor", "slot", "part", "id", "tag", "pos", "string")
+              .groupBy("anchor", "slot").applyInArrow(_merge, "id long, tag long, pos long, n long"))
+    found = ["id", "tag", "pos", "n"]
+    runs = (settled.where(F.col("kind") == REPEATED).select(*found)
+            .unionByName(compared.where(F.col("kind") == REPEATED).select(*found)).unionByName(merged))
+    return runs.withColumnRenamed("pos", "start")
 
 
 def cut_spans(size: int, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,16 +416,16 @@ def cut_spans(size: int, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return starts[at], np.minimum(reach[np.concatenate((at[1:] - 1, [len(starts) - 1]))], size)
 
 
-def dedup_strings(docs: DataFrame) -> DataFrame:
+def dedup_strings(docs: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, kept, spans) per row of ``docs``: the bytes that stay and the spans removed.
 
     doc_id must be a whole number; null counts as smaller than any. Rows equal
     in doc_id and text are one document, and rows of one doc_id with other
-    texts are documents in the order of their text's tag. Null, empty and short
+    texts are documents in the order of their text's 64-bit hash. Null, empty and short
     texts lose nothing. Removal goes by bytes, so ``kept`` may cut characters.
     """
     keyed = keyed_documents(docs)
-    runs = (repeated_strings(keyed).groupBy("id", "tag")
+    runs = (repeated_strings(keyed, part_segments).groupBy("id", "tag")
             .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from sample_words import sentence
 
 from locusforge.llm import substring_dedup as D
@@ -23,7 +24,7 @@ def brute(rows):
     return out
 
 
-def check(docs):
+def check(docs, **how):
     rows = [(r["id"], r["tag"], bytes(r["raw"])) for r in D.keyed_documents(docs).collect()]
     want = {}
     spans = brute(rows)
@@ -33,7 +34,7 @@ def check(docs):
         kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
         want.setdefault(i, []).append((len(raw), kept, cut))
     got = {}
-    for r in D.dedup_strings(docs).collect():
+    for r in D.dedup_strings(docs, **how).collect():
         i = -(1 << 63) if r["doc_id"] is None else r["doc_id"]
         got.setdefault(i, []).append((r["n_bytes"], bytes(r["kept"]), [(s["start"], s["end"]) for s in r["spans"]]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
@@ -111,12 +112,24 @@ def test_hot_passages_and_parts(monkeypatch, make_docs):
         text = sentence(rng, 8) + passage[rng.randrange(3):len(passage) - rng.randrange(3)] + sentence(rng, 8)
         rows.append(text * (1 + (i % 9 == 0)))
     rows += [rows[4], rows[5][7:], "é" * 333, "é" * 200]
-    monkeypatch.setattr(D, "PART_SEGMENTS", 3)
     monkeypatch.setattr(D, "SHARD_BYTES", 600)
     monkeypatch.setattr(D, "TASK_BYTES", 3000)
     monkeypatch.setattr(D, "SLICE_BYTES", 1000)
     monkeypatch.setattr(D, "ROWS_AT_ONCE", 7)
-    assert check(make_docs(rows)) >= 90
+    assert check(make_docs(rows), part_segments=3) >= 90
+
+
+def test_texts_of_one_id_stay_apart(make_docs):
+    """Other texts under one doc_id, or under none, are documents of their own, whatever bits their hashes share."""
+    rng = random.Random(3)
+    c, a = sentence(rng, 60), sentence(rng, 60)
+    a = a[:200] + c[50:250] + a[200:]
+    low = xxhash.xxh64_intdigest(a.encode(), 42) % (1 << 16)
+    stem = sentence(rng, 60)
+    b = next(t for t in (f"{stem} {k}" for k in range(10 ** 7)) if xxhash.xxh64_intdigest(t.encode(), 42) % (1 << 16) == low)
+    assert check(make_docs([(1, c), (5, a), (5, b)])) == 1
+    rows = [(None, sentence(rng, 12) + (c[60:180] if k % 5 == 0 else "")) for k in range(1000)]
+    assert check(make_docs([*rows, (2, c), rows[0]])) == 200
 
 
 def test_settling_streams_over_batches():
@@ -130,7 +143,8 @@ def test_settling_streams_over_batches():
     for size in (1000, 1, 2, 7):
         got = set()
         batches = (D._rows(D.OPEN, *(np.array(x, dtype=np.int64) for x in (
-            [r[2] for r in part], [r[3] for r in part], [1] * len(part), [r[0] for r in part], [r[1] for r in part])))
+            [r[2] for r in part], [r[2] % 2 for r in part], [r[3] for r in part], [1] * len(part),
+            [r[0] for r in part], [r[1] for r in part])))
             for part in (rows[i:i + size] for i in range(0, len(rows), size)))
         for batch in D._settle(batches):
             got |= {tuple(r.values()) for r in batch.to_pylist()}
@@ -139,7 +153,7 @@ def test_settling_streams_over_batches():
     segments = {}
     for a, c, i, p in rows:
         segments.setdefault((a, c), set()).add((i, p))
-    assert {(i, p) for k, _, _, i, p, _ in whole if k == D.REPEATED} == {
+    assert {(i, p) for k, _, _, i, _, p, _ in whole if k == D.REPEATED} == {
         x for s in segments.values() for x in sorted(s)[1:]}
 
 
