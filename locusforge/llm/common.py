@@ -52,6 +52,14 @@ def join_documents(left: DataFrame, right: DataFrame, how: str = "inner") -> Dat
     return left.join(right, same, how).drop("_right_id", "_right_hash")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back: cuts the lineage."""
     path = scratch_path(df.sparkSession, name)

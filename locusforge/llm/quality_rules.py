@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 
 from locusforge.llm.common import bounded_batches, bytes_of, slices, stored, table, text_of
 
-# A line in more documents of one host than this is boilerplate.
-MAX_DOCUMENTS = 100
+# A line in more documents of one host than both of these is boilerplate: a
+# number, and a percentage of the host's documents.
+MAX_DOCUMENTS = 5
+MAX_PERCENT = 1
 # A document that keeps a smaller share of its words is depleted.
-MIN_SHARE = 0.3
+MIN_SHARE = 0.75
+# The lines of one host meet its number of documents in so many parts.
+PARTS = 16
 # Fixed values of the base rules.
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -94,16 +98,21 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
                            + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<bigint>")
 
 
-def lines_to_drop(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def lines_to_drop(rows: DataFrame, max_documents: int = MAX_DOCUMENTS, max_percent: int = MAX_PERCENT) -> DataFrame:
     """(drop_id, drop_hash, drop_host, drop): hashes of the lines that each document loses.
 
     ``rows`` comes from ``measured``. Documents that lose nothing have no row.
     """
     lines = rows.select("id", "text_hash", "host", F.explode("lines").alias("line"))
-    often = (lines.select("host", "line", "id").distinct().groupBy("host", "line").count()
-             .where(F.col("count") > max_documents).select("host", "line"))
+    hosts = rows.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
+    hosts = hosts.select("*", F.explode(F.array(*[F.lit(p).cast("long") for p in range(PARTS)])).alias("part"))
+    often = (lines.select("host", "line", "id").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") > max_documents).withColumn("part", F.pmod(F.xxhash64("line"), F.lit(PARTS)))
+             .join(hosts, ["host", "part"]).where(100 * F.col("n") > max_percent * F.col("documents"))
+             .select("host", "line"))
     return (lines.join(often, ["host", "line"])
-            .groupBy(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash"), F.col("host").alias("drop_host"))
+            .groupBy(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash"),
+                     F.col("host").alias("drop_host"))
             .agg(F.collect_set("line").alias("drop")))
 
 
@@ -113,30 +122,33 @@ def without_lines(raw: bytes, drop: set[int]) -> bytes:
 
 
 def _shortened(docs: DataFrame, drops: DataFrame, host: str, how: str) -> DataFrame:
-    """``docs`` joined with their row of ``drops``, and the text without the dropped lines."""
+    """Rows of ``docs`` as structs, the dropped lines taken out of their text, beside their row of ``drops``."""
     @F.pandas_udf("string")
     def shortened(raws: pd.Series, drops: pd.Series) -> pd.Series:
         return pd.Series([None if drop is None else without_lines(raw, set(drop.tolist())).decode()
                           for raw, drop in zip(raws, drops)], dtype=object)
 
-    same = (docs["doc_id"].eqNullSafe(drops["drop_id"]) & (F.xxhash64(text_of()) == drops["drop_hash"])
-            & (F.xxhash64(docs[host]) == drops["drop_host"]))
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(shortened(bytes_of(), F.col("drop")))
-    return bounded_batches(docs).join(drops, same, how).withColumn("text", text)
+    rows = bounded_batches(docs).select(F.struct("*").alias("row"), F.col("doc_id").alias("id"),
+                                        F.xxhash64(text_of()).alias("text_hash"), F.xxhash64(host).alias("host"))
+    same = (F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("text_hash") == F.col("drop_hash"))
+            & (F.col("host") == F.col("drop_host")))
+    text = F.when(F.col("drop").isNull(), F.col("row.text")).otherwise(shortened(bytes_of("row.text"), F.col("drop")))
+    return rows.join(drops, same, how).withColumn("row", F.col("row").withField("text", text))
 
 
-def drop_frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """``docs`` with the lines above the limit taken out of ``text``; other columns as they are.
+def drop_frequent_lines(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS,
+                        max_percent: int = MAX_PERCENT) -> DataFrame:
+    """``docs`` with the lines above both limits taken out of ``text``; other columns, of any name, as they are.
 
     Texts that lose nothing stay as they are, null ones too. Rows with a null
     host are one host. An empty table gives an empty one.
     """
-    drops = lines_to_drop(stored(measured(docs, host), "quality-measures"), max_documents)
-    return _shortened(docs, drops, host, "left").select(*docs.columns)
+    drops = lines_to_drop(stored(measured(docs, host), "quality-measures"), max_documents, max_percent)
+    return _shortened(docs, drops, host, "left").select("row.*")
 
 
 def judged(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS,
-           min_share: float = MIN_SHARE) -> DataFrame:
+           max_percent: int = MAX_PERCENT, min_share: float = MIN_SHARE) -> DataFrame:
     """(id, the five counts, n_lost_words, base_failed, kept): one row per row of ``docs``.
 
     The words lost are counted on the texts without their frequent lines. Null
@@ -150,8 +162,9 @@ def judged(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUM
         return pd.Series([len(raw.split()) for raw in raws], dtype="int64")
 
     rows = stored(measured(docs, host), "quality-measures")
-    left = (_shortened(docs, lines_to_drop(rows, max_documents), host, "inner")
-            .select("drop_id", "drop_hash", "drop_host", count_words(bytes_of()).alias("words_left"))
+    texts = docs.select("doc_id", "text", host)
+    left = (_shortened(texts, lines_to_drop(rows, max_documents, max_percent), host, "inner")
+            .select("drop_id", "drop_hash", "drop_host", count_words(bytes_of("row.text")).alias("words_left"))
             .distinct())
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
@@ -179,8 +192,12 @@ lines AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM base)),
 dups AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE words > 0 GROUP BY doc_id),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS documents FROM base GROUP BY source),
+held AS (
+  SELECT source, norm, count(DISTINCT doc_id) AS n FROM lines WHERE words > 0 GROUP BY source, norm),
 often AS (
-  SELECT source, norm FROM lines WHERE words > 0 GROUP BY source, norm HAVING count(DISTINCT doc_id) > 100),
+  SELECT held.source, norm FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source
+  WHERE n > 5 AND 100 * n > documents),
 lost AS (
   SELECT doc_id, sum(words) AS n_lost_words FROM lines JOIN often
   ON lines.norm = often.norm AND lines.source IS NOT DISTINCT FROM often.source GROUP BY doc_id),
@@ -199,5 +216,5 @@ counted AS (
   FROM base LEFT JOIN dups USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN lost USING (doc_id)),
 failing AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
-SELECT *, NOT base_failed AND n_words - n_lost_words >= 0.3 * n_words AS kept FROM failing
+SELECT *, NOT base_failed AND n_words - n_lost_words >= 0.75 * n_words AS kept FROM failing
 """

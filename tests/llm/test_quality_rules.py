@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from locusforge.llm import quality_rules as Q
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -30,18 +32,21 @@ def normal(line):
 
 def test_verdicts_match_brute_force(docs):
     rows = docs.collect()
-    for limit, share in ((100, 0.3), (1, 0.6), (0, 0.3)):
-        holders, want = {}, []
+    for limit, percent, share in ((100, 0, 0.3), (1, 0, 0.6), (0, 0, 0.3), (0, 20, 0.6), (2, 15, 0.75)):
+        holders, want, hosts = {}, [], {}
         for r in rows:
+            hosts.setdefault(r["source"], set()).add(r["doc_id"])
             for line in (r["text"] or "").split("\n"):
                 holders.setdefault((r["source"], normal(line)), set()).add(r["doc_id"])
         for r in rows:
             n, c, s, d, rep = counts(r["text"])
             lost = sum(len(WORD.findall(x)) for x in (r["text"] or "").split("\n")
-                       if len(holders[r["source"], normal(x)]) > limit)
+                       if (k := len(holders[r["source"], normal(x)])) > limit
+                       and 100 * k > percent * len(hosts[r["source"]]))
             failed = n < 50 or 100 * rep > 50 * n
             want.append(str((r["doc_id"], n, c, s, d, rep, lost, failed, not failed and n - lost >= share * n)))
-        got = [str(tuple(r)) for r in Q.judged(docs, max_documents=limit, min_share=share).collect()]
+        got = [str(tuple(r)) for r in Q.judged(
+            docs, max_documents=limit, max_percent=percent, min_share=share).collect()]
         assert sorted(got) == sorted(want)
 
 
@@ -63,20 +68,32 @@ def test_frequent_lines_are_taken_out(docs, no_docs):
         text = r["text"] and "\n".join(x for x in r["text"].split("\n") if not normal(x)
                                        or len(holders[r["source"], normal(x)]) <= 1)
         want.append(str(tuple({**r.asDict(), "text": text}.values())))
-    out = Q.drop_frequent_lines(docs, max_documents=1)
+    clashing = ["drop", "drop_id", "drop_hash", "drop_host", "id", "host", "row", "part"]
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in clashing if c not in ("id",)])
+    want = [w[:-1] + "".join(f", {c!r}" for c in clashing[:4] + clashing[5:]) + ")" for w in want]
+    rows = docs.collect()
+    out = Q.drop_frequent_lines(docs, max_documents=1, max_percent=0)
     assert out.schema == docs.schema
     assert sorted(str(tuple(r)) for r in out.collect()) == sorted(want) != sorted(str(tuple(r)) for r in rows)
     assert Q.drop_frequent_lines(no_docs).count() == 0
 
 
 def test_planted_boilerplate_with_the_default_limits(spark):
-    """Beyond 100 documents of one host the shared line goes, and a document of little else is rejected."""
+    """Beyond 5 documents and 1 % of one host the shared line goes, and a document of little else is rejected."""
     shared = "Accept all cookies " * 4 + " ".join(f"menu{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
     own = " ".join(f"word{chr(97 + i)}" for i in range(10))
-    rows = [(i, f"{own} {chr(97 + i % 26)}{chr(97 + i // 26)}\n{shared}", host)
-            for host, n in (("hot", 101), ("cool", 100)) for i in range(n)]
-    got = Q.judged(spark.createDataFrame(
-        [(k, text, host) for k, (_, text, host) in enumerate(rows)], "doc_id long, text string, source string")).collect()
-    words = len(shared.split())
-    assert {(r["id"] < 101, r["n_lost_words"], r["base_failed"], r["kept"]) for r in got} == {
-        (True, words, False, False), (False, 0, False, True)}
+    filler = " ".join(f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(f"{own} {host}{chr(97 + i)}\n{shared}" if i < holders else
+             f"{filler} {host} x{chr(97 + i % 26)}{chr(97 + i // 26)}", host)
+            for host, n, holders in (("hot", 40, 6), ("cool", 40, 5), ("large", 600, 7), ("larger", 700, 7))
+            for i in range(n)]
+    got = Q.judged(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)],
+                                         "doc_id long, text string, source string"))
+    verdicts = {(rows[r["id"]][1], r["n_lost_words"] > 0, r["kept"]) for r in got.collect()}
+    assert verdicts == {("hot", True, False), ("hot", False, True), ("cool", False, True), ("large", True, False),
+                        ("large", False, True), ("larger", False, True)}
+
+
+def test_the_sql_row_holds_documents_rejected_by_the_method(spark):
+    got = Q.op8_quality_rules(spark, "/root/testdata/sf0.01")
+    assert got.where("NOT base_failed AND NOT kept").count() > 0
