@@ -89,11 +89,16 @@ def drop_bitmaps(docs: DataFrame, min_length: int = MIN_KEY_LENGTH,
 
 
 def apply_bitmap(text: Column, dropped: Column) -> Column:
-    """The lines that a bitmap keeps, joined by newlines; a null bitmap keeps all."""
-    lines = lines_of(text)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions_of(dropped))
-    return (F.when(dropped.isNull(), text)
-            .otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")))
+    """The lines that a bitmap keeps, joined by newlines; a null bitmap keeps all.
+
+    The split text is bound to a lambda's variable: it is made once, however
+    many lines are read from it.
+    """
+    def joined(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions_of(dropped))
+        return F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n")
+
+    return F.when(dropped.isNull(), text).otherwise(F.get(F.transform(F.array(lines_of(text)), joined), F.lit(0)))
 
 
 def n_dropped(dropped: Column) -> Column:
@@ -108,14 +113,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     same lines. Extra columns of any name pass through; an empty table gives
     an empty one.
     """
-    keyed = with_key(docs)
-    bitmaps = drop_bitmaps(keyed).select(F.col("id").alias("_dedup_id"), F.col("text_hash").alias("_dedup_hash"),
-                                         F.col("dropped").alias("_dedup_dropped"))
-    joined = docs.join(bitmaps, docs["doc_id"].eqNullSafe(bitmaps["_dedup_id"])
-                       & (F.xxhash64(text_of()) == bitmaps["_dedup_hash"]), "left")
-    kept = F.when(F.col("_dedup_dropped").isNull(), F.col("text")).otherwise(
-        apply_bitmap(F.col("text"), F.col("_dedup_dropped")))
-    return joined.withColumn("text", kept).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"))
+    joined = join_documents(rows, drop_bitmaps(with_key(docs)), "left")
+    kept = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(
+        apply_bitmap(F.col("row.text"), F.col("dropped")))
+    return joined.select(F.col("row").withField("text", kept).alias("row")).select("row.*")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,24 @@ def test_query_digest(spark):
     want = {k[0]: v for k, v in brute(texts, 40, 5).items()}
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows} == {
         i: (a, b, hashlib.sha256(c.encode()).hexdigest()) for i, (a, b, c) in want.items()}
+
+
+def test_many_lines_take_linear_time(spark, make_docs):
+    """200,000 lines in one text, of which every tenth goes: seconds, not hours."""
+    shared = [f"a line of some length that documents share, number {k:06d}" for k in range(20_000)]
+    long = [line for k, s in enumerate(shared) for line in (s, *[f"{k} own {i}" for i in range(9)])]
+    docs = make_docs([(1, "\n".join(long)), *[(i, "\n".join(shared)) for i in range(2, 6)]])
+    begun = time.time()
+    out = {r["doc_id"]: r["text"] for r in D.dedup_lines(docs).select("doc_id", "text").collect()}
+    assert out[1].split("\n") == [x for x in long if " own " in x]
+    assert out[5] == "\n".join(shared) and out[2] == ""
+    assert time.time() - begun < 60
+
+
+def test_columns_of_any_name_pass_through(docs):
+    names = ["id", "row", "dropped", "h1", "_dedup_id", "_right_id", "positions"]
+    clash = docs.drop("ID").select("*", *[F.lit(n).alias(n) for n in names])
+    plain = {str(tuple(r)) for r in D.dedup_lines(docs.drop("ID")).collect()}
+    out = D.dedup_lines(clash)
+    assert out.schema == clash.schema
+    assert {str(tuple(r)[:-len(names)]) for r in out.collect()} == plain
