@@ -51,30 +51,31 @@ def assign_shards(rows: DataFrame, key: str, n_shards: int = N_SHARDS) -> DataFr
     """``rows`` with (shard, grown_shard, slot) appended.
 
     grown_shard is the shard with one shard more. Slots run from 0 without
-    gaps in each shard: rows are numbered inside (shard, block), the block
-    being a hash of the key, after the counts of the earlier blocks. The table
-    of counts has n_shards x N_BLOCKS rows at most, whatever the input, and so
-    may be broadcast. Rows with equal keys lie in one block, in the order of
-    their other columns. An empty table gives an empty result. Columns of
-    ``rows`` named shard, grown_shard or slot are replaced.
+    gaps in each shard: rows are numbered inside (shard, block) after the
+    counts of the earlier blocks. The table of counts has n_shards x N_BLOCKS
+    rows at most, whatever the input, and so may be broadcast. The block is a
+    hash of the key and of all columns that can be ordered, so rows of one key
+    (or none) that differ are spread over the blocks of their shard. An empty
+    table gives an empty result. Columns of ``rows`` named shard, grown_shard
+    or slot are replaced; others, of any name, stay.
     """
-    rows = rows.drop("shard", "grown_shard", "slot", "_block")
-    placed = (rows.withColumn("shard", shard_of(F.col(key), n_shards))
-              .withColumn("grown_shard", shard_of(F.col(key), n_shards + 1))
-              .withColumn("_block", F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(N_BLOCKS)).cast("int")))
-    counts = placed.groupBy("shard", "_block").count()
-    before = W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "_block",
-                           F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    order = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, _unorderable())]
-    inside = W.partitionBy("shard", "_block").orderBy(key, *[c for c in order if c != key])
-    return (placed.withColumn("_row", F.row_number().over(inside) - 1)
-            .join(F.broadcast(starts), ["shard", "_block"])
-            .withColumn("slot", (F.col("_start") + F.col("_row")).cast("long"))
-            .select(*rows.columns, "shard", "grown_shard", "slot"))
+    rows = rows.drop("shard", "grown_shard", "slot")
+    order = [c for c in rows.columns if c != key and not isinstance(rows.schema[c].dataType, _unorderable())]
+    columns = [F.col(f"row.`{c}`") for c in [key, *order]]
+    placed = rows.select(F.struct("*").alias("row")).select(
+        "row", shard_of(columns[0], n_shards).alias("shard"), shard_of(columns[0], n_shards + 1).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(N_BLOCKS)).cast("int").alias("block"))
+    counts = placed.groupBy("shard", "block").count()
+    before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = W.partitionBy("shard", "block").orderBy(*columns)
+    return (placed.withColumn("place", F.row_number().over(inside) - 1)
+            .join(F.broadcast(starts), ["shard", "block"])
+            .select("row.*", "shard", "grown_shard", (F.col("start") + F.col("place")).cast("long").alias("slot")))
 
 
 def _unorderable() -> tuple:
+    """Types that neither sort nor hash; a column that holds one inside another type is not looked for."""
     from pyspark.sql.types import MapType, VariantType
     return MapType, VariantType
 

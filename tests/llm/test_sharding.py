@@ -57,7 +57,32 @@ def test_query(spark):
 def test_clashing_columns_and_empty_table(spark, docs, no_docs):
     clash = docs.selectExpr("*", "1 AS shard", "2 AS slot", "3 AS _block")
     out = S.assign_shards(clash, "doc_id")
-    assert out.columns == [*docs.columns, "shard", "grown_shard", "slot"] and out.count() == docs.count()
+    assert out.columns == [*docs.columns, "_block", "shard", "grown_shard", "slot"] and out.count() == docs.count()
     assert S.assign_shards(no_docs, "doc_id").count() == 0
     mapped = docs.selectExpr("doc_id", "map('a', doc_id) AS m")
     assert S.assign_shards(mapped, "doc_id").count() == docs.count()
+
+
+def test_rows_without_a_key_are_spread_over_blocks(spark):
+    """A null key has one shard, whose slots are numbered in many blocks; inner names may clash."""
+    rows = spark.range(5000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "id AS start", "id AS place", "id AS row",
+                                        "id AS block", "id AS _start", "id AS _row", "id AS _block")
+    out = S.assign_shards(rows, "doc_id")
+    assert out.columns == [*rows.columns, "shard", "grown_shard", "slot"]
+    got = out.collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(5000))
+    assert sorted(r["row"] for r in got) == list(range(5000))
+    assert sum(a["slot"] + 1 != b["slot"] for a, b in zip(*(sorted(got, key=lambda r: r["start"])[k:] for k in (0, 1)))) > 4000
+
+
+def test_query_matches_the_plain_loop(spark):
+    """shard and grown_shard by the published loop, on the key's hash as Spark gives it."""
+    folder = "/root/testdata/sf0.001"
+    hashes = {r["doc_id"]: r["h"] for r in spark.read.parquet(f"{folder}/documents.parquet")
+              .selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    slots = {}
+    for r in S.op7_jump_hash_shards(spark, folder).collect():
+        key = hashes[r["doc_id"]] % 2 ** 64
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 16), jump(key, 17))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
