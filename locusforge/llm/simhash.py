@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusforge.llm.common import bounded_batches, bytes_of, stored, table, text_of
+from locusforge.llm.common import bounded_batches, bytes_of, join_documents, stored, table, text_of
 from locusforge.llm.components import connected_components
 
 BITS = 64
@@ -191,16 +191,16 @@ def keep_representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One document of each near-duplicate group: the smallest doc_id.
 
     A null doc_id counts as smaller than any other; of equal doc_ids the text
-    with the smaller hash stays, and of equal rows one. All columns as they are.
+    with the smaller hash stays, and of equal rows one. All columns, of any name,
+    as they are.
     """
     keepers = (near_duplicates(docs, size).groupBy("component")
                .agg(F.min(F.struct("id", "text_hash")).alias("best"))
-               .select(F.col("best.id").alias("_keep_id"), F.col("best.text_hash").alias("_keep_hash")))
-    joined = (docs.withColumn("_text_hash", F.xxhash64(text_of()))
-              .join(keepers, F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-                    & (F.col("_text_hash") == F.col("_keep_hash"))))
-    once = W.partitionBy("_keep_id", "_keep_hash").orderBy("_text_hash")
-    return joined.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*docs.columns)
+               .select("best.id", "best.text_hash"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("text_hash"))
+    once = W.partitionBy("id", "text_hash").orderBy("text_hash")
+    return (join_documents(rows, keepers).withColumn("copy", F.row_number().over(once)).where("copy = 1")
+            .select("row.*"))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from test_decontamination import brute as brute_hits, words
 from test_line_dedup import brute as brute_lines
 from test_simhash import brute_groups, brute_print
@@ -85,3 +86,9 @@ def test_odd_rows_pass_every_stage(spark, make_docs, texts, no_docs):
         assert stage(spark, no_docs, SF).count() == 0
     assert P.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0
     assert P.STAGES[0][1](spark, make_docs(texts), SF).columns == docs.columns
+
+
+def test_line_stage_keeps_a_clashing_column(spark, docs):
+    clash = docs.select("*", F.lit(0).alias("text_before"), F.lit("kept").alias("_text_before"))
+    out = P.line_deduplication(spark, clash, SF)
+    assert out.schema == clash.schema and {r["_text_before"] for r in out.collect()} == {"kept"}

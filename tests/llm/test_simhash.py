@@ -2,6 +2,7 @@ import itertools
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from locusforge.llm import simhash as S
 from locusforge.llm.components import connected_components
@@ -105,3 +106,12 @@ def test_one_document_of_each_group_stays(docs):
 def test_empty_table(no_docs):
     assert S.near_duplicates(no_docs).count() == 0
     assert S.keep_representatives(no_docs).count() == 0
+
+
+def test_columns_of_any_name_pass_through(docs):
+    names = ["id", "row", "copy", "print", "_keep_id", "_keep_hash", "_copy", "_right_id"]
+    clash = docs.drop("ID").select("*", *[F.lit(n).alias(n) for n in names])
+    out = S.keep_representatives(clash)
+    assert out.schema == clash.schema
+    assert ({(r["doc_id"], r["text"]) for r in out.collect()}
+            == {(r["doc_id"], r["text"]) for r in S.keep_representatives(docs).collect()})
