@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusforge.llm import byte_bpe, decontamination, line_dedup, quality, simhash
-from locusforge.llm.common import stored, table
+from locusforge.llm.common import stored, table, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many share; n_chars follows a changed text."""
-    before = "_text_before"
-    out = line_dedup.dedup_lines(docs.withColumn(before, F.col("text")))
+    rows = docs.select("*", F.col("text").alias(before := unused(docs, "text_before")))
+    out = line_dedup.dedup_lines(rows)
     changed = ~F.col(before).eqNullSafe(F.col("text"))
     n_chars = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
