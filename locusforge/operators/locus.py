@@ -14,7 +14,7 @@ landing whole in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from locusforge import schemas as S
 from locusforge.functions.scores import composite_id, greater_than, missing_as_null, neg_log10
 from locusforge.operators import predicates as P
-from locusforge.operators.processed import chromosome_table
+from locusforge.operators.processed import chromosome_table, one_copy
+from locusforge.session import scratch_path
 
 
 def representative(df: DataFrame, keys: Sequence[str], payload: dict[str, Column],
@@ -40,6 +41,9 @@ def representative(df: DataFrame, keys: Sequence[str], payload: dict[str, Column
     return grouped.select(*keys, *[F.col(f"_rep.{n}").alias(n) for n in payload], "selected")
 
 
+Pick = Callable[[DataFrame, Sequence[str], dict[str, Column], Column | None], DataFrame]
+
+
 def _finish(df: DataFrame, cols: Sequence[str], has_selection: bool, sort_key: str) -> DataFrame:
     out = df.select(*cols)
     # Selected entities come last; the id makes the order total.
@@ -72,9 +76,9 @@ def window_rows(source: DataFrame, chrom: str, start: int, end: int) -> DataFram
 
 
 def gene_vertices(unfiltered: DataFrame, genes: DataFrame, flag: Column | None = None,
-                  keys: Sequence[str] = ()) -> DataFrame:
+                  keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """A7 + J6: genes of the window with their annotation (strand, TSS, exons)."""
-    reps = representative(unfiltered, [*keys, "gene_id"], {
+    reps = pick(unfiltered, [*keys, "gene_id"], {
         "symbol": F.col("gene_symbol"),
         "chromosome": F.col("GRCh38_gene_chrom"),
     }, flag)
@@ -88,33 +92,33 @@ def gene_vertices(unfiltered: DataFrame, genes: DataFrame, flag: Column | None =
 
 
 def variant_vertices(unfiltered: DataFrame, flag: Column | None = None,
-                     keys: Sequence[str] = ()) -> DataFrame:
+                     keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """Variants of the window and their position."""
-    out = representative(unfiltered, [*keys, "ld_snp_rsID"], {"position": F.col("GRCh38_pos")}, flag)
+    out = pick(unfiltered, [*keys, "ld_snp_rsID"], {"position": F.col("GRCh38_pos")}, flag)
     out = out.withColumnRenamed("ld_snp_rsID", "id")
     return _finish(out, [*keys, "id", "position", "selected"], flag is not None and not keys, "id")
 
 
 def lead_variant_vertices(unfiltered: DataFrame, flag: Column | None = None,
-                          keys: Sequence[str] = ()) -> DataFrame:
+                          keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """Lead variants of the window and their position."""
-    out = representative(unfiltered, [*keys, "gwas_snp"], {"position": F.col(S.LEAD_POS)}, flag)
+    out = pick(unfiltered, [*keys, "gwas_snp"], {"position": F.col(S.LEAD_POS)}, flag)
     out = out.withColumnRenamed("gwas_snp", "id")
     return _finish(out, [*keys, "id", "position", "selected"], flag is not None and not keys, "id")
 
 
 def disease_vertices(unfiltered: DataFrame, flag: Column | None = None,
-                     keys: Sequence[str] = ()) -> DataFrame:
+                     keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """A10: diseases of the window (a NULL disease id is its own group)."""
-    out = representative(unfiltered, [*keys, "disease_efo_id"], {"name": F.col("disease_name")}, flag)
+    out = pick(unfiltered, [*keys, "disease_efo_id"], {"name": F.col("disease_name")}, flag)
     out = out.withColumnRenamed("disease_efo_id", "id")
     return _finish(out, [*keys, "id", "name", "selected"], flag is not None and not keys, "id")
 
 
 def gene_variant_edges(filtered: DataFrame, genes: DataFrame, flag: Column | None = None,
-                       keys: Sequence[str] = ()) -> DataFrame:
+                       keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """A11 + J6: gene-variant edges; geneTss comes from the gene annotation."""
-    reps = representative(filtered, [*keys, "gene_id", "ld_snp_rsID"], {
+    reps = pick(filtered, [*keys, "gene_id", "ld_snp_rsID"], {
         "geneSymbol": F.col("gene_symbol"),
         "geneChromosome": F.col("GRCh38_gene_chrom"),
         "vPos": F.col("GRCh38_pos"),
@@ -140,9 +144,9 @@ def gene_variant_edges(filtered: DataFrame, genes: DataFrame, flag: Column | Non
 
 
 def variant_lead_variant_edges(filtered: DataFrame, flag: Column | None = None,
-                               keys: Sequence[str] = ()) -> DataFrame:
+                               keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """Variant-lead variant edges with r2."""
-    reps = representative(filtered, [*keys, "ld_snp_rsID", "gwas_snp"], {
+    reps = pick(filtered, [*keys, "ld_snp_rsID", "gwas_snp"], {
         "vPos": F.col("GRCh38_pos"), "lvPos": F.col(S.LEAD_POS), "r2": F.col("r2")}, flag)
     out = (reps.withColumn("id", composite_id("ld_snp_rsID", "gwas_snp"))
            .withColumnRenamed("ld_snp_rsID", "vId").withColumnRenamed("gwas_snp", "lvId"))
@@ -151,9 +155,9 @@ def variant_lead_variant_edges(filtered: DataFrame, flag: Column | None = None,
 
 
 def lead_variant_disease_edges(filtered: DataFrame, flag: Column | None = None,
-                               keys: Sequence[str] = ()) -> DataFrame:
+                               keys: Sequence[str] = (), pick: Pick = representative) -> DataFrame:
     """Lead variant-disease edges with the GWAS statistics."""
-    reps = representative(filtered, [*keys, "gwas_snp", "disease_efo_id"], {
+    reps = pick(filtered, [*keys, "gwas_snp", "disease_efo_id"], {
         "lvPos": F.col(S.LEAD_POS), "efoName": F.col("disease_name"),
         "gwasPValue": F.col("gwas_pvalue"), "gwasOddsRatio": F.col("gwas_odds_ratio"),
         "gwasBeta": F.col("gwas_beta"), "gwasStudy": F.col("gwas_study"),
@@ -221,17 +225,15 @@ def locus_batch(source: DataFrame, genes: DataFrame, loci: DataFrame,
     ``locus`` request would return for it. Windows without any row are
     absent (a single request would return empty lists and a NULL maximum).
 
-    ``materialize=True`` runs the window join once and checkpoints the
-    (locus, row) pairs into the shared checkpoint folder, so the eight outputs
-    read them instead of recomputing the join (and a lost executor does not
-    send them back to the join).
+    ``materialize=True`` is meant for all eight outputs: rows are keyed and the
+    window join runs once, over narrow rows, with all groupings in one pass
+    (``grouped_once``); what they are is stored in the shared folder and the
+    outputs read it. Without it every output is a lazy plan of its own.
     """
     from locusforge.operators.batch_locus import DEFAULT_BIN, batch_locus_rows
-    from locusforge.session import shared_dir
-    pairs = batch_locus_rows(source, loci, bin_size or DEFAULT_BIN)
     if materialize:
-        shared_dir(pairs.sparkSession)   # make sure a checkpoint folder is set
-        pairs = pairs.checkpoint(eager=True)
+        return grouped_once(source, genes, loci, filters, flag, bin_size or DEFAULT_BIN)
+    pairs = batch_locus_rows(source, loci, bin_size or DEFAULT_BIN)
     edge_pred = filters.predicate()
     filtered = pairs.where(edge_pred) if edge_pred is not None else pairs
     k = ["locus_id"]
@@ -245,3 +247,98 @@ def locus_batch(source: DataFrame, genes: DataFrame, loci: DataFrame,
         "leadVariantDiseases": lead_variant_disease_edges(filtered, flag, k),
         "maxGwasPValue": max_gwas_pvalue(pairs, k),
     }
+
+
+# Keys of the three kinds of edges, and the kind whose groups each other output is
+# rolled up from.
+EDGES: dict[str, list[str]] = {
+    "geneVariants": ["gene_id", "ld_snp_rsID"],
+    "variantLeadVariants": ["ld_snp_rsID", "gwas_snp"],
+    "leadVariantDiseases": ["gwas_snp", "disease_efo_id"],
+}
+ROLLED_UP = {"genes": "geneVariants", "variants": "geneVariants", "leadVariants": "variantLeadVariants",
+             "diseases": "leadVariantDiseases", "maxGwasPValue": "geneVariants"}
+ROW_KEY = "row_key"
+
+
+def keyed_rows(source: DataFrame) -> DataFrame:
+    """The resolved rows of ``source`` once each, stored, with a ``row_key`` in row order.
+
+    The key is a long that is unique and grows with (idx, lead chromosome, lead
+    position), NULLs first; equal ones are in the order of a hash of the rest. It
+    is given while range-partitioned, sorted rows are written, so it needs no
+    counting, and what was committed does not change.
+    """
+    rows = one_copy(source).where(P.resolved())
+    rest = F.xxhash64(*[c for c in rows.columns if c not in S.ROW_ORDER])
+    path = scratch_path(rows.sparkSession, "keyed-rows")
+    (rows.repartitionByRange(*S.ROW_ORDER).sortWithinPartitions(*S.ROW_ORDER, rest)
+     .withColumn(ROW_KEY, F.monotonically_increasing_id()).write.parquet(path))
+    return rows.sparkSession.read.parquet(path)
+
+
+def grouped_once(source: DataFrame, genes: DataFrame, loci: DataFrame, filters: P.LocusFilters,
+                 flag: Column | None, bin_size: int) -> dict[str, DataFrame]:
+    """The eight outputs of every window from one pass over the (locus, row) pairs.
+
+    A group's representative row is the one with the smallest ``row_key``, a
+    long, so the groupings of the three kinds of edges are one hash aggregate
+    (grouping sets), partial before its only shuffle: no pair is sorted, and a
+    hot key is reduced where its rows are. A group knows its first row and its
+    first row that passes the edge filters; vertices and the maximum follow
+    from the groups. The payload of the chosen rows is fetched by key.
+    """
+    from locusforge.operators.batch_locus import batch_locus_rows
+    spark = source.sparkSession
+    rows = keyed_rows(source)
+    edge_pred = filters.predicate()
+    edge = F.lit(True) if edge_pred is None else F.coalesce(edge_pred, F.lit(False))
+    selected = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
+    ids = ["gene_id", "ld_snp_rsID", "gwas_snp", "disease_efo_id"]
+    pairs = batch_locus_rows(rows, loci, bin_size).select(
+        "locus_id", *ids, ROW_KEY, edge.alias("edge"), selected.alias("flag"),
+        missing_as_null("gwas_pvalue").alias("pvalue"))
+    columns = ["locus_id", *ids]
+    # The bit of a column is set in the grouping id where the column is not a key.
+    number = {name: sum(1 << k for k, c in enumerate(reversed(columns)) if c not in ("locus_id", *keys))
+              for name, keys in EDGES.items()}
+    marks = [] if flag is None else [F.bool_or("flag").alias("any"),
+                                     F.bool_or(F.col("flag") & F.col("edge")).alias("any_edge")]
+    groups = pairs.groupingSets([["locus_id", *keys] for keys in EDGES.values()], *columns).agg(
+        F.grouping_id().alias("number"), F.min(ROW_KEY).alias("first"),
+        F.min(F.when(F.col("edge"), F.col(ROW_KEY))).alias("first_edge"), F.min("pvalue").alias("pvalue"), *marks)
+    output = F.coalesce(*[F.when(F.col("number") == n, name) for name, n in number.items()])
+    path = scratch_path(spark, "locus-groups")
+    groups.select("*", output.alias("output")).drop("number").write.parquet(path)
+    stored = spark.read.parquet(path)
+
+    def groups_of(name: str, keys: Sequence[str]) -> DataFrame:
+        """(keys, first, any): the chosen row of every group of an output."""
+        if name in EDGES:
+            return stored.where((F.col("output") == name) & F.col("first_edge").isNotNull()).select(
+                *keys, F.col("first_edge").alias("first"), *([F.col("any_edge").alias("any")] if marks else []))
+        edges = stored.where(F.col("output") == ROLLED_UP[name])
+        return edges.groupBy(*keys).agg(F.min("first").alias("first"), *([F.bool_or("any").alias("any")] if marks else []))
+
+    def fetched(name: str) -> Pick:
+        def pick(_, keys: Sequence[str], payload: dict[str, Column], marked: Column | None) -> DataFrame:
+            sel = F.col("any") if marked is not None else F.lit(None).cast("boolean")
+            found = groups_of(name, keys).select(*keys, F.col("first").alias("_first"), sel.alias("selected"))
+            values = rows.select(F.col(ROW_KEY).alias("_key"), *[c.alias(f"_{n}") for n, c in payload.items()])
+            return (found.join(values, found["_first"] == values["_key"])
+                    .select(*keys, *[F.col(f"_{n}").alias(n) for n in payload], "selected"))
+        return pick
+
+    k = ["locus_id"]
+    least = (stored.where(F.col("output") == ROLLED_UP["maxGwasPValue"]).groupBy(*k)
+             .agg(F.min("pvalue").alias("pvalue")))
+    return {
+        "genes": gene_vertices(rows, genes, flag, k, fetched("genes")),
+        "variants": variant_vertices(rows, flag, k, fetched("variants")),
+        "leadVariants": lead_variant_vertices(rows, flag, k, fetched("leadVariants")),
+        "diseases": disease_vertices(rows, flag, k, fetched("diseases")),
+        "geneVariants": gene_variant_edges(rows, genes, flag, k, fetched("geneVariants")),
+        "variantLeadVariants": variant_lead_variant_edges(rows, flag, k, fetched("variantLeadVariants")),
+        "leadVariantDiseases": lead_variant_disease_edges(rows, flag, k, fetched("leadVariantDiseases")),
+        "maxGwasPValue": least.select(*k, neg_log10("pvalue").alias("maxGwasPValue")),
+    }

@@ -9,11 +9,10 @@ DataFrame of ids, never looped over on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusforge import schemas as S
-from locusforge.operators.locus import representative
 
 
 # ---------------------------------------------------------------------------
@@ -42,16 +41,29 @@ def gene_location(genes: DataFrame, gene_id: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Q5: variant location
 # ---------------------------------------------------------------------------
+def _first_place(processed: DataFrame, key: str, chromosome: str, position: str) -> DataFrame:
+    """(key, chromosome, position) of each id's first row in row order.
+
+    Rows of an id with one place and one lead-variant place differ in idx
+    alone: a hash aggregate keeps the smallest, partial before the shuffle. Of
+    the few places that are left of an id, the first in row order is taken.
+    """
+    places = list(dict.fromkeys([S.LEAD_CHROM, S.LEAD_POS, chromosome, position]))
+    least = processed.groupBy(key, *places).agg(F.min(S.KEY).alias("_least"),
+                                                F.bool_or(F.col(S.KEY).isNull()).alias("_unnumbered"))
+    order = [F.col("_unnumbered").desc(), *[F.col(c).asc_nulls_first() for c in ("_least", *places)]]
+    first = least.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rank = 1")
+    return first.select(key, F.col(chromosome).alias("chromosome"), F.col(position).alias("position"))
+
+
 def variant_dim(processed: DataFrame) -> DataFrame:
     """Per variant id: chromosome and position from its representative row."""
-    return representative(processed, ["ld_snp_rsID"], {
-        "chromosome": F.col("GRCh38_chrom"), "position": F.col("GRCh38_pos")}).drop("selected")
+    return _first_place(processed, "ld_snp_rsID", "GRCh38_chrom", "GRCh38_pos")
 
 
 def lead_variant_dim(processed: DataFrame) -> DataFrame:
     """Per lead-variant id: mapping chromosome and position from its representative row."""
-    return representative(processed, ["gwas_snp"], {
-        "chromosome": F.col(S.LEAD_CHROM), "position": F.col(S.LEAD_POS)}).drop("selected")
+    return _first_place(processed, "gwas_snp", S.LEAD_CHROM, S.LEAD_POS)
 
 
 def _locations(variant_rows: DataFrame, lead_rows: DataFrame) -> DataFrame:

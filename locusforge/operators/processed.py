@@ -42,6 +42,15 @@ def chromosome_membership(processed: DataFrame,
             .where(F.col("chrom").isin(list(chromosomes))))
 
 
+def one_copy(source: DataFrame, chromosomes: Sequence[str] = S.BUILD_CHROMOSOMES) -> DataFrame:
+    """The rows behind ``source`` once each: of the chromosome layout's copies the first table's."""
+    if "chrom" not in source.columns:
+        return source
+    tables = F.filter(F.array(F.col("GRCh38_gene_chrom"), F.col("GRCh38_chrom"), F.col(S.LEAD_CHROM)),
+                      lambda c: c.isin(list(chromosomes)))
+    return source.where(F.col("chrom") == F.get(tables, F.lit(0))).drop("chrom")
+
+
 def chromosome_table(source: DataFrame, chrom: str) -> DataFrame:
     """Rows of one chromosome table.
 

@@ -450,7 +450,7 @@ def _locus_batch(child: str) -> Query:
     def run(spark, sf):
         ds = _ds(spark, sf)
         loci = B.loci_around_genes(ds.gene_dim, GENE_FLANK)
-        return L.locus_batch(ds.membership, ds.genes, loci, P.LocusFilters(**_edge_kw()))[child]
+        return L.locus_batch(ds.membership, ds.genes, loci, P.LocusFilters(**_edge_kw()), materialize=True)[child]
     return run
 
 
