@@ -13,7 +13,7 @@ def test_every_query_has_an_oracle():
 def test_sql_is_duckdb_parsable():
     import duckdb
     con = duckdb.connect()
-    for t in ["part", "lineitem", "orders", "documents", "pages", "benchmark", "labels"]:
+    for t in ["part", "lineitem", "orders", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in E.oracle_sql().items():
         con.execute(f"EXPLAIN {sql}")
