@@ -16,13 +16,14 @@ class Remembered:
 
     ``encode(pieces)`` returns how many ids each piece has and all ids in a
     row. Ids are kept in flat arrays, so a piece costs little more than its key.
+    ``forget`` empties the memory, which happens by itself beyond ``most`` pieces.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int | None = None):
         self.encode, self.most = encode, most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.sizes = np.empty(0, dtype=np.int32)
         self.starts = np.empty(0, dtype=np.int64)
@@ -31,7 +32,7 @@ class Remembered:
     def lookup(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the place where each text's ids end."""
         if len(self.number) > (self.most or MAX_REMEMBERED):
-            self._forget()
+            self.forget()
         counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         words = list(chain.from_iterable(cut))
         pieces = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))

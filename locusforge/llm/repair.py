@@ -10,6 +10,7 @@ only they are expanded.
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from dataclasses import dataclass
@@ -17,10 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 
 # Fixed value: the first bytes of a shard file.
-MAGIC = b"LFRP1\n"
+MAGIC = b"LFRP2\n"
 
 MIN_COUNT = 16
 RULES_A_ROUND = 8192
+# Symbols from one mark of a shard file to the next.
+MARKED = 1024
 
 
 @dataclass
@@ -68,15 +71,20 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
     out = np.asarray(ids, dtype=np.int64)
     base = int(out.max()) + 1 if len(out) else 1
     rules, lengths = np.empty((0, 2), dtype=np.int64), np.empty(0, dtype=np.int64)
+    # The places whose pair may be frequent. A pair of older symbols only grows
+    # rarer, so a place ruled out comes back when one of its symbols is replaced.
+    likely = np.ones(len(out), dtype=bool)
     # Every round replaces a pair somewhere, so the symbols run out.
     while len(out) > 1:
-        keys = (out[:-1] << 32) | out[1:]
-        pairs, place = _frequent(keys, min_count)
+        place = np.flatnonzero(likely[:-1])
+        keys = (out[place] << 32) | out[place + 1]
+        pairs, chosen, rare = _frequent(keys, min_count)
         if not len(pairs):
             break
-        rule = np.minimum(np.searchsorted(pairs, keys[place]), len(pairs) - 1)
-        right = pairs[rule] == keys[place]
-        at, rule = place[right], rule[right]
+        likely[place[rare]] = False
+        rule = np.minimum(np.searchsorted(pairs, keys[chosen]), len(pairs) - 1)
+        right = pairs[rule] == keys[chosen]
+        at, rule = place[chosen[right]], rule[right]
         # Of neighbouring hits, which overlap, every other one is taken.
         heads = np.concatenate(([True], np.diff(at) > 1))
         run_start = at[np.maximum.accumulate(np.where(heads, np.arange(len(at)), 0))]
@@ -90,18 +98,21 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> Grammar:
         rules, lengths = np.vstack((rules, made)), np.concatenate((lengths, size.sum(axis=1)))
         out = out.copy()
         out[at] = new + rule
+        likely[at] = True
+        likely[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(out), dtype=bool)
         keep[at + 1] = False
-        out = out[keep]
+        out, likely = out[keep], likely[keep]
     return Grammar(base, rules, lengths, out)
 
 
-def _frequent(keys: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs to replace in a round, sorted, and the places where they may stand.
+def _frequent(keys: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs to replace in a round, sorted, which keys may be theirs, and which are rare.
 
-    Those are all pairs of at least a sixteenth of the top count. Counts by a
+    The pairs are all of at least a sixteenth of the top count. Counts by a
     hash of the pair bound the true counts from above, so only keys in full
-    enough slots are sorted and counted.
+    enough slots are sorted and counted; those in slots of less than
+    ``min_count`` are rare.
     """
     bits = max(8, len(keys).bit_length())
     slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
@@ -120,32 +131,58 @@ def _frequent(keys: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]
         least = wanted if top >= least else max(min_count, least // 16)
     chosen = np.flatnonzero(counts >= wanted)
     chosen = chosen[np.argsort(-counts[chosen], kind="stable")][:RULES_A_ROUND]
-    return np.sort(ordered[edges[chosen]]), place
+    return np.sort(ordered[edges[chosen]]), place, np.flatnonzero((full < min_count)[slot])
 
 
 # --- shard files ----------------------------------------------------------
 def to_bytes(grammar: Grammar, ends: np.ndarray, names: bytes) -> bytes:
-    """A shard file: header, rules, expansion lengths, symbols, end of each document, names.
+    """A shard file: header, rules, expansion lengths, symbols, end of each document, names, marks.
 
-    ``names`` is kept as it is; the header has the sizes of all parts.
+    ``names`` is kept as it is; a mark is the number of ids before every
+    MARKED-th symbol. The header has the sizes of all parts.
     """
     parts = [grammar.rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(),
-             grammar.symbols.astype("<u4").tobytes(), np.asarray(ends).astype("<u8").tobytes(), names]
+             grammar.symbols.astype("<u4").tobytes(), np.asarray(ends).astype("<u8").tobytes(), names,
+             grammar.starts()[:-1:MARKED].astype("<u8").tobytes()]
     header = json.dumps({"base": grammar.base, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(parts)
 
 
+class ShardFile:
+    """A shard file opened for reading at any place; only the parts asked for are read."""
+
+    def __init__(self, source):
+        self.source = source
+        if bytes(source.read(len(MAGIC))) != MAGIC:
+            raise ValueError("not a shard file of token ids")
+        header = json.loads(source.read(struct.unpack("<I", source.read(4))[0]))
+        self.base, self.sizes = header["base"], header["sizes"]
+        self.places = (source.tell() + np.cumsum([0, *self.sizes])).tolist()
+
+    def part(self, number: int, first: int = 0, last: int | None = None) -> bytes:
+        """Bytes ``first`` to ``last`` of a part."""
+        self.source.seek(self.places[number] + first)
+        return self.source.read((self.sizes[number] if last is None else min(last, self.sizes[number])) - first)
+
+    def grammar(self, first: int = 0, last: int | None = None) -> Grammar:
+        """The grammar with symbols ``first`` to ``last`` alone."""
+        return Grammar(self.base, np.frombuffer(self.part(0), "<u4").astype(np.int64).reshape(-1, 2),
+                       np.frombuffer(self.part(1), "<u4").astype(np.int64),
+                       np.frombuffer(self.part(2, 4 * first, last and 4 * last), "<u4").astype(np.int64))
+
+    def document(self, number: int) -> np.ndarray:
+        """Ids of one document: only the marked blocks of symbols that cover it are read."""
+        around = np.frombuffer(self.part(3, 8 * max(number - 1, 0), 8 * number + 8), "<u8").astype(np.int64)
+        start, end = int(around[0]) if number else 0, int(around[-1])
+        if end == start:
+            return np.empty(0, dtype=np.int64)
+        marks = np.frombuffer(self.part(5), "<u8").astype(np.int64)
+        first = int(np.searchsorted(marks, start, side="right")) - 1
+        last = int(np.searchsorted(marks, end, side="left"))
+        return self.grammar(first * MARKED, last * MARKED).slice(start - int(marks[first]), end - int(marks[first]))
+
+
 def from_bytes(raw: bytes) -> tuple[Grammar, np.ndarray, bytes]:
-    if raw[:len(MAGIC)] != MAGIC:
-        raise ValueError("not a shard file of token ids")
-    at = len(MAGIC) + 4
-    size = struct.unpack("<I", raw[len(MAGIC):at])[0]
-    header = json.loads(raw[at:at + size])
-    at += size
-    parts = []
-    for n in header["sizes"]:
-        parts.append(raw[at:at + n])
-        at += n
-    grammar = Grammar(header["base"], np.frombuffer(parts[0], "<u4").astype(np.int64).reshape(-1, 2),
-                      np.frombuffer(parts[1], "<u4").astype(np.int64), np.frombuffer(parts[2], "<u4").astype(np.int64))
-    return grammar, np.frombuffer(parts[3], "<u8").astype(np.int64), parts[4]
+    """The grammar, the ends of the documents and the names of a whole file."""
+    file = ShardFile(io.BytesIO(raw))
+    return file.grammar(), np.frombuffer(file.part(3), "<u8").astype(np.int64), file.part(4)

@@ -30,13 +30,21 @@ from locusforge.session import scratch_path
 END_ID = 2
 # Ids after which a shard is closed at the next document's end.
 SHARD_IDS = 1_000_000
-# A run of Latin letters that have a composed form and one lower case, with one
-# mark after it or none: two tokenizer words at most, which the library's model
-# merges without its normaliser and splitter.
-LATIN = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)"
+# Texts of ASCII and of Latin letters with a composed form and one lower case:
+# the tokenizer's normaliser does no more to them than ``lower``.
+SIMPLE = r"[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*"
+LETTERS = r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+"
+# A whole run of ASCII signs that does not start with an apostrophe. The
+# tokenizer starts a word there too, so a blank before it changes no id.
+SIGN = r"\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f"
+SIGNS = rf"[{SIGN.replace('!-/', '!-&(-/')}](?<![{SIGN}].)[{SIGN}]*"
+# Texts with this may hold special tokens, which the library takes as they are.
+SPECIAL = "<|"
 # Words remembered in a worker before the memory is emptied.
 MAX_REMEMBERED = 800_000
-# Other words that are encoded in one call.
+# Their characters, at most, between two slices of texts.
+MAX_CHARACTERS = 16_000_000
+# Words that are encoded in one call.
 ENCODED_AT_ONCE = 4096
 
 
@@ -44,40 +52,60 @@ class WordEncoder:
     """Ids of whole texts, each distinct blank-separated word encoded once.
 
     The tokenizer drops white space and no token reaches across it, so the ids
-    of a text are those of its words.
+    of a text are those of its words. Simple texts are lower-cased and their
+    signs cut off first, so that few words are distinct; words of letters alone
+    go to the library's model many at a time, without normaliser and splitter.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.latin = re.compile(LATIN).fullmatch
-        self.spelling = {b: c for b, c in enumerate(byte_characters())}
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ".,;:!?"}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.simple, self.letters = re.compile(SIMPLE).fullmatch, re.compile(LETTERS).fullmatch
+        self.signs = re.compile(SIGNS, re.DOTALL).sub
+        self.spelling = {b: c for b, c in enumerate(byte_characters()) if b != ord(" ")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
         self.remembered = Remembered(self._encode_words, MAX_REMEMBERED)
+        self.characters = 0
+
+    def _cut(self, text: str) -> list[str]:
+        if SPECIAL in text:
+            return text.replace("\n", " ").split(" ")
+        if text.isascii() or self.simple(text):
+            return self.signs(r" \g<0>", text.lower()).replace("\n", " ").split(" ")
+        words = text.replace("\n", " ").split(" ")
+        return list(chain.from_iterable(self._cut(w) if self.simple(w) else [w] for w in words))
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids: list[list[int]] = [None] * len(words)
-        rest = []
-        merge, latin, marks = self.tokenizer.model.tokenize, self.latin, self.marks
-        for i, word in enumerate(words):
-            if found := latin(word):
-                stem, mark = found.groups()
-                ids[i] = [t.id for t in merge(stem.lower().encode().decode("latin-1").translate(self.spelling))]
-                if mark:
-                    ids[i].append(marks[mark])
-            else:
-                rest.append(i)
+        self.characters += sum(map(len, words))
+        own = np.fromiter((self.letters(w) is not None for w in words), dtype=bool, count=len(words))
+        plain, rest = np.flatnonzero(own).tolist(), np.flatnonzero(~own).tolist()
+        sizes, ids = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int32)]
+        for k in range(0, len(plain), ENCODED_AT_ONCE):
+            spelt = " ".join([words[i] for i in plain[k:k + ENCODED_AT_ONCE]]).encode().decode("latin-1")
+            got = np.array(self.plain.encode_batch_fast([spelt.translate(self.spelling)])[0].ids, dtype=np.int32)
+            ids.append(got)
+            sizes.append(np.diff(np.flatnonzero(self.closing[got]), prepend=-1))
         for k in range(0, len(rest), ENCODED_AT_ONCE):
-            own = rest[k:k + ENCODED_AT_ONCE]
-            for i, e in zip(own, self.tokenizer.encode_batch_fast([words[i] for i in own], add_special_tokens=False)):
-                ids[i] = e.ids
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return sizes, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+            some = [words[i] for i in rest[k:k + ENCODED_AT_ONCE]]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(sizes[-1].sum())))
+        sizes, order = np.concatenate(sizes), np.array(plain + rest, dtype=np.int64)
+        in_order = np.argsort(np.repeat(order, sizes), kind="stable")
+        return sizes[np.argsort(order)], np.concatenate(ids)[in_order]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END_ID after each, and the place where each text ends."""
-        ids, ends = self.remembered.lookup([text.replace("\n", " ").split(" ") for text in texts])
+        if self.characters > MAX_CHARACTERS:
+            self.remembered.forget()
+        if not self.remembered.number:
+            self.characters = 0
+        ids, ends = self.remembered.lookup([self._cut(text) for text in texts])
         return np.insert(ids, ends, END_ID), ends + 1 + np.arange(len(ends))
 
 
@@ -141,26 +169,32 @@ def with_starts(manifest: DataFrame) -> DataFrame:
             .join(parts, "part").withColumn("start", F.col("part_start") + F.col("in_part")))
 
 
+def _shard_documents(row: dict) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Documents of a shard, some at a time: their ids' names, where each starts and the last ends, the ids."""
+    with open_shared(row["path"], "rb") as source:
+        grammar, ends, names = repair.from_bytes(source.read())
+    ids = grammar.expand(grammar.symbols).astype(np.int32)
+    offsets = np.concatenate(([0], ends))
+    kept = pa.ipc.open_stream(names).read_all().column("id").combine_chunks()
+    for i in range(0, len(ends), DOCUMENTS_AT_ONCE):
+        own = offsets[i:i + DOCUMENTS_AT_ONCE + 1]
+        yield kept.slice(i, len(own) - 1), own + row["start"], ids[own[0]:own[-1]]
+
+
+def _listed(manifest: DataFrame) -> DataFrame:
+    return spread(with_starts(manifest).select("path", "start"), "path")
+
+
 def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(id, start, ids): the ids of every document, with the number of ids before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                with open_shared(row["path"], "rb") as source:
-                    grammar, ends, names = repair.from_bytes(source.read())
-                ids = grammar.expand(grammar.symbols).astype(np.int32)
-                offsets = np.concatenate(([0], ends))
-                kept = pa.ipc.open_stream(names).read_all().column("id").combine_chunks()
-                for i in range(0, len(ends), DOCUMENTS_AT_ONCE):
-                    own = offsets[i:i + DOCUMENTS_AT_ONCE + 1]
-                    yield pa.RecordBatch.from_arrays(
-                        [kept.slice(i, len(own) - 1), pa.array(own[:-1] + row["start"], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()),
-                                                  pa.array(ids[own[0]:own[-1]], pa.int32()))],
-                        ["id", "start", "ids"])
-
-    listed = with_starts(manifest).select("path", "start")
-    return (spread(listed, "path").mapInArrow(run, f"id {id_type}, start long, ids array<int>"))
+        for row in chain.from_iterable(batch.to_pylist() for batch in batches):
+            for names, places, ids in _shard_documents(row):
+                lists = pa.ListArray.from_arrays(pa.array(places - places[0], pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([names, pa.array(places[:-1], pa.int64()), lists],
+                                                 ["id", "start", "ids"])
+
+    return _listed(manifest).mapInArrow(run, f"id {id_type}, start long, ids array<int>")
 
 
 # Documents of a shard handed to Spark at a time.
@@ -168,26 +202,24 @@ DOCUMENTS_AT_ONCE = 256
 
 
 def read_document(path: str, number: int) -> np.ndarray:
-    """Ids of one document of a shard file, by random access."""
+    """Ids of one document of a shard file, by random access: only what covers it is read."""
     with open_shared(path, "rb") as source:
-        grammar, ends, _ = repair.from_bytes(source.read())
-    return grammar.slice(int(ends[number - 1]) if number else 0, int(ends[number]))
+        return repair.ShardFile(source).document(number)
 
 
 def digests(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("start"), pa.array(np.diff(offsets), pa.int64()),
-                 pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_token_files(manifest, id_type).mapInArrow(
-        run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+        for row in chain.from_iterable(batch.to_pylist() for batch in batches):
+            for names, places, ids in _shard_documents(row):
+                own = (places - places[0]).tolist()
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                sums = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(own[:-1], own[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(places[:-1], pa.int64()), pa.array(np.diff(places), pa.int64()),
+                     pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _listed(manifest).mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import glob
+import io
 import random
 import zlib
 
@@ -110,3 +111,45 @@ def test_query(spark, tokenizer):
 
 def test_empty_table(spark, no_docs):
     assert T.digests(T.write_token_files(no_docs, PATH, scratch_path(spark, "none"))).count() == 0
+
+
+def test_signs_and_letters(tokenizer):
+    """Signs cut off words, apostrophes, special tokens and texts beyond Latin give the library's ids."""
+    rng = random.Random(9)
+    parts = ["a", "The", "É", "ß", "日本", "İ", "7", "'", "''", "'s", "'LL", ".", "***", "$", "\x00", "\x1c", "\x7f", "<",
+             "<|", "|>", "<|endoftext|>", " ", "\n", "\t", "\xa0", "×", "ª"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(16))) for _ in range(5000)]
+    ids, ends = T.WordEncoder(PATH).encode(texts)
+    want = [[*e.ids, T.END_ID] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+def test_memory_is_bounded_by_characters(tokenizer, monkeypatch):
+    monkeypatch.setattr(T, "MAX_CHARACTERS", 3000)
+    encoder = T.WordEncoder(PATH)
+    for k in range(20):
+        word = chr(97 + k) * 1000
+        want = [*tokenizer.encode(word, add_special_tokens=False).ids, T.END_ID]
+        assert encoder.encode([word])[0].tolist() == want
+        assert sum(map(len, encoder.remembered.number)) <= 4000
+
+
+def test_a_document_is_read_from_its_blocks():
+    ids = np.tile(np.random.RandomState(3).randint(0, 40000, 700), 30)[:20_500]
+    ids = np.concatenate((ids, np.random.RandomState(4).randint(0, 40000, 9000)))
+    ends = np.array([0, 5, 5, 20_000, 20_499, len(ids)])
+    raw = repair.to_bytes(repair.compress(ids), ends, b"")
+
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, size=-1):
+            part = super().read(size)
+            self.got += len(part)
+            return part
+
+    for n, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
+        source = Counted(raw)
+        assert repair.ShardFile(source).document(n).tolist() == ids[a:b].tolist()
+        if b - a < 1000:
+            assert source.got < len(raw) / 2
