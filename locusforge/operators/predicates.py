@@ -39,6 +39,11 @@ def in_window(start: int, end: int) -> Column:  # P2 (positions part)
     return out
 
 
+def in_envelope(start: int, end: int) -> Column:
+    """The stored envelope of a row's positions meets [start, end]: every row in the window passes."""
+    return (F.col(S.FIRST_POS) <= F.lit(int(end))) & (F.col(S.LAST_POS) >= F.lit(int(start)))
+
+
 def check_chromosome(chrom: str) -> str:
     chrom = str(chrom)
     if chrom not in S.BUILD_CHROMOSOMES:

@@ -48,7 +48,7 @@ def one_copy(source: DataFrame, chromosomes: Sequence[str] = S.BUILD_CHROMOSOMES
         return source
     tables = F.filter(F.array(F.col("GRCh38_gene_chrom"), F.col("GRCh38_chrom"), F.col(S.LEAD_CHROM)),
                       lambda c: c.isin(list(chromosomes)))
-    return source.where(F.col("chrom") == F.get(tables, F.lit(0))).drop("chrom")
+    return source.where(F.col("chrom") == F.get(tables, F.lit(0))).drop("chrom", S.FIRST_POS, S.LAST_POS)
 
 
 def chromosome_table(source: DataFrame, chrom: str) -> DataFrame:
@@ -59,5 +59,5 @@ def chromosome_table(source: DataFrame, chrom: str) -> DataFrame:
     """
     from locusforge.operators.predicates import check_chromosome, chromosome_member
     if "chrom" in source.columns:
-        return source.where(F.col("chrom") == F.lit(check_chromosome(chrom))).drop("chrom")
+        return source.where(F.col("chrom") == F.lit(check_chromosome(chrom))).drop("chrom", S.FIRST_POS, S.LAST_POS)
     return source.where(chromosome_member(chrom))

@@ -192,6 +192,8 @@ LEAD_POS = "GRCh38_gwas_snp_pos"
 
 # Tie-break order for representative rows and pages: row key, then the
 # lead-variant mapping (a key can fan out over several mappings).
+# Least and greatest of a row's four positions, stored in the chromosome layout.
+FIRST_POS, LAST_POS = "first_pos", "last_pos"
 ROW_ORDER = [KEY, LEAD_CHROM, LEAD_POS]
 
 # Evidence names accepted as locus "must-haves": lower-case name -> column.

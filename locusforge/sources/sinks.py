@@ -4,21 +4,27 @@ Layouts are chosen for the read side at scale:
 
 * processed (K2): range-partitioned and sorted by (disease, idx), so a
   disease table read skips files and row groups by min/max statistics;
-* chromosome tables (K3): one directory per chromosome (partition pruning),
-  files range-partitioned and sorted by variant position inside it, so a
-  window's OR-of-ranges filter skips row groups.
+* chromosome tables (K3): one directory per chromosome (partition pruning).
+  Each row stores the least and greatest of its four positions; files are
+  range-partitioned and sorted by how far these lie apart, then by the least.
+  Rows of one span class that meet a window lie next to each other, so a few
+  rows with a far lead variant do not spoil the statistics of all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusforge import schemas as S
+from locusforge.operators.predicates import POSITIONS
 from locusforge.operators.processed import build_processed, chromosome_membership
 
 PROCESSED_KEYS = ["disease_efo_id", S.KEY]
+# Limits of the span classes of the chromosome layout, in bases: about a gene,
+# a cis window, a chromosome arm, and all beyond.
+SPAN_LIMITS = (250_000, 2_000_000, 32_000_000)
 # Upper bound on rows per output file: a large range partition is written as
 # several sorted files instead of one oversized file.
 MAX_RECORDS_PER_FILE = 5_000_000
@@ -63,7 +69,7 @@ def write_joined(raw: DataFrame, genes: DataFrame, leads: DataFrame, path: str,
     return path
 
 
-def range_partitioned(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+def range_partitioned(df: DataFrame, keys: list[str | Column], num_partitions: int | None) -> DataFrame:
     return df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
 
 
@@ -76,17 +82,22 @@ def write_id_table(ids: DataFrame, path: str, num_partitions: int | None = None,
 
 def write_by_chromosome(processed: DataFrame, path: str, num_partitions: int | None = None,
                         mode: str = "overwrite") -> str:
-    """K3: one partition directory per chromosome table, rows sorted by position.
+    """K3: one partition directory per chromosome table, rows sorted by span class and position.
 
     A row is written once per table it belongs to (gene, variant or lead
-    chromosome), exactly the overlapping per-chromosome tables.
+    chromosome), exactly the overlapping per-chromosome tables. Unknown
+    positions are left out of a row's envelope; with none known it is null.
     """
-    rows = chromosome_membership(processed)
+    positions = [F.col(p) for p in POSITIONS]
+    rows = chromosome_membership(processed).select(
+        "*", F.least(*positions).alias(S.FIRST_POS), F.greatest(*positions).alias(S.LAST_POS))
+    span = F.col(S.LAST_POS) - F.col(S.FIRST_POS)
+    span_class = sum((F.when(span > F.lit(limit), 1).otherwise(0) for limit in SPAN_LIMITS), F.lit(0))
     # idx breaks ties, so even one position holding a third of all rows is
     # spread over several range partitions.
-    keys = ["chrom", "GRCh38_pos", S.KEY]
-    (range_partitioned(rows, keys, num_partitions).sortWithinPartitions(*keys).write.mode(mode)
-     .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("chrom").parquet(path))
+    keys = ["chrom", span_class, S.FIRST_POS, S.KEY]
+    (range_partitioned(rows, keys, num_partitions).sortWithinPartitions(*keys)
+     .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("chrom").parquet(path))
     return path
 
 

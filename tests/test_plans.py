@@ -2,7 +2,10 @@
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from locusforge import fixtures as FX
+from locusforge import schemas as S
 from locusforge.operators import batch_locus as B
 from locusforge.operators import locus as L
 from locusforge.operators import lookup as K
@@ -37,6 +40,45 @@ def test_layout_window_prunes_partitions(spark, ds):
     plan = _plan(L.window_rows(layout, "7", 3000000, 12000000))
     assert "PartitionFilters: [isnotnull(chrom" in plan and "(chrom#" in plan and "= 7)" in plan
     assert "GreaterThanOrEqual(GRCh38_pos,3000000)" in plan
+    assert "LessThanOrEqual(first_pos,12000000)" in plan and "GreaterThanOrEqual(last_pos,3000000)" in plan
+
+
+def _scanned(df) -> int:
+    """Rows that the scan hands on when ``df`` runs, after row groups and pages were skipped."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_far_lead_variants_do_not_spoil_row_groups(spark, processed_rows):
+    """Every hundredth row has its lead variant far away; the others are skipped by their envelope."""
+    n = F.col("id")
+    rows = processed_rows({}).drop("idx", "GRCh38_pos", "GRCh38_gene_start", "GRCh38_gene_end", S.LEAD_POS)
+    at = n * 1000
+    rows = spark.range(100_000).crossJoin(F.broadcast(rows)).select(
+        n.alias("idx"), at.alias("GRCh38_pos"), (at - 500).alias(S.GENE_START), (at + 500).alias(S.GENE_END),
+        F.when(n % 100 == 0, (at + 50_000_000) % 100_000_000).otherwise(at + 200).alias(S.LEAD_POS), *rows.columns)
+    layout = sinks.read_by_chromosome(spark, sinks.write_by_chromosome(rows, scratch_path(spark, "spans"), 8))
+    by_position = scratch_path(spark, "by-position")
+    (layout.drop(S.FIRST_POS, S.LAST_POS).repartitionByRange(8, "GRCh38_pos").sortWithinPartitions("GRCh38_pos")
+     .write.partitionBy("chrom").parquet(by_position))
+    before = sinks.read_by_chromosome(spark, by_position)
+    for start, end in ((30_000_000, 31_000_000), (0, 10), (99_999_000, 10 ** 9), (200_000_000, 300_000_000)):
+        found = [sorted(r.idx for r in L.window_rows(t, "7", start, end).select("idx").collect())
+                 for t in (layout, before, rows)]
+        assert found[0] == found[1] == found[2]
+    now, then = (_scanned(L.window_rows(t, "7", 30_000_000, 31_000_000).select("idx")) for t in (layout, before))
+    print(f"rows scanned: {now} with envelopes, {then} by position")
+    assert 2 * now < then
+
+
+def test_unknown_positions_in_the_envelope(spark, processed_rows):
+    rows = processed_rows({"idx": 1, "GRCh38_pos": None}, {"idx": 2, S.LEAD_POS: None},
+                          {"idx": 3, "GRCh38_pos": None, S.GENE_START: None, S.GENE_END: None, S.LEAD_POS: None})
+    layout = sinks.read_by_chromosome(spark, sinks.write_by_chromosome(rows, scratch_path(spark, "unknown")))
+    got = {r.idx: (r.first_pos, r.last_pos) for r in layout.collect()}
+    assert got == {1: (4000, 6000), 2: (4000, 6000), 3: (None, None)}
+    assert [r.idx for r in L.window_rows(layout, "7", 5200, 5200).collect()] == [1]
 
 
 def test_representative_rows_aggregate_before_the_shuffle(ds):
