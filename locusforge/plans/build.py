@@ -85,7 +85,19 @@ def write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, out_dir: st
     processed table is written once; the chromosome layout and the id table
     are derived from the written one, so the joins are not recomputed and a
     lost executor only re-runs the stage that read the stored files.
+
+    All tables go to a new folder under ``out_dir`` and are published together
+    at the end: ``snapshot.served`` gives the former ones until then.
     """
+    from locusforge.sources import snapshot
+
+    paths = _write_tables(raw, genes, leads, snapshot.new_folder(out_dir), num_partitions)
+    snapshot.publish(raw.sparkSession, out_dir, paths)
+    return paths
+
+
+def _write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, folder: str,
+                  num_partitions: int | None) -> dict[str, str]:
     import os
 
     from locusforge.sources import sinks
@@ -93,7 +105,7 @@ def write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, out_dir: st
     if S.KEY not in raw.columns:
         raise ValueError(f"the evidence has no row index {S.KEY!r}; see build_from_file")
     spark = raw.sparkSession
-    paths = {name: os.path.join(out_dir, name)
+    paths = {name: os.path.join(folder, name)
              for name in ("processed", "by_chrom", "genes", "lead_variants", "ids")}
     # Both dimensions are stored first: the joins then read small stored
     # tables instead of recomputing the exon roll-up or the lead-variant build.
@@ -113,17 +125,21 @@ def build_from_file(spark: SparkSession, evidence_path: str, genes: DataFrame, l
     """From the evidence file to the served tables: read, transform, index, join, write.
 
     The file needs no index column. Rows are numbered as they stand in it; the
-    transformed rows are written in that order (``out_dir/transformed``) and
-    numbered again from 0 without gaps.
+    transformed rows are written in that order (``transformed``) and numbered
+    again from 0 without gaps. They are published with the tables built from them.
     """
     import os
 
     from locusforge.sources import evidence as E
-    from locusforge.sources import sinks
+    from locusforge.sources import sinks, snapshot
+
+    folder = snapshot.new_folder(out_dir)
 
     rows = E.read_evidence(spark, evidence_path, tissues, add_index=True)
     kept = transform(rows, tissues, terms)
     ordered = sinks.range_partitioned(kept, [S.KEY], num_partitions).sortWithinPartitions(S.KEY)
-    path = sinks.write_transformed(ordered, os.path.join(out_dir, "transformed"))
+    path = sinks.write_transformed(ordered, os.path.join(folder, "transformed"))
     raw = E.read_transformed(spark, path, add_index=True)
-    return {"transformed": path, **write_tables(raw, genes, leads, out_dir, num_partitions)}
+    paths = {"transformed": path, **_write_tables(raw, genes, leads, folder, num_partitions)}
+    snapshot.publish(spark, out_dir, paths)
+    return paths
