@@ -13,18 +13,59 @@ from locusforge import schemas as S
 PROCESSED_EXTRA = [S.GENE_START, S.GENE_END, S.LEAD_CHROM, S.LEAD_POS]
 
 
-def build_processed(raw: DataFrame, genes: DataFrame, leads: DataFrame) -> DataFrame:
+# Keys that the sketch keeps track of; its counts are off by a few rows in so many.
+TRACKED = 65_536
+# A key is split when it holds more rows than so many tasks do on average.
+HEAVY_TASKS = 4
+
+
+def heavy_keys(rows: DataFrame, key: str, num_partitions: int | None = None) -> dict[str, int]:
+    """Keys that would make a task of a shuffle far too large, and into how many parts to split each.
+
+    A frequent-items sketch (partial aggregates of bounded size, one row in the
+    end) gives the candidates. With p partitions a key is heavy from HEAVY_TASKS
+    / p of the rows on, so fewer than p / HEAVY_TASKS keys come to the driver.
+    Runs one job over one column. A null key joins nothing and is left out.
+    """
+    parts = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(parts // HEAVY_TASKS, 1000))
+    found = rows.where(F.col(key).isNotNull()).agg(
+        F.expr(f"approx_top_k(`{key}`, {most}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return {item["item"]: -(-item["count"] * parts // found["n"]) for item in found["top"] or []
+            if item["count"] * parts > HEAVY_TASKS * found["n"]}
+
+
+def _split_join(rows: DataFrame, side: DataFrame, key: str, heavy: dict[str, int]) -> DataFrame:
+    """``rows`` LEFT JOIN ``side`` ON ``key``; rows of a heavy key are dealt over its parts by their index.
+
+    The rows of ``side`` with a heavy key are repeated once a part, all others stand once.
+    """
+    pairs = [F.lit(v) for item in sorted(heavy.items()) for v in item]
+    parts = F.coalesce(F.create_map(*pairs)[F.col(key)], F.lit(1)) if pairs else F.lit(1)
+    dealt = rows.withColumn(PART, F.pmod(F.xxhash64(S.KEY), parts).cast("int"))
+    copies = side.withColumn(PART, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, [key, PART], "left").drop(PART)
+
+
+PART = "_heavy_part"
+
+
+def build_processed(raw: DataFrame, genes: DataFrame, leads: DataFrame,
+                    heavy: dict[str, int] | None = None) -> DataFrame:
     """raw LEFT JOIN gene ON gene_id LEFT JOIN lead_variant ON gwas_snp.
 
     Spark decides from the sizes it knows or measures whether a dimension is
     broadcast or both sides are shuffled, and splits skewed keys. The lead
-    join fans out: a lead variant with two mappings duplicates its rows.
+    join fans out: a lead variant with two mappings duplicates its rows. The
+    lead variants of ``heavy`` (``heavy_keys``) are split on purpose: AQE splits
+    only partitions that it finds large before the fan-out.
     """
     g = genes.select("gene_id", F.col("gene_start").alias(S.GENE_START),
                      F.col("gene_end").alias(S.GENE_END))
     lv = leads.select("gwas_snp", F.col("seq_region_name").alias(S.LEAD_CHROM),
                       F.col("position").alias(S.LEAD_POS))
-    out = raw.join(g, "gene_id", "left").join(lv, "gwas_snp", "left")
+    out = raw.join(g, "gene_id", "left")
+    out = _split_join(out, lv, "gwas_snp", heavy) if heavy else out.join(lv, "gwas_snp", "left")
     return out.select(*raw.columns, *PROCESSED_EXTRA)
 
 

@@ -100,13 +100,14 @@ def _write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, folder: st
                   num_partitions: int | None) -> dict[str, str]:
     import os
 
+    from locusforge.operators import ranks
     from locusforge.sources import sinks
 
     if S.KEY not in raw.columns:
         raise ValueError(f"the evidence has no row index {S.KEY!r}; see build_from_file")
     spark = raw.sparkSession
     paths = {name: os.path.join(folder, name)
-             for name in ("processed", "by_chrom", "genes", "lead_variants", "ids")}
+             for name in ("processed", "by_chrom", "genes", "lead_variants", "ids", "ranks")}
     # Both dimensions are stored first: the joins then read small stored
     # tables instead of recomputing the exon roll-up or the lead-variant build.
     genes.write.mode("overwrite").parquet(paths["genes"])
@@ -116,6 +117,7 @@ def _write_tables(raw: DataFrame, genes: DataFrame, leads: DataFrame, folder: st
     stored = spark.read.parquet(paths["processed"])
     sinks.write_by_chromosome(stored, paths["by_chrom"], num_partitions)
     sinks.write_id_table(id_table(stored), paths["ids"], num_partitions)
+    ranks.write_rank_index(ranks.rank_index(stored), paths["ranks"])
     return paths
 
 
@@ -124,22 +126,23 @@ def build_from_file(spark: SparkSession, evidence_path: str, genes: DataFrame, l
                     num_partitions: int | None = None) -> dict[str, str]:
     """From the evidence file to the served tables: read, transform, index, join, write.
 
-    The file needs no index column. Rows are numbered as they stand in it; the
-    transformed rows are written in that order (``transformed``) and numbered
-    again from 0 without gaps. They are published with the tables built from them.
+    The file needs no index column and is parsed once: the transformed rows are
+    stored as the scan gives them and numbered from the stored blocks, from 0
+    without gaps, as they stand in the files (``evidence.write_numbered``). They
+    are published (``transformed``) with the tables built from them.
     """
     import os
 
+    from locusforge.session import scratch_path
     from locusforge.sources import evidence as E
-    from locusforge.sources import sinks, snapshot
+    from locusforge.sources import snapshot
 
     folder = snapshot.new_folder(out_dir)
 
-    rows = E.read_evidence(spark, evidence_path, tissues, add_index=True)
-    kept = transform(rows, tissues, terms)
-    ordered = sinks.range_partitioned(kept, [S.KEY], num_partitions).sortWithinPartitions(S.KEY)
-    path = sinks.write_transformed(ordered, os.path.join(folder, "transformed"))
-    raw = E.read_transformed(spark, path, add_index=True)
+    rows = E.read_evidence(spark, evidence_path, tissues, add_places=True)
+    kept = transform(rows, tissues, terms, also=(E.FILE, E.BLOCK))
+    path = E.write_numbered(kept, os.path.join(folder, "transformed"), scratch_path(spark, "scanned"))
+    raw = E.read_transformed(spark, path)
     paths = {"transformed": path, **_write_tables(raw, genes, leads, folder, num_partitions)}
     snapshot.publish(spark, out_dir, paths)
     return paths

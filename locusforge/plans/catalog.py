@@ -23,7 +23,9 @@ from locusforge.operators import filters as T
 from locusforge.operators import locus as L
 from locusforge.operators import lookup as K
 from locusforge.operators import predicates as P
+from locusforge.operators import ranks as RK
 from locusforge.operators import tables as TB
+from locusforge.operators.processed import build_processed, heavy_keys
 from locusforge.plans import oracle as O
 from locusforge.plans.build import Dataset, build_from_file
 from locusforge.plans.transform import transform as T_transform
@@ -51,6 +53,8 @@ LEAD_ONLY_ID = "rs100"
 BOTH_ID = "rs1000"
 GENE_FLANK = 100_000
 BIN_SIZE = 1_000_000
+# Tasks that processed_split deals for: many, so that keys of the small tables are heavy.
+HEAVY_PARTITIONS = 4000
 
 
 def exons_text(c: Column) -> Column:
@@ -192,6 +196,24 @@ def _disease_table(kind: str, offset=0, limit=None, sort=()) -> Query:
     return run
 
 
+def _ranked(kind: str) -> Query:
+    """O2 and A4 by the rank index of the stored processed table."""
+    def run(spark, sf):
+        path = K_.write_processed(_ds(spark, sf).processed, scratch_path(spark, "processed"))
+        index = spark.read.parquet(RK.write_rank_index(RK.rank_index(spark.read.parquet(path)),
+                                                       scratch_path(spark, "ranks")))
+        return (RK.disease_total(index, SEL_DISEASE) if kind == "total" else
+                RK.disease_page(index, path, SEL_DISEASE, PAGE_OFFSET, PAGE_LIMIT))
+    return run
+
+
+def _processed_split(spark, sf):
+    """J2 with the lead variants of most rows split on purpose."""
+    ds = _ds(spark, sf)
+    heavy = heavy_keys(ds.raw, "gwas_snp", HEAVY_PARTITIONS)
+    return build_processed(ds.raw, ds.gene_dim, ds.lead_variant, heavy)
+
+
 def _gene_location(spark, sf):
     return K.gene_location(_ds(spark, sf).gene_dim, GENE_ID)
 
@@ -316,6 +338,17 @@ def _float_integers(spark, sf):
     return T_transform(ev, tissues=FX.FIXTURE_TISSUES)
 
 
+def _from_file_rows(spark, sf):
+    """R5 while writing: the transformed rows of a TSV, parsed once, numbered as they stand in its files."""
+    base = scratch_path(spark, "numbered")
+    (_ds(spark, sf).evidence.repartitionByRange("idx").sortWithinPartitions("idx").drop("idx")
+     .write.option("sep", "\t").option("header", True).csv(f"{base}/evidence"))
+    rows = R.read_evidence(spark, f"{base}/evidence", FX.FIXTURE_TISSUES, add_places=True)
+    kept = T_transform(rows, FX.FIXTURE_TISSUES, also=(R.FILE, R.BLOCK))
+    path = R.write_numbered(kept, f"{base}/transformed", f"{base}/scanned")
+    return R.read_transformed(spark, path).select("idx", "gene_id", "ld_snp_rsID", "gwas_snp", "score")
+
+
 def _from_file(spark, sf):
     """A TSV without an index column to the served tables, and a locus from these."""
     ds, base = _ds(spark, sf), scratch_path(spark, "from-file")
@@ -556,6 +589,10 @@ QUERIES: dict[str, Query] = {
     "gene_lookup_json": _gene_lookup_json,
     "sample_rows": _sample_rows,
     "first_rows": _first_rows,
+    "disease_table_ranked_page": _ranked("page"),
+    "disease_table_ranked_total": _ranked("total"),
+    "processed_split": _processed_split,
+    "build_from_file_rows": _from_file_rows,
     "row_index": _row_index,
     "ot_vep_join": _ot_vep_join,
     "read_terms": _read_terms,
@@ -672,6 +709,9 @@ def _oracle() -> dict[str, str]:
         "table_sorted_page": O.locus_table_sql("page", *loc, offset=0, limit=PAGE_LIMIT,
                                                order_prefix=order_desc_p),
         "disease_table_page": O.disease_table_sql("page", SEL_DISEASE, PAGE_OFFSET, PAGE_LIMIT),
+        "disease_table_ranked_page": O.disease_table_sql("page", SEL_DISEASE, PAGE_OFFSET, PAGE_LIMIT),
+        "disease_table_ranked_total": O.disease_table_sql("total", SEL_DISEASE),
+        "processed_split": O.with_ctes(["processed"], [], "SELECT * FROM processed"),
         "disease_table_total": O.disease_table_sql("total", SEL_DISEASE),
         "gene_location": O.gene_location_sql(GENE_ID),
         "gene_location_batch": O.gene_location_sql(None),
@@ -705,8 +745,9 @@ def _oracle() -> dict[str, str]:
                                    "ORDER BY idx LIMIT 500"),
         "first_rows": O.with_ctes(["evidence"], [], "SELECT idx, gene_id, gwas_snp, score FROM evidence "
                                   "ORDER BY idx LIMIT 500"),
-        "row_index": O.with_ctes(["raw"], [], "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, gene_id, "
-                                 "ld_snp_rsID, gwas_snp, score FROM raw"),
+        "row_index": (dense_sql := O.with_ctes(["raw"], [], (
+            "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, gene_id, ld_snp_rsID, gwas_snp, score FROM raw"))),
+        "build_from_file_rows": dense_sql,
         "ot_vep_join": (vep_sql := O.with_ctes(["evidence"], [], f"SELECT idx, vep_terms, {O.OT_VEP} AS ot_vep "
                                                "FROM evidence")),
         "read_terms": vep_sql,

@@ -37,13 +37,15 @@ def derive_scores(df: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
 
 
 def transform(evidence: DataFrame, tissues: Sequence[str] = S.GTEX_TISSUES,
-              terms: scores.TermPairs | None = None, key: str | None = S.KEY) -> DataFrame:
+              terms: scores.TermPairs | None = None, key: str | None = S.KEY,
+              also: Sequence[str] = ()) -> DataFrame:
     """Filter T3-T8, derive C2-C4, project the 30 output columns.
 
     ``key`` (when present in the input) is kept as the first column: it is the
     row identity every later stage orders and pages by. Missing numeric
     values (NaN) become NULL in every column, so they fail every comparison
-    here and later. Empty input still yields the full output schema.
+    here and later. Empty input still yields the full output schema. Columns
+    named in ``also`` are kept behind the others.
     """
-    keep = ([key] if key and key in evidence.columns else []) + S.TRANSFORMED_COLUMNS
+    keep = ([key] if key and key in evidence.columns else []) + S.TRANSFORMED_COLUMNS + list(also)
     return derive_scores(evidence.where(transform_predicate()), tissues, terms).select(*keep)

@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from locusforge import schemas as S
 
 
+# Names of a row's place in a scan: file, start of the block in it, number within the scan.
+FILE, BLOCK, PLACE = "_scan_file", "_scan_block", "_scan_place"
+
+
 def _clean(name: str, dtype: T.DataType, na_tokens: Sequence[str], malformed: str = "fail",
            ansi: bool = True) -> Column:
     c = F.col(f"`{name}`")
@@ -80,16 +84,24 @@ def read_evidence(spark: SparkSession, path: str, tissues: Sequence[str] = S.GTE
                   sep: str = "\t", key_column: str | None = None,
                   num_partitions: int | None = None, nrows: int | None = None,
                   columns: Sequence[str] | None = None, add_index: bool = False,
-                  malformed: str = "fail") -> DataFrame:
+                  malformed: str = "fail", add_places: bool = False) -> DataFrame:
     """Evidence TSV (optionally gzipped) -> typed DataFrame.
 
     A gzip file is one task; ``num_partitions`` spreads the rows right after
     the scan (round-robin, no key skew) so later stages run in parallel.
-    ``add_index`` numbers the rows as they stand in the files (``idx``).
+    ``add_index`` numbers the rows as they stand in the files (``idx``);
+    ``add_places`` adds the file block of each row instead, for ``write_numbered``.
     ``nrows`` (R2) keeps the first n rows: by key where there is one, as a
     top n of every partition, else in the order of the files.
     """
+    if add_places and (num_partitions or add_index or nrows is not None):
+        raise ValueError("add_places needs the rows as they are scanned")
     raw = read_delimited(spark, path, sep)
+    if add_places:
+        raw = raw.select("*", F.col("_metadata.file_path").alias(FILE),
+                         F.col("_metadata.file_block_start").cast("string").alias(BLOCK))
+        return typed_evidence(raw, tissues, key_column=key_column, columns=columns, malformed=malformed,
+                              extra={FILE: T.StringType(), BLOCK: T.LongType()}, na_tokens=S.NA_TOKENS)
     by_place = add_index or (nrows is not None and not key_column)
     if by_place:
         raw = with_file_row_index(raw, "_row")
@@ -172,6 +184,38 @@ def with_file_row_index(df: DataFrame, name: str = S.KEY) -> DataFrame:
     return out.select((F.col("_off") + F.col("_at") - F.col("_first")).alias(name), *df.columns)
 
 
+def write_numbered(rows: DataFrame, path: str, staged: str) -> str:
+    """R5 while writing: rows with FILE and BLOCK, straight from a scan, stored with a dense ``idx``.
+
+    The scan runs once. Its tasks write their rows to ``staged`` as they come,
+    each with a number that grows along the task; counts of the stored blocks
+    (narrow columns) then give every block its offset, files in order of their
+    paths, and a second pass over the stored rows writes ``idx``, without a
+    shuffle. Filters may lie between scan and call, but nothing that moves rows
+    to other tasks. A block's rows are found by numbers alone (task, first
+    place), so the offsets are four numbers per scan split, stored before the
+    join: Spark knows their size and decides on a broadcast from it.
+    """
+    spark = rows.sparkSession
+    rows.withColumn(PLACE, F.monotonically_increasing_id()).write.mode("overwrite").parquet(staged)
+    kept = spark.read.parquet(staged)
+    before = Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (kept.groupBy(FILE, BLOCK).agg(F.min(PLACE).alias("_first"), F.max(PLACE).alias("_last"),
+                                            F.count(F.lit(1)).alias("_n"))
+              .select("_first", "_last", F.shiftright("_first", 33).alias("_task"),
+                      F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    blocks.write.mode("overwrite").parquet(f"{staged}-blocks")
+    offsets = spark.read.parquet(f"{staged}-blocks")
+    # Blocks of one task follow each other: some dozens at most, as Spark packs them.
+    inside = ((F.shiftright(F.col(PLACE), 33) == F.col("_task"))
+              & F.col(PLACE).between(F.col("_first"), F.col("_last")))
+    columns = [c for c in kept.columns if c not in (FILE, BLOCK, PLACE, S.KEY)]
+    (kept.join(offsets, inside)
+     .select((F.col("_off") + F.col(PLACE) - F.col("_first")).alias(S.KEY), *columns)
+     .write.mode("overwrite").parquet(path))
+    return path
+
+
 def read_transformed(spark: SparkSession, path: str, fmt: str = "parquet",
                      add_index: bool = False) -> DataFrame:
     """Re-read transformed evidence; optionally add a dense ``idx`` in file order."""

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from locusforge import schemas as S
 from locusforge.operators.predicates import POSITIONS
-from locusforge.operators.processed import build_processed, chromosome_membership
+from locusforge.operators.processed import build_processed, chromosome_membership, heavy_keys
 
 PROCESSED_KEYS = ["disease_efo_id", S.KEY]
 # Limits of the span classes of the chromosome layout, in bases: about a gene,
@@ -61,10 +61,12 @@ def write_joined(raw: DataFrame, genes: DataFrame, leads: DataFrame, path: str,
     Range bounds come from a sample of the narrow raw rows, so no join runs
     for them, and the joins are evaluated once. Broadcast joins keep the
     ranges; where a dimension is too large for that, the rows are hashed again
-    and only sorted inside each file.
+    and only sorted inside each file. Lead variants that hold many rows are
+    looked for first and split in that case.
     """
     ranged = range_partitioned(raw, PROCESSED_KEYS, num_partitions)
-    (build_processed(ranged, genes, leads).sortWithinPartitions(*PROCESSED_KEYS)
+    heavy = heavy_keys(raw, "gwas_snp", num_partitions)
+    (build_processed(ranged, genes, leads, heavy).sortWithinPartitions(*PROCESSED_KEYS)
      .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path))
     return path
 
