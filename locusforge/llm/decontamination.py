@@ -21,6 +21,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 WINDOW = 13
 GRAM = 8
+# Parts in which documents meet their items.
+PARTS = 8
 MIN_SHARE = 20  # contaminated when at least one word in so many is hit
 
 
@@ -76,12 +78,21 @@ def item_windows(items: DataFrame) -> DataFrame:
     return out.select("item", "length", F.col("w.print").alias("print"), F.col("w.window").alias("window"))
 
 
-def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, text_hash, start, length, item): every occurrence of an item window in a document.
+def gathered_windows(windows: DataFrame) -> DataFrame:
+    """(length, window, print, items, found): every distinct window with its items, sorted; ``found`` names the list.
 
-    ``docs`` comes from ``with_key``.
+    The items of a window are gathered before documents meet it: an occurrence
+    carries the name of a list, not a row per item.
+    """
+    return (windows.groupBy("length", "window", "print").agg(F.array_sort(F.collect_set("item")).alias("items"))
+            .withColumn("found", F.sha2(F.to_json("items"), 256)))
+
+
+def occurrences(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """(id, text_hash, start, length, found): every occurrence of a window in a document.
+
+    ``docs`` comes from ``with_key``, ``tests`` from ``gathered_windows``.
     """
-    tests = stored(item_windows(items), "item-windows")
     # At most WINDOW rows: the window lengths that the items really have.
     lengths = sorted(r["length"] for r in tests.select("length").distinct().collect())
     worded = docs.select("id", "text_hash", words_of(F.col("text")).alias("words"))
@@ -94,7 +105,7 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.select("id", "text_hash", F.lit(0).alias("start"), F.lit(0).alias("length"),
-                           F.lit("").alias("item")).where("false")
+                           F.lit("").alias("found")).where("false")
     suspects = stored(found.groupBy("id", "text_hash", "length").agg(F.collect_set("print").alias("prints")),
                       "suspects")
     spans = None
@@ -111,25 +122,48 @@ def occurrences(docs: DataFrame, items: DataFrame) -> DataFrame:
                 .select("id", "text_hash", F.col("w.start").alias("start"), F.lit(length).alias("length"),
                         F.col("w.window").alias("window")))
         spans = part if spans is None else spans.unionByName(part)
-    return (spans.join(tests.select("item", "length", "window").distinct(), ["length", "window"])
-            .select("id", "text_hash", "start", "length", "item"))
+    return (spans.join(tests.select("length", "window", "found"), ["length", "window"])
+            .select("id", "text_hash", "start", "length", "found"))
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, text_hash, n_hit, items): hit words and sorted item ids of each hit document.
+def hit_documents(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """(id, text_hash, n_hit, found): hit words of each hit document and the names of its lists of items.
 
     Words under several windows count once: windows are taken in order of
     their start and each adds what lies beyond the furthest end so far.
     """
-    found = occurrences(docs, items)
-    spans = found.groupBy("id", "text_hash", "start", "length").agg(F.collect_set("item").alias("items"))
+    spans = occurrences(docs, tests).distinct()
     order = W.partitionBy("id", "text_hash").orderBy("start", "length")
     end = F.col("start") + F.col("length")
     reached = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(reached, F.lit(0))))
     return (spans.withColumn("fresh", fresh).groupBy("id", "text_hash")
-            .agg(F.sum("fresh").alias("n_hit"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
+            .agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("found")).alias("found")))
+
+
+def _named_items(hits: DataFrame, tests: DataFrame, shown: dict[str, Column]) -> DataFrame:
+    """``hits`` with columns made from the sorted ``items`` of a document, computed once for equal ``found``.
+
+    Documents that hit the same lists, as copies do, share one row of items; it
+    is repeated PARTS times, so that a set that a third of all documents hit is
+    joined in as many tasks.
+    """
+    named = hits.withColumn("union", F.sha2(F.array_join("found", ","), 256))
+    lists = tests.groupBy("found").agg(F.first("items").alias("items"))
+    unions = (named.select("union", "found").dropDuplicates(["union"])
+              .select("union", F.explode("found").alias("found")).join(lists, "found")
+              .groupBy("union").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+              .select("union", *[c.alias(n) for n, c in shown.items()],
+                      F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")))
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("id", "text_hash"), F.lit(PARTS)).cast("int"))
+    return dealt.join(unions, ["union", "part"]).select("id", "text_hash", "n_hit", *shown)
+
+
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, text_hash, n_hit, items): hit words and sorted item ids of each hit document."""
+    tests = stored(gathered_windows(item_windows(items)), "item-windows")
+    hits = stored(hit_documents(docs, tests), "hit-documents")
+    return _named_items(hits, tests, {"items": F.col("items")})
 
 
 def is_contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -145,7 +179,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     words but is not listed. Without items all documents stay.
     """
     keyed = with_key(docs)
-    hits = contamination(keyed, items)
+    hits = hit_documents(keyed, stored(gathered_windows(item_windows(items)), "item-windows"))
     n_words = F.size(words_of(F.col("text")))
     bad = (join_documents(keyed, hits).where(is_contaminated(F.col("n_hit"), n_words))
            .select(F.col("id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")))
@@ -156,14 +190,17 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: words, hit words, items found and the verdict."""
     docs = with_key(table(spark, sf_dir, "documents"))
-    hits = contamination(docs, table(spark, sf_dir, "benchmark"))
+    tests = stored(gathered_windows(item_windows(table(spark, sf_dir, "benchmark"))), "item-windows")
+    hits = _named_items(stored(hit_documents(docs, tests), "hit-documents"), tests, {
+        "n_items": F.size("items").cast("long"),
+        "items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256)})
     counted = docs.select("id", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
-    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
+    no_items = F.sha2(F.lit("").cast("binary"), 256)
     return (join_documents(counted, hits, "left")
             .select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
-                    F.size(items).cast("long").alias("n_items"),
-                    F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+                    F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+                    F.coalesce("items_sha256", no_items).alias("items_sha256"),
                     is_contaminated(n_hit, F.col("n_words")).alias("contaminated")))
 
 

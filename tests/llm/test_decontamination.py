@@ -84,3 +84,20 @@ def test_empty_tables(spark, docs, no_docs):
     assert D.decontaminate(docs, none).count() == docs.count()
     assert D.decontaminate(no_docs, some).count() == 0
     assert D.contamination(with_key(docs), none).count() == 0
+
+
+def test_a_window_of_many_items_is_one_row_per_occurrence(spark, make_docs):
+    """A passage that 300 items and 200 documents hold: occurrences do not multiply with the items."""
+    rng = random.Random(3)
+    shared = sentence(rng, 15)
+    items = [(i, shared + " " + sentence(rng, 5)) for i in range(300)]
+    rows = [(i, shared) for i in range(200)] + [(900, sentence(rng, 40))]
+    docs = with_key(make_docs(rows))
+    windows = D.item_windows(spark.createDataFrame([(i, t, "x", "y") for i, t in items], ITEMS_DDL))
+    tests = D.gathered_windows(windows)
+    found = D.occurrences(docs, tests)
+    assert found.count() == 200 * 3
+    bench = spark.createDataFrame([(i, t, "x", "y") for i, t in items], ITEMS_DDL)
+    got = D.contamination(docs, bench).collect()
+    want = brute(rows, items)
+    assert len(got) == 200 and all((r["n_hit"], r["items"]) == want[r["id"], shared] for r in got)
