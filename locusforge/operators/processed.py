@@ -17,6 +17,9 @@ PROCESSED_EXTRA = [S.GENE_START, S.GENE_END, S.LEAD_CHROM, S.LEAD_POS]
 TRACKED = 65_536
 # A key is split when it holds more rows than so many tasks do on average.
 HEAVY_TASKS = 4
+# Parts made of a heavy key for each task it would fill: hashed parts meet in
+# one task by chance, and small ones even out.
+PARTS_A_TASK = 4
 
 
 def heavy_keys(rows: DataFrame, key: str, num_partitions: int | None = None) -> dict[str, int]:
@@ -40,7 +43,7 @@ def _split_join(rows: DataFrame, side: DataFrame, key: str, heavy: dict[str, int
 
     The rows of ``side`` with a heavy key are repeated once a part, all others stand once.
     """
-    pairs = [F.lit(v) for item in sorted(heavy.items()) for v in item]
+    pairs = [F.lit(v) for k, n in sorted(heavy.items()) for v in (k, n * PARTS_A_TASK)]
     parts = F.coalesce(F.create_map(*pairs)[F.col(key)], F.lit(1)) if pairs else F.lit(1)
     dealt = rows.withColumn(PART, F.pmod(F.xxhash64(S.KEY), parts).cast("int"))
     copies = side.withColumn(PART, F.explode(F.sequence(F.lit(0), parts - 1)))
