@@ -22,7 +22,7 @@ def _rows(df):
 @pytest.fixture(scope="module")
 def deep(spark):
     """1,200,000 rows of one disease in many files, each index twice, beside a small disease and rows without one."""
-    from conftest import PROCESSED_DDL
+    from processed_ddl import PROCESSED_DDL
     base = spark.createDataFrame([], PROCESSED_DDL)
     ids = spark.range(1_200_000).select(
         F.when(F.col("id") >= 10, (F.col("id") / 2).cast("long")).alias("idx"),
