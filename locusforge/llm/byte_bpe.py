@@ -37,6 +37,9 @@ CUTS = r"(?= \S)|(?<=\S\n)(?=\S)"
 # model merges them without its splitter.
 LATIN = r"(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)"
 ENCODED_AT_ONCE = 4096
+# Pieces remembered in a worker: long ones among them, beside workers of other
+# stages that live on in the executor.
+MAX_REMEMBERED = 200_000
 # Bytes of text, or ids, that are worked on at a time.
 SLICE_BYTES = 1 << 20
 SLICE_IDS = 1 << 18
@@ -140,7 +143,7 @@ class Codec(ByteTable):
         self.latin = re.compile(LATIN).fullmatch
         self.spelling = {b: c for b, c in enumerate(characters)}
         self.marks = {m: ranks[m.encode()] for m in "\n.,;:!?"}
-        self.remembered = Remembered(self._encode_pieces)
+        self.remembered = Remembered(self._encode_pieces, MAX_REMEMBERED)
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of a newline and the text.

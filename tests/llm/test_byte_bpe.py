@@ -84,3 +84,14 @@ def test_other_ranks_and_patterns(pattern):
     texts = ["a\n\nb", "a\n\n\nb", "\n\na", "a\nb", "a \nb  c", "",
              *("".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000))]
     assert B.Codec(path, pattern).encode_batch(texts) == [own.encode_ordinary(t) for t in texts]
+
+
+def test_what_a_worker_remembers_is_bounded():
+    import public_tokenizers
+    from locusforge.llm import byte_bpe
+    codec = byte_bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert codec.remembered.most == byte_bpe.MAX_REMEMBERED <= 200_000
+    codec.remembered.most = 50
+    texts = [f"w{i}x q{i}, z{i}" for i in range(200)]
+    assert [codec.decode(i).decode() for text in texts for i in codec.encode_batch([text])] == texts
+    assert len(codec.remembered.number) < 60
