@@ -488,7 +488,10 @@ def _locus_batch(child: str) -> Query:
 
 
 def _keyset_page(spark, sf):
-    rows = L.window_rows(_ds(spark, sf).processed, CHROM, START, END)
+    # Both pages are read from the stored window: the evidence is joined once.
+    path = scratch_path(spark, "window")
+    L.window_rows(_ds(spark, sf).processed, CHROM, START, END).write.parquet(path)
+    rows = spark.read.parquet(path)
     first = TB.keyset_page(rows, None, PAGE_OFFSET).collect()   # one small page on the driver
     last = first[-1]
     return TB.keyset_page(rows, (last["index"], last["_lead_chrom"], last["_lead_pos"]),

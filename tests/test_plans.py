@@ -149,3 +149,12 @@ def test_binned_locus_join_is_an_equi_join(ds):
 def test_no_python_udfs_in_transform(ds):
     plan = _plan(ds.raw)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_keyset_pages_come_from_one_window(ds):
+    """The second page does not join the evidence again."""
+    from locusforge.plans import catalog
+    page = catalog.queries()["keyset_page"](ds.spark, ds.sf_dir)
+    assert "lineitem" not in page._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["index"] for r in page.collect()] == [r["index"] for r in TB.page(
+        L.window_rows(ds.processed, catalog.CHROM, catalog.START, catalog.END), catalog.PAGE_OFFSET, catalog.PAGE_LIMIT).collect()]
