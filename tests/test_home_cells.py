@@ -58,3 +58,39 @@ def test_windows_that_share_an_id_are_told_apart_from_the_others(spark):
     assert {r["locus_id"] for r in alone.collect()} == {"a", "d"}
     assert sorted(r["locus_id"] for r in others.collect()) == ["b", "b", "c"]
     assert B.split_loci(loci.where("locus_id = 'a'"))[1] is None
+
+
+def test_windows_alone_are_looked_up_in_few_copies_of_narrow_rows(spark, ds, monkeypatch):
+    """Nothing is stored, a row of three near places stands in one or two cells, and the lead join carries no payload."""
+    loci = B.loci_around_genes(ds.gene_dim, 100_000)
+    alone, others, cell = B.split_loci(loci, B.LONGEST)
+    assert others is None
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda *args, **kw: pytest.fail("stored"))
+    for name in L.OWN:
+        L.locus_batch(ds.ranked_membership, ds.genes, loci, materialize=True, outputs=[name])
+    rows = ds.membership.where(P.resolved())
+    copies = B._to_cells(rows, B.home_cells(alone, cell, B.TIMES), P.POSITIONS).count()
+    assert 0 < copies < 2 * rows.count()
+    found = L.locus_batch(ds.ranked_membership, ds.genes, loci, materialize=True, outputs=["leadVariants"])["leadVariants"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "vep_terms" not in plan.split("xxhash64")[0]
+
+
+def test_ties_of_the_row_order_are_those_of_the_row_hash(ds):
+    """The hash made before the lead join is that of the finished rows."""
+    made = ds.ranked_membership.select("idx", "ld_snp_rsID", "chrom", "GRCh38_gwas_snp_pos", L.REST)
+    after = L.ranked_rows(ds.membership).select(*made.columns)
+    assert _rows(made) == _rows(after) != []
+
+
+@pytest.mark.parametrize("times", [1, B.TIMES])
+def test_a_window_meets_its_places_in_its_home_cell(spark, times):
+    places = [-300_000, -275_001, -10_001, -10_000, -1, 0, 1, 9_999, 10_000, 79_999, 80_000, 2_200_007, 2 ** 62]
+    rows = spark.createDataFrame([("7", p) for p in places], "chrom string, p bigint")
+    loci = spark.createDataFrame([(f"{s}+{n}", "7", s, s + n) for s in [p - d for p in places for d in (0, 1, 9_999)]
+                                  for n in (0, 9_999, 10_000, 275_000, 2 ** 57)], LOCI).distinct()
+    windows = B.home_cells(loci, 275_001, times)
+    near = B._to_cells(rows, windows, ["p"])
+    met = B._in_cells(near, windows, near["p"].between(windows["_ls"], windows["_le"])).select("locus_id", "p")
+    want = [(r.locus_id, p) for r in loci.collect() for p in places if r.start <= p <= r.end]
+    assert sorted(map(tuple, met.collect())) == sorted(want)
