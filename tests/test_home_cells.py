@@ -94,3 +94,11 @@ def test_a_window_meets_its_places_in_its_home_cell(spark, times):
     met = B._in_cells(near, windows, near["p"].between(windows["_ls"], windows["_le"])).select("locus_id", "p")
     want = [(r.locus_id, p) for r in loci.collect() for p in places if r.start <= p <= r.end]
     assert sorted(map(tuple, met.collect())) == sorted(want)
+
+
+def test_the_maximum_makes_no_list_of_places(ds):
+    loci = B.loci_around_genes(ds.gene_dim, 100_000)
+    found = L.locus_batch(ds.membership, ds.genes, loci, materialize=True, outputs=["maxGwasPValue"])["maxGwasPValue"]
+    plan = _plan(found)
+    assert "collect_list" not in plan and "SortAggregate" not in plan
+    assert _rows(found) == _rows(L.locus_batch(ds.membership, ds.genes, loci)["maxGwasPValue"]) != []
