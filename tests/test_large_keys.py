@@ -1,0 +1,63 @@
+"""Keys so large that the row index leaves 64 bits: the rows are all there, and in the order of the whole sum."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from locusforge import fixtures as FX
+from locusforge.plans import catalog
+
+LINE = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp")
+ORDERS = [0, 7, 9_223_371, 9_223_372, 9_223_373, 18_446_744, 27_670_116, 54_000_000, 2 ** 62, None]
+
+
+def _index(order, line, part, supplier, quantity):
+    return (((order * 10 + line) * 100_000 + part) * 10_000 + supplier) * 100 + quantity
+
+
+def _wrapped(n):
+    return (n + 2 ** 63) % 2 ** 64 - 2 ** 63
+
+
+LINES = [(o, p, 9, n, 30.0, 1.0, 0.05, 0.05, "R", "O", None) for o in ORDERS for p in (7, 33, 7_200_007) for n in (1, 2)]
+SUMS = {ln: _index(ln[0], ln[3], ln[1], 9, 30) for ln in LINES if ln[0] is not None}
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("large"))
+    spark.createDataFrame(LINES, LINE).repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(o, 7, "1-URGENT") for o in ORDERS], "o_orderkey bigint, o_custkey bigint, o_orderpriority string"
+                          ).write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(p, "name", "type", 5) for p in (7, 33, 7_200_007)],
+                          "p_partkey bigint, p_name string, p_type string, p_size int").write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_the_index_is_the_sum_in_64_bits(spark, large):
+    got = FX.evidence(spark, large)
+    assert dict(got.dtypes)["idx"] == "bigint"
+    assert sorted(r["idx"] for r in got.select("idx").collect()) == sorted(map(_wrapped, SUMS.values()))
+    small = got.where(f"idx BETWEEN 0 AND {2 ** 63 - 1}").select("idx").collect()
+    assert {s for s in SUMS.values() if s < 2 ** 63} <= {r["idx"] for r in small}
+
+
+def test_rows_in_order_are_in_the_order_of_the_whole_sum(spark, large):
+    parts = (FX.evidence(spark, large, in_order=True)
+             .select("idx", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("place")).collect())
+    got = [r["idx"] for r in sorted(parts, key=lambda r: (r["task"], r["place"]))]
+    assert got == [_wrapped(s) for s in sorted(SUMS.values())]
+
+
+def test_unknown_keys_have_no_index_and_odd_signs_do(spark):
+    rows = spark.createDataFrame([(None, 1, 1, 1, 1.0), (-(2 ** 62), 1, 1, 1, 1.0), (5, -(10 ** 13), 1, 1, 1.0), (5, 1, None, 1, 1.0)],
+                                 "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double")
+    got = rows.select(F.expr(FX.INDEX_SQL).alias("i"), F.expr(FX.INDEX_TURNS_SQL).alias("t")).collect()
+    for r, s in zip(got, [None, _index(-(2 ** 62), 1, 1, 1, 1), _index(5, 1, -(10 ** 13), 1, 1), None]):
+        assert (r["i"] is None) if s is None else (r["i"] + (r["t"] << 64) == s)
+
+
+@pytest.mark.parametrize("name", ["build_from_file_rows", "disease_table_rest", "r1_tsv_transform", "r1_float_integers",
+                                  "batch_locus_genes", "batch_locus_lead_diseases", "batch_locus_diseases"])
+def test_queries_take_large_keys(spark, large, name):
+    assert catalog.queries()[name](spark, large).count() >= 0
